@@ -160,3 +160,153 @@ def _q(spark, d):
 def _q(spark, d):
     """O10 all-time Completed revenue per live category, ranked."""
     return R.category_ranking(D.sales_a(spark, d), D.products(spark, d))
+
+
+# --- Sales listing (set B: event sales, report date 2024-01-17) ------------
+from tallyspark.operators import sales_views as V  # noqa: E402
+
+
+@register("addons_by_sale")
+def _q(spark, d):
+    """O11 add-ons nested per sale (rendered as text for comparison)."""
+    nested = V.addons_by_sale(D.sale_addons(spark, d))
+    return nested.select("sale_id", V.addons_text("addons").alias("addons"),
+                         F.aggregate("addons", F.lit(0).cast("long"),
+                                     lambda acc, a: acc + a["n"]).alias("n_addons"))
+
+
+def _sales_list(spark, d, search, on_date):
+    out = V.sales_list(D.sales_b(spark, d), D.products(spark, d), D.sale_addons(spark, d),
+                       search=search, on_date=on_date)
+    return out.withColumn("addons", V.addons_text("addons"))
+
+
+@register("sales_list_all")
+def _q(spark, d):
+    """O12 the whole sales list with categories, add-ons, unit price, badge."""
+    return _sales_list(spark, d, None, None)
+
+
+@register("sales_list_search_day")
+def _q(spark, d):
+    """O12 searched ('bolt', case/accent-insensitive) on one day."""
+    return _sales_list(spark, d, "BOLT", AS_OF_B)
+
+
+@register("sales_list_wildcard")
+def _q(spark, d):
+    """O12 search text with a user-typed LIKE wildcard."""
+    return _sales_list(spark, d, "r_d w", None)
+
+
+@register("report_transactions_monthly")
+def _q(spark, d):
+    """O13 Completed rows of the month, newest first."""
+    return V.report_transactions(D.sales_a(spark, d), AS_OF_A, "monthly")
+
+
+@register("report_transactions_weekly")
+def _q(spark, d):
+    """O13 Completed rows of the calendar week."""
+    return V.report_transactions(D.sales_a(spark, d), AS_OF_A, "weekly")
+
+
+@register("sale_badges")
+def _q(spark, d):
+    """O14 badge of every sale."""
+    return V.sale_badges(D.sales_b(spark, d))
+
+
+# --- Catalogue -------------------------------------------------------------
+from tallyspark.operators import catalog as C  # noqa: E402
+
+
+@register("sellable_products")
+def _q(spark, d):
+    """O15 available products by category and name."""
+    return C.sellable_products(D.products(spark, d))
+
+
+@register("menu_sections")
+def _q(spark, d):
+    """O15 one row per category of the sale form."""
+    return C.menu_sections(D.products(spark, d))
+
+
+@register("sellable_addons")
+def _q(spark, d):
+    """O16 available add-ons by name."""
+    return C.sellable_addons(D.addons(spark, d))
+
+
+@register("product_search")
+def _q(spark, d):
+    """O17 name substring + category + status, case-insensitive."""
+    return C.product_search(D.products(spark, d), search="  ring ", category="standard",
+                            status="Available")
+
+
+@register("product_search_none")
+def _q(spark, d):
+    """O17 with PHP-empty filters ('0', blanks): every product."""
+    return C.product_search(D.products(spark, d), search="0", category="  ", status=None)
+
+
+# --- Inventory -------------------------------------------------------------
+from tallyspark.operators import inventory as I  # noqa: E402
+
+
+@register("stock_status")
+def _q(spark, d):
+    """O18 every ingredient with its Low/Mid/Good label."""
+    return I.stock_status(D.ingredients(spark, d))
+
+
+@register("ingredient_search")
+def _q(spark, d):
+    """O19 name substring + unit (case-insensitive) + stock level mid."""
+    return I.ingredient_search(D.ingredients(spark, d), search=" E ", unit="brand#2",
+                               stock_level="mid")
+
+
+@register("ingredient_search_low")
+def _q(spark, d):
+    """O19 stock level low only."""
+    return I.ingredient_search(D.ingredients(spark, d), stock_level="low")
+
+
+@register("stock_cards")
+def _q(spark, d):
+    """O20 card level, bar percent and image flag of every ingredient."""
+    return I.stock_cards(D.ingredients(spark, d))
+
+
+@register("low_stock_alerts")
+def _q(spark, d):
+    """O21 ingredients at or under threshold, by name."""
+    return I.low_stock_alerts(D.ingredients(spark, d))
+
+
+@register("low_stock_alert_count")
+def _q(spark, d):
+    """O22 alert count and headline."""
+    return I.low_stock_alert_count(D.ingredients(spark, d))
+
+
+@register("inventory_report")
+def _q(spark, d):
+    """O23 the report's inventory table, unfiltered."""
+    return I.inventory_report(D.ingredients(spark, d))
+
+
+@register("inventory_report_filtered")
+def _q(spark, d):
+    """O23 filtered by class badge-good and a unit label."""
+    return I.inventory_report(D.ingredients(spark, d), status="badge-good",
+                              unit_label_filter="Brand#2-based")
+
+
+@register("unit_labels")
+def _q(spark, d):
+    """O24 distinct derived unit labels."""
+    return I.unit_labels(D.ingredients(spark, d))
