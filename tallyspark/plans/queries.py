@@ -310,3 +310,140 @@ def _q(spark, d):
 def _q(spark, d):
     """O24 distinct derived unit labels."""
     return I.unit_labels(D.ingredients(spark, d))
+
+
+# --- Batch change jobs (set B sales and request feeds) ---------------------
+from tallyspark.operators import changes as CH  # noqa: E402
+
+
+def _priced(spark, d):
+    return CH.price_sales(D.sale_requests(spark, d), D.products(spark, d), D.addons(spark, d))
+
+
+@register("price_sales_accepted")
+def _q(spark, d):
+    """O25 accepted sales of the request batch, priced with add-ons."""
+    return _priced(spark, d).accepted
+
+
+@register("price_sales_rejects")
+def _q(spark, d):
+    """O25 rejected requests with the handler's reason."""
+    return _priced(spark, d).rejects
+
+
+@register("sale_addon_rows")
+def _q(spark, d):
+    """O26 one add-on snapshot row per accepted sale and distinct add-on."""
+    return _priced(spark, d).addon_rows
+
+
+@register("apply_cancellations")
+def _q(spark, d):
+    """O27 the sales table after a batch of cancellations."""
+    return CH.apply_cancellations(D.sales_b(spark, d), D.cancel_requests(spark, d))
+
+
+def _voided(spark, d):
+    return CH.apply_voids(D.sales_b(spark, d), D.sales_void(spark, d), D.void_requests(spark, d))
+
+
+@register("apply_voids_sales")
+def _q(spark, d):
+    """O28 the sales table after a batch of voids."""
+    return _voided(spark, d).sales
+
+
+@register("apply_voids_log")
+def _q(spark, d):
+    """O28 the void log after the batch (one row per accepted request)."""
+    return _voided(spark, d).sales_void
+
+
+@register("apply_voids_rejects")
+def _q(spark, d):
+    """O28 rejected void requests."""
+    return _voided(spark, d).rejects
+
+
+@register("apply_status_changes")
+def _q(spark, d):
+    """O27+O28 cancels and voids of one batch in one pass."""
+    return CH.apply_status_changes(D.sales_b(spark, d), D.cancel_requests(spark, d),
+                                   D.void_requests(spark, d))
+
+
+def _reset(spark, d, at):
+    return CH.reset_history(D.sales_b(spark, d), D.sale_addons(spark, d), D.sales_void(spark, d), at)
+
+
+@register("reset_history_sales")
+def _q(spark, d):
+    """O29 sales kept by a reset at 2024-01-15 12:00."""
+    return _reset(spark, d, "2024-01-15 12:00:00").sales
+
+
+@register("reset_history_addons")
+def _q(spark, d):
+    """O29 add-on rows kept by that reset (their sale survives)."""
+    return _reset(spark, d, "2024-01-15 12:00:00").sale_addons
+
+
+@register("reset_history_voids")
+def _q(spark, d):
+    """O29 void log rows kept by a reset at 1996-01-01."""
+    return _reset(spark, d, "1996-01-01 00:00:00").sales_void
+
+
+def _products_upserted(spark, d):
+    return CH.upsert_products(D.products(spark, d), D.product_changes(spark, d))
+
+
+@register("upsert_products")
+def _q(spark, d):
+    """O30 the catalogue after a batch of inserts and updates."""
+    return _products_upserted(spark, d).table
+
+
+@register("upsert_products_rejects")
+def _q(spark, d):
+    """O30 changes that did not apply, with the reason."""
+    return _products_upserted(spark, d).rejects
+
+
+def _deleted(spark, d):
+    return CH.delete_products(D.products(spark, d), D.sales_b(spark, d), D.product_deletes(spark, d))
+
+
+@register("delete_products_catalog")
+def _q(spark, d):
+    """O31 the catalogue after deletions."""
+    return _deleted(spark, d).products
+
+
+@register("delete_products_sales")
+def _q(spark, d):
+    """O31 the sales after deletions (product id cleared)."""
+    return _deleted(spark, d).sales
+
+
+def _ingredients_upserted(spark, d):
+    return CH.upsert_ingredients(D.ingredients(spark, d), D.ingredient_changes(spark, d))
+
+
+@register("upsert_ingredients")
+def _q(spark, d):
+    """O32 the ingredients after a batch of inserts and updates."""
+    return _ingredients_upserted(spark, d).table
+
+
+@register("upsert_ingredients_rejects")
+def _q(spark, d):
+    """O32 ingredient changes that did not apply (negative numbers, duplicates)."""
+    return _ingredients_upserted(spark, d).rejects
+
+
+@register("delete_ingredients")
+def _q(spark, d):
+    """O32 the ingredients after deletions."""
+    return CH.delete_ingredients(D.ingredients(spark, d), D.ingredient_deletes(spark, d))
