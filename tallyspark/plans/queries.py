@@ -447,3 +447,32 @@ def _q(spark, d):
 def _q(spark, d):
     """O32 the ingredients after deletions."""
     return CH.delete_ingredients(D.ingredients(spark, d), D.ingredient_deletes(spark, d))
+
+
+# --- Audit and export ------------------------------------------------------
+from tallyspark.operators import audit as AU  # noqa: E402
+from tallyspark.plans import export as EX  # noqa: E402
+
+
+@register("append_audit")
+def _q(spark, d):
+    """O33 the log after appending a batch that contains resets."""
+    return AU.append_audit(D.audit_logs(spark, d), D.audit_entries(spark, d))
+
+
+@register("recent_audit_logs")
+def _q(spark, d):
+    """O34 the latest 20 log entries."""
+    return AU.recent_audit_logs(D.audit_logs(spark, d))
+
+
+@register("export_summary_monthly")
+def _q(spark, d):
+    """O35 the export's summary table for filter=monthly."""
+    return EX.export_frames(D.sales_a(spark, d), AS_OF_A, "monthly")[0]
+
+
+@register("export_transactions_weekly")
+def _q(spark, d):
+    """O35 the export's transaction table for filter=weekly."""
+    return EX.export_frames(D.sales_a(spark, d), AS_OF_A, "weekly")[1]
