@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.periods import in_range, period_range
-from tallyspark.sources.tables import SALE_DATE
+from tallyspark.sources.tables import SALE_MONTH
 
 
 def is_ntz(df: DataFrame, col: str) -> bool:
@@ -19,15 +19,15 @@ def is_ntz(df: DataFrame, col: str) -> bool:
 
 def range_predicate(df: DataFrame, lo: dt.datetime | None, hi: dt.datetime | None,
                     col: str = "created_at") -> Column:
-    """``lo <= col < hi`` as literals, plus a ``sale_date`` bound when the
-    table is stored partitioned by date (so whole folders are pruned)."""
+    """``lo <= col < hi`` as literals, plus a ``sale_month`` bound when the
+    table is stored partitioned by month (so whole folders are pruned)."""
     pred = in_range(col, lo, hi, ntz=is_ntz(df, col))
-    if SALE_DATE in df.columns and col == "created_at":
+    if SALE_MONTH in df.columns and col == "created_at":
         if lo is not None:
-            pred = pred & (F.col(SALE_DATE) >= F.lit(lo.date()))
+            pred = pred & (F.col(SALE_MONTH) >= F.lit(lo.date().replace(day=1)))
         if hi is not None:
             last = hi.date() if hi.time() != dt.time() else hi.date() - dt.timedelta(days=1)
-            pred = pred & (F.col(SALE_DATE) <= F.lit(last))
+            pred = pred & (F.col(SALE_MONTH) <= F.lit(last.replace(day=1)))
     return pred
 
 
@@ -49,7 +49,7 @@ def filter_all(df: DataFrame, preds) -> DataFrame:
 
 
 def drop_partition_cols(df: DataFrame) -> DataFrame:
-    return df.drop(SALE_DATE) if SALE_DATE in df.columns else df
+    return df.drop(SALE_MONTH) if SALE_MONTH in df.columns else df
 
 
 def money_zero() -> Column:

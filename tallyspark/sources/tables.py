@@ -1,9 +1,12 @@
 """The seven back-office tables as DataFrames.
 
 Tables are stored as Parquet with explicit schemas (no inference). ``sales``
-is written partitioned by ``sale_date`` so a period filter prunes whole
-folders before any file is opened; the range predicate on ``created_at`` is
-still pushed into the remaining files' row groups. Any other source (for
+is written partitioned by ``sale_month`` (first day of the sale's month) and
+sorted by time inside each file: a period filter prunes whole month folders
+before any file is opened, and the range predicate on ``created_at`` is
+pushed into the remaining files, where row-group statistics skip the other
+days. Month folders keep the folder count low for long histories at small
+scale and stay a reasonable unit (many files each) at large scale. Any other source (for
 example ``spark.read.jdbc`` on the live database) can be passed through
 ``conform`` and used with every operator.
 """
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 from tallyspark import schemas as S
 
-SALE_DATE = "sale_date"  # partition column of stored sales
+SALE_MONTH = "sale_month"  # partition column of stored sales (first day of month)
 
 
 def canonical_status(col: str | Column = "status") -> Column:
@@ -55,15 +58,15 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             cols.append(F.col(fld.name))
         else:
             cols.append(F.col(fld.name).cast(want).alias(fld.name))
-    if table == "sales" and SALE_DATE in have:
+    if table == "sales" and SALE_MONTH in have:
         # Keep the partition column: period filters add a predicate on it so
         # that whole date folders are pruned.
-        cols.append(F.col(SALE_DATE))
+        cols.append(F.col(SALE_MONTH))
     return df.select(*cols)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Read one stored table; ``sale_date`` partitions are dropped from the output."""
+    """Read one stored table (sales keep their ``sale_month`` partition column)."""
     path = os.path.join(root, table)
     df = spark.read.parquet(path)
     return conform(df, table)
@@ -98,21 +101,21 @@ def read_tables(spark: SparkSession, root: str) -> ShopTables:
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> str:
     """Write a table in its stored layout; sales are partitioned by sale date.
 
-    Sales get a ``sale_date`` column and are range-partitioned on
-    ``(sale_date, created_at)`` before writing: each task writes one or a few
-    date folders, and a very busy day is split over several tasks by time
-    instead of landing in one. Rows are sorted by time inside each file, so
-    row-group statistics on ``created_at`` skip data within a day too.
+    Sales get a ``sale_month`` column and are range-partitioned on
+    ``(sale_month, created_at)`` before writing: each task writes one or a few
+    month folders, and a very busy month (or day) is split over several tasks
+    by time instead of landing in one. Rows are sorted by time inside each
+    file, so row-group statistics on ``created_at`` skip data within a month.
     """
     path = os.path.join(root, table)
     out = conform(df, table)
     writer = None
     if table == "sales":
-        if SALE_DATE not in out.columns:
-            out = out.withColumn(SALE_DATE, F.to_date("created_at"))
-        out = (out.repartitionByRange(SALE_DATE, "created_at")
-               .sortWithinPartitions(SALE_DATE, "created_at"))
-        writer = out.write.mode(mode).partitionBy(SALE_DATE)
+        if SALE_MONTH not in out.columns:
+            out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
+        out = (out.repartitionByRange(SALE_MONTH, "created_at")
+               .sortWithinPartitions(SALE_MONTH, "created_at"))
+        writer = out.write.mode(mode).partitionBy(SALE_MONTH)
     else:
         writer = out.write.mode(mode)
     writer.parquet(path)
