@@ -95,8 +95,11 @@ def report_transactions(sales: DataFrame, as_of, filter_name: str | None = "dail
     """Completed rows of the report period, newest first."""
     period = P.report_period(filter_name)
     pred = period_predicate(sales, period, as_of) & (F.col("status") == F.lit(S.STATUS_COMPLETED))
-    out = sales.filter(pred).select("product_name", "quantity", "total", "created_at", "status")
-    return out.orderBy(F.col("created_at").desc_nulls_last())
+    # The sale id ends the sort key so that many rows with one timestamp can
+    # still be split between range partitions; it is not part of the output.
+    out = sales.filter(pred).orderBy(F.col("created_at").desc_nulls_last(),
+                                     F.col("sales_id").desc_nulls_last())
+    return out.select("product_name", "quantity", "total", "created_at", "status")
 
 
 def sale_badges(sales: DataFrame) -> DataFrame:
