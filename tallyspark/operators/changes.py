@@ -275,9 +275,12 @@ def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str]
     # The last applied change gives the values; the image comes from the last
     # insert or non-empty image (an empty image on update keeps the old one).
     takes_image = is_ins | ~_php_empty(F.col("image"))
+    # Orderings end in the row's own values, so two changes sharing a ``seq``
+    # still fold the same way when a task is recomputed.
+    order = F.struct(F.col("seq"), *[F.col(v) for v in value_cols], F.col("image"))
     final = ap.groupBy(key).agg(
-        F.max_by(F.struct(*[F.col(v) for v in value_cols]), F.col("seq")).alias("_v"),
-        F.max_by(F.col("image"), F.when(takes_image, F.col("seq"))).alias("_img"),
+        F.max_by(F.struct(*[F.col(v) for v in value_cols]), order).alias("_v"),
+        F.max_by(F.col("image"), F.when(takes_image, order)).alias("_img"),
         F.max(F.when(takes_image, F.col("seq"))).alias("_img_seq"),
         F.max(is_ins.cast("int")).alias("_inserted"),
     )

@@ -98,25 +98,43 @@ def read_tables(spark: SparkSession, root: str) -> ShopTables:
     return ShopTables(**found)
 
 
-def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> str:
-    """Write a table in its stored layout; sales are partitioned by sale date.
-
-    Sales get a ``sale_month`` column and are range-partitioned on
-    ``(sale_month, created_at)`` before writing: each task writes one or a few
-    month folders, and a very busy month (or day) is split over several tasks
-    by time instead of landing in one. Rows are sorted by time inside each
-    file, so row-group statistics on ``created_at`` skip data within a month.
+# Key each stored table is clustered by: child tables by their parent's id,
+# so lookups and semi-joins by that id skip row groups by min/max statistics.
+CLUSTER_KEYS = {
+    "sales": (SALE_MONTH, "created_at", "sales_id"),
+    "products": ("product_id",),
+    "addons": ("addon_id",),
+    "sale_addons": ("sale_id", "addon_id"),
+    "sales_void": ("sale_id", "void_id"),
+    "ingredients": ("ingredient_id",),
+    "audit_logs": ("created_at", "log_id"),
+}
+
+
+def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite",
+                files: int | None = None) -> str:
+    """Write a table in its stored layout.
+
+    Rows are range-partitioned on the table's cluster key into ``files``
+    tasks (default ``spark.sql.shuffle.partitions``) and sorted inside each
+    file. Range partitioning samples the key, so a very busy month, day or
+    parent id is split over several tasks instead of landing in one.
+
+    Sales also get a ``sale_month`` column and are written partitioned by it:
+    each task writes one or a few month folders, and rows are sorted by time
+    inside each file, so row-group statistics on ``created_at`` skip data
+    within a month.
     """
+    spark = df.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = os.path.join(root, table)
     out = conform(df, table)
-    writer = None
+    if table == "sales" and SALE_MONTH not in out.columns:
+        out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
+    keys = CLUSTER_KEYS[table]
+    out = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    writer = out.write.mode(mode)
     if table == "sales":
-        if SALE_MONTH not in out.columns:
-            out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
-        out = (out.repartitionByRange(SALE_MONTH, "created_at")
-               .sortWithinPartitions(SALE_MONTH, "created_at"))
-        writer = out.write.mode(mode).partitionBy(SALE_MONTH)
-    else:
-        writer = out.write.mode(mode)
+        writer = writer.partitionBy(SALE_MONTH)
     writer.parquet(path)
     return path
