@@ -1,0 +1,78 @@
+"""Parsing raw (text) request fields the way the application's handlers do.
+
+Form fields arrive as strings and are read with PHP ``intval``/``floatval``:
+the longest numeric prefix after leading whitespace counts, anything else is
+0 (``"12abc"`` -> 12, ``"abc"`` -> 0, ``"1e3"`` -> 1000, ``"2.9"`` -> 2). A typed feed
+(``schemas.SALE_REQUESTS`` etc.) can be built from a text feed with the
+``parse_*`` functions; Spark's own casts would give NULL instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark import schemas as S
+from tallyspark.functions.text import php_trim
+
+# Numeric-prefix patterns of PHP's string-to-number conversion.
+_FLOAT_PREFIX = r"^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+_INT_ONLY = r"^[+-]?[0-9]+$"
+_LONG_MAX = 9223372036854775807
+
+
+def _c(col) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
+
+def php_floatval(col) -> Column:
+    num = F.regexp_extract(_c(col), _FLOAT_PREFIX, 1)
+    return F.when(num == "", F.lit(0.0)).otherwise(num.try_cast("double"))
+
+
+def php_intval(col) -> Column:
+    """Integer value of a string; an integer prefix beyond the long range
+    saturates, a float prefix is truncated toward zero."""
+    num = F.regexp_extract(_c(col), _FLOAT_PREFIX, 1)
+    as_long = num.try_cast("long")
+    saturated = F.when(num.startswith("-"), F.lit(-_LONG_MAX - 1)).otherwise(F.lit(_LONG_MAX))
+    from_float = num.try_cast("double").try_cast("long")
+    return (F.when(num == "", F.lit(0).cast("long"))
+            .when(num.rlike(_INT_ONLY), F.coalesce(as_long, saturated))
+            .otherwise(F.coalesce(from_float, saturated)))
+
+
+def parse_id_list(col) -> Column:
+    """``"1, 2,x"`` or ``array<string>`` -> ``array<long>`` through ``intval``."""
+    c = _c(col)
+    return F.transform(F.split(c, ","), lambda x: php_intval(x))
+
+
+def parse_sale_requests(raw: DataFrame) -> DataFrame:
+    """Text sale requests (request_id, product_id, quantity, addon_ids as a
+    comma-separated string, created_at) -> ``SALE_REQUESTS``."""
+    return raw.select(
+        php_intval("request_id").alias("request_id"),
+        php_intval("product_id").alias("product_id"),
+        php_intval("quantity").cast("int").alias("quantity"),
+        F.when(F.col("addon_ids").isNull() | (php_trim("addon_ids") == ""),
+               F.array().cast("array<bigint>")).otherwise(parse_id_list("addon_ids")).alias("addon_ids"),
+        F.col("created_at").try_cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def parse_product_changes(raw: DataFrame) -> DataFrame:
+    """Text product changes -> ``PRODUCT_CHANGES`` (price through ``floatval``)."""
+    return raw.select(
+        php_intval("seq").alias("seq"), F.col("op"), php_intval("product_id").alias("product_id"),
+        F.col("product_name"), php_floatval("price").cast(S.MONEY).alias("price"),
+        F.col("category"), F.col("status"), F.col("image"))
+
+
+def parse_ingredient_changes(raw: DataFrame) -> DataFrame:
+    """Text ingredient changes -> ``INGREDIENT_CHANGES`` (numbers through ``intval``)."""
+    return raw.select(
+        php_intval("seq").alias("seq"), F.col("op"), php_intval("ingredient_id").alias("ingredient_id"),
+        F.col("ingredient_name"), php_intval("stock").cast("int").alias("stock"),
+        php_intval("low_stock_threshold").cast("int").alias("low_stock_threshold"),
+        F.col("unit"), F.col("image"))

@@ -73,11 +73,18 @@ def sales_list(sales: DataFrame, products: DataFrame, sale_addons: DataFrame,
     status ``badge``. The search is not trimmed (the page does not trim it);
     NULL times sort last; ties by ``sales_id`` descending.
     """
-    preds = [search_filter("product_name", search, trim=False), _date_filter(sales, on_date)]
-    s = drop_partition_cols(sales)
+    preds = [p for p in (search_filter("product_name", search, trim=False), _date_filter(sales, on_date))
+             if p is not None]
+    s = sales
     for p in preds:
-        if p is not None:
-            s = s.filter(p)
+        s = s.filter(p)
+    s = drop_partition_cols(s)
+    if preds:
+        # A filtered list needs the add-ons of the listed sales only: narrow
+        # the add-on rows to those ids before nesting them, instead of
+        # nesting the whole add-on table.
+        wanted = s.select(F.col("sales_id").alias("sale_id"))
+        sale_addons = sale_addons.join(wanted, "sale_id", "left_semi")
     cat = products.select("product_id", F.col("category").alias("product_category"))
     nested = addons_by_sale(sale_addons).withColumnRenamed("sale_id", "sales_id")
     empty = F.array().cast(nested.schema["addons"].dataType)

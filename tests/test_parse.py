@@ -1,0 +1,20 @@
+from tallyspark.functions.parse import parse_sale_requests, php_floatval, php_intval
+
+
+def test_php_number_parsing(spark):
+    vals = ["12abc", "abc", " 7", "-3", "1e3", "2.9", "", "+5", ".5", "99999999999999999999", None]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    rows = df.select(php_intval("s").alias("i"), php_floatval("s").alias("f")).collect()
+    ints = [r.i for r in rows]
+    assert ints[:9] == [12, 0, 7, -3, 1000, 2, 0, 5, 0]
+    assert ints[9] == 9223372036854775807
+    assert [r.f for r in rows][:6] == [12.0, 0.0, 7.0, -3.0, 1000.0, 2.9]
+
+
+def test_parse_sale_requests(spark):
+    raw = spark.createDataFrame([("1", "10", "2", "1, 1,x", "2030-05-15 10:00:00"),
+                                 ("2", "abc", "3", "", None)],
+                                "request_id string, product_id string, quantity string, addon_ids string, created_at string")
+    rows = parse_sale_requests(raw).collect()
+    assert rows[0].addon_ids == [1, 1, 0] and rows[0].quantity == 2
+    assert rows[1].product_id == 0 and rows[1].addon_ids == []
