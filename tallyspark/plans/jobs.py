@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,24 +43,20 @@ def _batch_dir(root: str, batch: int) -> str:
     return os.path.join(root, BATCHES, f"{batch:012d}")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def committed_batches(spark: SparkSession, root: str) -> list[int]:
-    """Committed batch numbers under ``root``, oldest first (listed through
-    Hadoop's file system API, so any shared store works)."""
-    base, fs = _fs(spark, os.path.join(root, BATCHES))
-    if not fs.exists(base):
-        return []
-    out = []
-    for st in fs.listStatus(base):
-        marker = spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), MARKER)
-        if fs.exists(marker):
-            out.append(int(st.getPath().getName()))
-    return sorted(out)
+def committed_batches(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """Committed batches under ``root`` (batch number -> its outputs), read
+    from the commit markers with Spark itself; uncommitted folders have no
+    marker and are never listed."""
+    pattern = os.path.join(root, BATCHES, "*", MARKER)
+    try:
+        rows = spark.read.text(pattern).collect()  # one short line per batch
+    except AnalysisException:
+        return {}
+    out = {}
+    for r in rows:
+        meta = json.loads(r.value)
+        out[int(meta["batch"])] = list(meta["outputs"])
+    return dict(sorted(out.items()))
 
 
 def commit_batch(spark: SparkSession, root: str, batch: int, outputs: dict[str, DataFrame]) -> str:
@@ -76,12 +73,8 @@ def commit_batch(spark: SparkSession, root: str, batch: int, outputs: dict[str,
 def read_committed(spark: SparkSession, root: str, output: str) -> DataFrame | None:
     """One output across all committed batches (one scan over their folders),
     with the batch number as a column; None when no batch has it."""
-    paths = []
-    for b in committed_batches(spark, root):
-        p = os.path.join(_batch_dir(root, b), output)
-        path, fs = _fs(spark, p)
-        if fs.exists(path):
-            paths.append(p)
+    paths = [os.path.join(_batch_dir(root, b), output)
+             for b, outs in committed_batches(spark, root).items() if output in outs]
     if not paths:
         return None
     df = spark.read.parquet(*paths)
@@ -122,11 +115,9 @@ def current_sales(spark: SparkSession, base_sales: DataFrame, root: str) -> Data
 
 def current_table(spark: SparkSession, base: DataFrame, root: str, name: str) -> DataFrame:
     """Latest committed full version of a catalogue table, else ``base``."""
-    for b in reversed(committed_batches(spark, root)):
-        p = os.path.join(_batch_dir(root, b), name)
-        path, fs = _fs(spark, p)
-        if fs.exists(path):
-            return conform(spark.read.parquet(p), name)
+    for b, outs in reversed(list(committed_batches(spark, root).items())):
+        if name in outs:
+            return conform(spark.read.parquet(os.path.join(_batch_dir(root, b), name)), name)
     return base
 
 

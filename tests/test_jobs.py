@@ -27,7 +27,7 @@ def test_status_batches_merge_on_read(spark):
     merged = jobs.current_sales(spark, sales, root)
     expected = changes.apply_status_changes(sales, cancels, voids)
     assert same(merged, expected)
-    assert jobs.committed_batches(spark, root) == [1, 2]
+    assert list(jobs.committed_batches(spark, root)) == [1, 2]
     full_log = jobs.current_log(spark, log, root, "sales_void")
     assert full_log.count() == changes.apply_voids(sales, log, voids).sales_void.count()
 
