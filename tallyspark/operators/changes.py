@@ -96,21 +96,12 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame) ->
                 .withColumn("_aid", F.explode_outer(F.array_distinct("addon_ids")))
                 .drop("addon_ids"))
     with_addons = exploded.join(avail, "_aid", "left")
-    per_request = (with_addons.groupBy("request_id").agg(
-        F.any_value("product_id").alias("product_id"),
-        F.any_value("quantity").alias("quantity"),
-        F.any_value("created_at").alias("created_at"),
-        F.any_value("_pname").alias("product_name"),
-        F.any_value("_price").alias("_price"),
-        F.any_value("_image").alias("product_image"),
-        F.coalesce(F.sum("_aprice"), F.lit(0).cast(S.MONEY)).alias("_addon_total"),
-        # Bounded by the add-on catalogue: ids are distinct and only
-        # available add-ons match.
-        F.collect_list(F.when(F.col("_aname").isNotNull() | F.col("_aprice").isNotNull(),
-                              F.struct(F.col("_aid").alias("addon_id"),
-                                       F.col("_aname").alias("addon_name"),
-                                       F.col("_aprice").alias("price")))).alias("_addons"),
-    ))
+    # Every request column is fixed by ``request_id``, so grouping by all of
+    # them equals grouping by the id; as keys (not ``any_value`` buffers)
+    # they keep the aggregation hash-based with a map-side partial sum.
+    keys = ["request_id", "product_id", "quantity", "created_at", "_pname", "_price", "_image"]
+    per_request = (with_addons.groupBy(*keys)
+                   .agg(F.coalesce(F.sum("_aprice"), F.lit(0).cast(S.MONEY)).alias("_addon_total")))
     qty = F.col("quantity").cast("decimal(10,0)")
     total = qty * F.coalesce(F.col("_price"), F.lit(0).cast(S.MONEY)) + qty * F.col("_addon_total")
     priced = per_request.withColumn("_total", total)
@@ -119,11 +110,14 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame) ->
     good = priced.filter(in_range)
 
     accepted = conform(good.select(
-        F.col("request_id").alias("sales_id"), "product_id", "product_name", "quantity",
-        F.col("_total").cast(S.MONEY).alias("total"), "created_at",
-        F.lit(S.STATUS_COMPLETED).alias("status"), "product_image"), "sales")
-    addon_rows = (good.select(F.col("request_id").alias("sale_id"), F.explode("_addons").alias("a"))
-                  .select("sale_id", "a.addon_id", "a.addon_name", "a.price"))
+        F.col("request_id").alias("sales_id"), "product_id", F.col("_pname").alias("product_name"),
+        "quantity", F.col("_total").cast(S.MONEY).alias("total"), "created_at",
+        F.lit(S.STATUS_COMPLETED).alias("status"), F.col("_image").alias("product_image")), "sales")
+    # One row per accepted request and matched (available, distinct) add-on.
+    matched = with_addons.filter(F.col("_aname").isNotNull()).select(
+        F.col("request_id").alias("sale_id"), F.col("_aid").alias("addon_id"),
+        F.col("_aname").alias("addon_name"), F.col("_aprice").alias("price"))
+    addon_rows = matched.join(good.select(F.col("request_id").alias("sale_id")), "sale_id", "left_semi")
     rejects = invalid.unionByName(not_found).unionByName(too_big)
     return PricedSales(accepted, rejects, addon_rows)
 
