@@ -90,6 +90,15 @@ def main() -> None:
             sales_b, feed["cancel_requests"], feed["void_requests"]),
         "upsert_products": lambda: changes.upsert_products(products, feed["product_changes"]).table,
         "append_audit": lambda: audit.append_audit(t("audit_logs"), feed["audit_entries"]),
+        "report_summary_weekly": lambda: kpis.report_summary(sales, a, "weekly"),
+        "sales_list_search_day": lambda: sales_views.sales_list(
+            sales_b, products, t("sale_addons"), search="bolt", on_date=D.AS_OF_B),
+        "addons_by_sale": lambda: sales_views.addons_by_sale(t("sale_addons")),
+        "stock_cards": lambda: inventory.stock_cards(t("ingredients")),
+        "low_stock_alerts": lambda: inventory.low_stock_alerts(t("ingredients")),
+        "reset_history_addons": lambda: changes.reset_history(
+            sales_b, t("sale_addons"), t("sales_void"), "2024-01-15 12:00:00").sale_addons,
+        "recent_audit_logs": lambda: audit.recent_audit_logs(t("audit_logs")),
     }
 
     def run(df):

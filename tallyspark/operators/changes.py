@@ -236,68 +236,88 @@ class Upserted:
 
 def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str],
             extra_rejects: Column | None, reject_reason: str | None, table: str) -> Upserted:
+    """Fold each key's changes in ``seq`` order with one aggregation.
+
+    For a key already in the table every insert fails and every update
+    applies: the values are those of the last update, the image that of the
+    last update with a non-empty image (else the current one). For a new key
+    the first insert (seq ``f``) creates the row; updates before ``f`` change
+    nothing, later inserts fail; so the values are the last update's if it
+    comes after ``f``, else the insert's, and likewise for the image. All of
+    that is a handful of conditional ``min``/``max``/``min_by``/``max_by``
+    aggregates per key (map-side partial, so a hot key is reduced in each
+    task), then one join with the table.
+    """
     base_cols = base.columns
-    c = changes
     reasons = F.when(F.col(key).isNull(), F.lit(REJECT_MISSING_KEY)) \
                .when(~F.col("op").isin("insert", "update"), F.lit(REJECT_UNKNOWN_OP))
     if extra_rejects is not None:
         reasons = reasons.when(extra_rejects, F.lit(reject_reason))
-    c = c.withColumn("_bad", reasons)
+    c = changes.withColumn("_bad", reasons)
     invalid = c.filter(F.col("_bad").isNotNull()).select("seq", F.col(key).alias("key"),
                                                          F.col("_bad").alias("reason"))
     c = c.filter(F.col("_bad").isNull()).drop("_bad")
 
-    # Keys of this batch that already exist: the batch's distinct keys joined
-    # with the table's keys (the batch side is the small one).
-    batch_keys = c.select(key).distinct()
-    existing = base.select(key).join(batch_keys, key, "inner").withColumn("_in_base", F.lit(True))
-    first_insert = (c.filter(F.col("op") == "insert").groupBy(key)
-                    .agg(F.min("seq").alias("_first_insert")))
-    ck = (c.join(existing, key, "left").join(first_insert, key, "left")
-          .withColumn("_in_base", F.coalesce(F.col("_in_base"), F.lit(False))))
     is_upd = F.col("op") == "update"
     is_ins = F.col("op") == "insert"
-    after_insert = F.col("_first_insert").isNotNull() & (F.col("seq") > F.col("_first_insert"))
-    applies = ((is_upd & (F.col("_in_base") | after_insert))
-               | (is_ins & ~F.col("_in_base") & (F.col("seq") == F.col("_first_insert"))))
-    ck = ck.withColumn("_applies", F.coalesce(applies, F.lit(False)))
-    ignored = ck.filter(~F.col("_applies")).select(
-        "seq", F.col(key).alias("key"),
-        F.when(is_ins, F.lit(REJECT_DUPLICATE_KEY)).otherwise(F.lit(IGNORED_UNKNOWN_KEY)).alias("reason"))
-    ap = ck.filter(F.col("_applies"))
-
-    # The last applied change gives the values; the image comes from the last
-    # insert or non-empty image (an empty image on update keeps the old one).
-    takes_image = is_ins | ~_php_empty(F.col("image"))
+    has_image = ~_php_empty(F.col("image"))
+    vals = F.struct(*[F.col(v) for v in value_cols])
     # Orderings end in the row's own values, so two changes sharing a ``seq``
     # still fold the same way when a task is recomputed.
     order = F.struct(F.col("seq"), *[F.col(v) for v in value_cols], F.col("image"))
-    final = ap.groupBy(key).agg(
-        F.max_by(F.struct(*[F.col(v) for v in value_cols]), order).alias("_v"),
-        F.max_by(F.col("image"), F.when(takes_image, order)).alias("_img"),
-        F.max(F.when(takes_image, F.col("seq"))).alias("_img_seq"),
-        F.max(is_ins.cast("int")).alias("_inserted"),
+    folded = c.groupBy(key).agg(
+        F.min(F.when(is_ins, F.col("seq"))).alias("_f"),
+        F.min_by(vals, F.when(is_ins, order)).alias("_ins_v"),
+        F.min_by(F.col("image"), F.when(is_ins, order)).alias("_ins_img"),
+        F.max(F.when(is_upd, F.col("seq"))).alias("_u"),
+        F.max_by(vals, F.when(is_upd, order)).alias("_upd_v"),
+        F.max(F.when(is_upd & has_image, F.col("seq"))).alias("_ui"),
+        F.max_by(F.col("image"), F.when(is_upd & has_image, order)).alias("_upd_img"),
     )
-    upd = final.filter(F.col("_inserted") == 0)
+    base_keys = base.select(key).withColumn("_in_base", F.lit(True))
+
+    # Keys already in the table: updates only.
+    upd = folded.filter(F.col("_u").isNotNull())
     merged = base.join(upd, key, "left")
     out_cols = []
     for col in base_cols:
         if col == key:
             out_cols.append(F.col(key))
         elif col == "image":
-            out_cols.append(F.when(F.col("_img_seq").isNotNull(), F.col("_img"))
+            out_cols.append(F.when(F.col("_ui").isNotNull(), F.col("_upd_img"))
                             .otherwise(F.col("image")).alias("image"))
         elif col in value_cols:
-            out_cols.append(F.when(F.col("_v").isNotNull(), F.col("_v")[col])
+            out_cols.append(F.when(F.col("_u").isNotNull(), F.col("_upd_v")[col])
                             .otherwise(F.col(col)).alias(col))
         else:
             out_cols.append(F.col(col))
     updated = merged.select(*out_cols)
-    ins = final.filter(F.col("_inserted") == 1).select(
-        *[F.col(key) if col == key else
-          (F.col("_img").alias("image") if col == "image" else F.col("_v")[col].alias(col))
-          for col in base_cols])
-    table_out = conform(updated.unionByName(ins), table)
+
+    # New keys: created by their first insert, then changed by later updates.
+    new = folded.filter(F.col("_f").isNotNull()).join(base_keys, key, "left_anti")
+    later = F.col("_u").isNotNull() & (F.col("_u") > F.col("_f"))
+    later_img = F.col("_ui").isNotNull() & (F.col("_ui") > F.col("_f"))
+    ins_cols = []
+    for col in base_cols:
+        if col == key:
+            ins_cols.append(F.col(key))
+        elif col == "image":
+            ins_cols.append(F.when(later_img, F.col("_upd_img")).otherwise(F.col("_ins_img")).alias("image"))
+        else:
+            ins_cols.append(F.when(later, F.col("_upd_v")[col]).otherwise(F.col("_ins_v")[col]).alias(col))
+    inserted = new.select(*ins_cols)
+    table_out = conform(updated.unionByName(inserted), table)
+
+    # Changes that did not apply (reported, not applied).
+    ck = (c.join(folded.select(key, "_f"), key, "left")
+          .join(base_keys, key, "left")
+          .withColumn("_in_base", F.coalesce(F.col("_in_base"), F.lit(False))))
+    after_insert = F.col("_f").isNotNull() & (F.col("seq") > F.col("_f"))
+    applies = ((is_upd & (F.col("_in_base") | after_insert))
+               | (is_ins & ~F.col("_in_base") & (F.col("seq") == F.col("_f"))))
+    ignored = ck.filter(~F.coalesce(applies, F.lit(False))).select(
+        "seq", F.col(key).alias("key"),
+        F.when(is_ins, F.lit(REJECT_DUPLICATE_KEY)).otherwise(F.lit(IGNORED_UNKNOWN_KEY)).alias("reason"))
     return Upserted(table_out, invalid.unionByName(ignored))
 
 

@@ -62,3 +62,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
     return current
+
+
+def cluster_settings(advisory_partition_mb: int = 256, initial_shuffle_partitions: int = 8192) -> dict:
+    """Settings suggested for large clusters (tens of TB per query).
+
+    AQE coalesces the many initial shuffle partitions down to the advisory
+    size and splits skewed ones; scans read ~256 MB splits. Pass these to
+    ``SparkSession.builder.config`` together with ``CORE_CONF``.
+    """
+    mb = advisory_partition_mb * 1024 * 1024
+    return {
+        **CORE_CONF,
+        "spark.sql.shuffle.partitions": str(initial_shuffle_partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * mb),
+        "spark.sql.files.maxPartitionBytes": str(mb),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
