@@ -36,16 +36,14 @@ def _sf(path: str) -> float | str:
     return float(m.group(1)) if m else path
 
 
-def main() -> None:
-    from tallyspark.session import local_session
+def build_plans(spark, sf_dir: str, root: str):
+    """Store the adapted tables under ``root``; return (load seconds, plans)."""
     from tallyspark.sources import driver_tables as D
     from tallyspark.sources.tables import read_table, write_table
     from tallyspark import periods as P
     from tallyspark.operators import audit, catalog, changes, inventory, kpis, rankings, sales_views
 
-    spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app_name="tallyspark-bench")
-    root = tempfile.mkdtemp(prefix="tallyspark-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
-
+    SF_DIR = sf_dir
     t0 = time.perf_counter()
     adapters = {
         "sales": D.sales_a, "products": D.products, "addons": D.addons,
@@ -100,6 +98,15 @@ def main() -> None:
             sales_b, t("sale_addons"), t("sales_void"), "2024-01-15 12:00:00").sale_addons,
         "recent_audit_logs": lambda: audit.recent_audit_logs(t("audit_logs")),
     }
+    return load_seconds, plans
+
+
+def main() -> None:
+    from tallyspark.session import local_session
+
+    spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app_name="tallyspark-bench")
+    root = tempfile.mkdtemp(prefix="tallyspark-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
+    load_seconds, plans = build_plans(spark, SF_DIR, root)
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()

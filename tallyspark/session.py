@@ -25,6 +25,11 @@ CORE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Size estimates of Parquet scans are file sizes; decompressed rows are
+    # several times larger. Scaling the estimate keeps the planner from
+    # broadcasting a side that only looks small on disk; AQE still broadcasts
+    # it at run time when its measured size is under the threshold.
+    "spark.sql.sources.fileCompressionFactor": "8",
 }
 
 
