@@ -66,6 +66,9 @@ def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
     semi-joined with those at most k ids (a broadcast whose size is bounded
     by k), so the catalogue is scanned but never shuffled.
     """
+    # The period aggregate feeds both the result and the id list, so its
+    # (pruned, pushed-down) scan runs twice; that is far cheaper than a
+    # shuffle of the whole catalogue for a left join.
     agg = _sales_by_product(sales, as_of, period, S.STATUS_COMPLETED, "qty_sold")
     top = _top(agg, "qty_sold", k)
     ids = top.select("product_id").filter(F.col("product_id").isNotNull())
@@ -75,18 +78,23 @@ def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
         "product_id", "product_name", "qty_sold", "revenue", "image", "price", "category")
 
 
-def category_ranking(sales: DataFrame, products: DataFrame) -> DataFrame:
+def category_ranking(sales: DataFrame, products: DataFrame, collation: str | None = None) -> DataFrame:
     """All-time Completed quantity and revenue per live category, ranked
     1..n by revenue. Sales of deleted products drop out (inner join).
 
     Sales are reduced to one row per product before the join and to one row
     per category after it, so the ranking window (one partition by design)
-    sees only as many rows as there are categories.
+    sees only as many rows as there are categories. Categories group as
+    stored (binary); ``collation="UNICODE_CI_AI"`` groups them the way the
+    source database compares text (case- and accent-insensitive), at the cost
+    of a sort-based aggregate.
     """
     per_product = (sales.filter(F.col("status") == F.lit(S.STATUS_COMPLETED))
                    .groupBy("product_id")
                    .agg(F.sum("quantity").alias("q"), F.sum("total").alias("t")))
-    per_cat = (per_product.join(products.select("product_id", "category"), "product_id", "inner")
+    category = F.col("category") if collation is None else F.collate(F.col("category"), collation)
+    per_cat = (per_product.join(products.select("product_id", category.alias("category")),
+                                "product_id", "inner")
                .groupBy("category")
                .agg(F.sum("q").alias("total_quantity"), F.sum("t").alias("total_sales")))
     w = Window.orderBy(F.col("total_sales").desc_nulls_last(), F.col("category").asc_nulls_first())

@@ -129,8 +129,10 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite",
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = os.path.join(root, table)
     out = conform(df, table)
-    if table == "sales" and SALE_MONTH not in out.columns:
-        out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
+    if table == "sales":
+        out = out.withColumn("status", canonical_status("status"))
+        if SALE_MONTH not in out.columns:
+            out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
     keys = CLUSTER_KEYS[table]
     out = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     writer = out.write.mode(mode)

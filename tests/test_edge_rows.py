@@ -159,3 +159,31 @@ def test_product_changes_and_delete(edge, spark):
     s = {r.sales_id: r for r in deleted.sales.collect()}
     assert all(s[i].product_id is None and s[i].product_name == "Café Uno" for i in (1, 2, 7, 8))
     assert deleted.sales.count() == 9 and deleted.products.count() == 2
+
+
+def test_collated_category_grouping(spark):
+    from decimal import Decimal
+    from tallyspark import schemas as S
+    import datetime as dt
+    sales = spark.createDataFrame([
+        (1, 1, "a", 1, Decimal("5.00"), dt.datetime(2030, 1, 1), "Completed", None),
+        (2, 2, "b", 2, Decimal("7.00"), dt.datetime(2030, 1, 1), "Completed", None),
+    ], S.SALES)
+    products = spark.createDataFrame([
+        (1, "a", "Hot Coffee", Decimal("1"), "Available", None),
+        (2, "b", "hot cöffee", Decimal("1"), "Available", None),
+    ], S.PRODUCTS)
+    assert rankings.category_ranking(sales, products).count() == 2
+    rows = rankings.category_ranking(sales, products, collation="UNICODE_CI_AI").collect()
+    assert len(rows) == 1 and rows[0].total_sales == Decimal("12.00") and rows[0].total_quantity == 3
+
+
+def test_status_canonical_on_write(spark, edge, tmp_path):
+    from tallyspark.sources.tables import read_table, write_table
+    s = edge["sales"].withColumn("status", F.when(F.col("sales_id") == 1, F.lit("completed"))
+                                 .otherwise(F.col("status")))
+    write_table(s, str(tmp_path), "sales")
+    back = read_table(spark, str(tmp_path), "sales")
+    assert back.filter(F.col("status") == "completed").count() == 0
+    assert back.filter(F.col("status") == "Completed").count() == 6
+    assert back.filter(F.col("status") == "pending").count() == 1
