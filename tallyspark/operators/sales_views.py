@@ -88,8 +88,10 @@ def sales_list(sales: DataFrame, products: DataFrame, sale_addons: DataFrame,
     cat = products.select("product_id", F.col("category").alias("product_category"))
     nested = addons_by_sale(sale_addons).withColumnRenamed("sale_id", "sales_id")
     empty = F.array().cast(nested.schema["addons"].dataType)
-    out = (s.join(cat, "product_id", "left")
-           .join(nested, "sales_id", "left")
+    # The sale-id join comes first: with both tables bucketed by the sale id
+    # it needs no shuffle; the catalogue join follows.
+    out = (s.join(nested, "sales_id", "left")
+           .join(cat, "product_id", "left")
            .withColumn("addons", F.coalesce(F.col("addons"), empty))
            .withColumn("unit_price", unit_price("total", "quantity"))
            .withColumn("badge", status_badge("status")))

@@ -39,6 +39,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g"))
+    # Catalogue tables created in local runs (bucketed layout) live in a
+    # scratch warehouse, not in the working directory.
+    builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(
+        prefix="tallyspark-wh-", dir=os.environ.get("TMPDIR", "/tmp")))
     if not (extra or {}).get("spark.checkpoint.dir"):
         # Local runs only: a fresh scratch folder stands in for the shared one.
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(
