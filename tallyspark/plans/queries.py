@@ -476,3 +476,14 @@ def _q(spark, d):
 def _q(spark, d):
     """O35 the export's transaction table for filter=weekly."""
     return EX.export_frames(D.sales_a(spark, d), AS_OF_A, "weekly")[1]
+
+
+# --- Streaming operator, run as a batch query -------------------------------
+from tallyspark.streaming import kpi_stream as KS  # noqa: E402
+
+
+@register("daily_sales_windows")
+def _q(spark, d):
+    """Day windows of the streaming KPI job (all statuses and Completed),
+    evaluated over the whole event-sales table as a batch."""
+    return KS.daily_windows(D.sales_b(spark, d))

@@ -18,23 +18,33 @@ from tallyspark import schemas as S
 from tallyspark.session import ensure_checkpoint_dir
 
 
+def _wall_clock_as_utc(col: str) -> F.Column:
+    """A ``timestamp`` (instant) whose UTC reading equals the wall-clock
+    value of a ``timestamp_ntz``/``timestamp`` column in any session zone, so
+    day windows (aligned to UTC midnight) are the wall-clock days."""
+    c = F.col(col)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
 def daily_windows(sales: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Streaming (or batch) aggregate: one row per sale day.
 
-    Watermarks need a session-zone ``timestamp``; a ``timestamp_ntz`` time is
-    cast in the session zone, which the library pins to UTC, so the day
-    windows (aligned to UTC midnight) are the wall-clock days.
+    Watermarks need an instant (``timestamp``); the wall-clock sale time is
+    read as UTC for that, independent of the session zone, and the output
+    day is taken from the rows' own dates.
     """
     done = F.col("status") == F.lit(S.STATUS_COMPLETED)
-    ts = F.col("created_at").cast("timestamp")
-    return (sales.withColumn("_event_time", ts).withWatermark("_event_time", watermark)
+    return (sales.filter(F.col("created_at").isNotNull())      # no time, no day
+            .withColumn("_event_time", _wall_clock_as_utc("created_at"))
+            .withWatermark("_event_time", watermark)
             .groupBy(F.window("_event_time", "1 day").alias("w"))
-            .agg(F.coalesce(F.sum("total"), F.lit(0).cast(S.MONEY)).alias("total"),
+            .agg(F.min(F.to_date("created_at")).alias("day"),
+                 F.coalesce(F.sum("total"), F.lit(0).cast(S.MONEY)).alias("total"),
                  F.count(F.lit(1)).alias("orders"),
                  F.coalesce(F.sum(F.when(done, F.col("total"))), F.lit(0).cast(S.MONEY)).alias("completed_total"),
                  F.count(F.when(done, F.lit(1))).alias("completed_orders"))
-            .select(F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("day"), "total", "orders",
-                    "completed_total", "completed_orders"))
+            .select("day", "total", "orders", "completed_total", "completed_orders"))
 
 
 def start_daily_totals(spark: SparkSession, sales_stream: DataFrame, out_dir: str,
