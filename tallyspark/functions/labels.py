@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.schemas import AVAILABLE, DEFAULT_LOW_STOCK_THRESHOLD, UNAVAILABLE
-from tallyspark.functions.text import ucfirst
+from tallyspark.functions.text import ascii_lower, ucfirst
 
 # ---------------------------------------------------------------------------
 # These must equal the reference application's values.
@@ -34,7 +34,7 @@ def _c(col: str | Column) -> Column:
 
 def status_badge(status: str | Column = "status") -> Column:
     """Badge of a sale status, compared case-insensitively; anything else is pending."""
-    s = F.lower(F.coalesce(_c(status), F.lit("")))
+    s = ascii_lower(F.coalesce(_c(status), F.lit("")))
     return (F.when(s == BADGE_COMPLETED, BADGE_COMPLETED)
             .when(s == BADGE_VOID, BADGE_VOID)
             .when(s.isin(*CANCELLED_SPELLINGS), BADGE_CANCELLED)

@@ -64,8 +64,17 @@ def search_filter(col: str | Column, term: str | None, trim: bool = True) -> Col
     return F.collate(c, "UNICODE_CI_AI").contains(F.lit(term))
 
 
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_UPPER = _LOWER.upper()
+
+
+def ascii_lower(col: str | Column) -> Column:
+    """PHP 8 ``strtolower``: only A-Z change (Spark's ``lower`` is Unicode-aware)."""
+    return F.translate(_c(col), _UPPER, _LOWER)
+
+
 def ucfirst(col: str | Column) -> Column:
-    """Upper-case the first character only (not ``initcap``, which changes
-    every word)."""
+    """PHP 8 ``ucfirst``: upper-case the first character if it is a-z; the
+    rest is unchanged (not ``initcap``, which changes every word)."""
     c = _c(col)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+    return F.concat(F.translate(F.substring(c, 1, 1), _LOWER, _UPPER), F.substring(c, 2, 1 << 30))
