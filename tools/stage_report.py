@@ -3,8 +3,9 @@
     python tools/stage_report.py [scenario] [sf_dir]
 
 Scenarios: ``hot_product_list`` (sales list where one product holds ~40% of
-the sales, broadcast off so the product join is a sort-merge join) and
-``sales_list`` (the same without the hot product). The event log goes to a
+the sales, broadcast off so the product join is a sort-merge join),
+``hot_product_list_no_split`` (the same with AQE skew splitting switched
+off, for contrast) and ``sales_list`` (no hot product). The event log goes to a
 fresh scratch folder; the report prints, per stage: tasks, median and max
 task time, and shuffle bytes read/written. A max far above the median marks
 a straggler (a hot key landing in one task).
@@ -75,9 +76,11 @@ def main(argv):
              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    if scenario == "hot_product_list_no_split":
+        extra["spark.sql.adaptive.skewJoin.enabled"] = "false"
     spark = local_session(8, shuffle_partitions=32, app_name=f"stage-report-{scenario}", extra=extra)
     sales = D.sales_b(spark, sf_dir)
-    if scenario == "hot_product_list":
+    if scenario.startswith("hot_product_list"):
         hot = F.col("status").isin("Completed", "Pending") & (F.col("sales_id") % 3 != 0)
         sales = sales.withColumn("product_id", F.when(hot, F.lit(7)).otherwise(F.col("product_id")))
     df = sales_views.sales_list(sales, D.products(spark, sf_dir), D.sale_addons(spark, sf_dir))
