@@ -485,5 +485,6 @@ from tallyspark.streaming import kpi_stream as KS  # noqa: E402
 @register("daily_sales_windows")
 def _q(spark, d):
     """Day windows of the streaming KPI job (all statuses and Completed),
-    evaluated over the whole event-sales table as a batch."""
-    return KS.daily_windows(D.sales_b(spark, d))
+    evaluated over the whole event-sales table as a batch (day as ISO text)."""
+    out = KS.daily_windows(D.sales_b(spark, d))
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
