@@ -2,13 +2,14 @@
 
 The sale form lists available products grouped by category. A category may
 hold a large share of the catalogue, so the grouping is carried by a global
-sort (range-partitioned, so no category lands in one task) and a per-category
-summary, instead of one array per category built in a single task.
+sort (range-partitioned, so no category lands in one task), a per-category
+summary, and a nested form split into fixed-size pages per category, instead
+of one array per category built in a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
@@ -35,6 +36,40 @@ def menu_sections(products: DataFrame) -> DataFrame:
             .orderBy(F.col("category").asc_nulls_first()))
 
 
+def menu_pages(products: DataFrame, page_size: int = 50, partitions: int | None = None) -> DataFrame:
+    """O15 (nested): the sale form's grouped menu as ``(category, page,
+    items array<struct<product_name, product_id, price>>)``, each page holding
+    at most ``page_size`` products of one category in name order.
+
+    The position of a product inside its category is found without ranking a
+    whole category in one task: rows are range-partitioned on (category,
+    name, id), each partition numbers its own rows per category, and a small
+    table of per-partition counts (partitions x categories) gives every
+    partition its offset. Pages are then grouped, so no array exceeds
+    ``page_size`` however large a category is.
+    """
+    if page_size < 1:
+        raise ValueError("page_size must be at least 1")
+    n = partitions or int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    avail = (products.filter(F.col("status") == F.lit(S.AVAILABLE))
+             .select("category", "product_name", "product_id", "price"))
+    tagged = (avail.repartitionByRange(n, F.col("category").asc_nulls_first(),
+                                       F.col("product_name").asc_nulls_first(), F.col("product_id"))
+              .withColumn("_part", F.spark_partition_id()))
+    sizes = tagged.groupBy("_part", "category").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part").alias("_op"), F.col("category").alias("_oc"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_part", "category").orderBy(
+        F.col("product_name").asc_nulls_first(), F.col("product_id"))
+    ranked = tagged.withColumn("_r", F.row_number().over(local) - 1)
+    placed = ranked.join(offsets, (F.col("_part") == F.col("_op"))
+                         & F.col("category").eqNullSafe(F.col("_oc")), "inner")
+    page = F.floor((F.col("_off") + F.col("_r")) / page_size).cast("long")
+    return (placed.groupBy("category", page.alias("page"))
+            .agg(F.sort_array(F.collect_list(F.struct("product_name", "product_id", "price"))).alias("items")))
+
+
 def sellable_addons(addons: DataFrame) -> DataFrame:
     """Available add-ons by name (then id)."""
     return (addons.filter(F.col("status") == F.lit(S.AVAILABLE))

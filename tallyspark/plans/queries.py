@@ -488,3 +488,12 @@ def _q(spark, d):
     evaluated over the whole event-sales table as a batch (day as ISO text)."""
     out = KS.daily_windows(D.sales_b(spark, d))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@register("menu_pages")
+def _q(spark, d):
+    """O15 the grouped menu nested in pages of at most 25 products per category."""
+    pages = C.menu_pages(D.products(spark, d), page_size=25)
+    items = F.array_join(F.transform("items", lambda x: F.concat(
+        x["product_name"], F.lit("#"), x["product_id"].cast("string"))), "; ")
+    return pages.select("category", "page", items.alias("items"), F.size("items").alias("n_items"))

@@ -84,3 +84,23 @@ def test_hot_key_pricing_exact(spark):
         res = changes.price_sales(req, D.products(spark, SF), D.addons(spark, SF))
         n_acc, n_rej = res.accepted.count(), res.rejects.count()
     assert n_acc + n_rej == req.count()
+
+
+def test_hot_category_menu_pages_are_bounded(spark):
+    from tallyspark.operators import catalog
+    products = D.products(spark, SF).withColumn(
+        "category", F.when(F.col("product_id") % 10 < 8, F.lit("HOT")).otherwise(F.col("category")))
+    pages = catalog.menu_pages(products, page_size=40, partitions=16)
+    sizes = pages.select("category", "page", F.size("items").alias("n")).collect()
+    assert max(r.n for r in sizes) <= 40
+    hot = sorted(r.page for r in sizes if r.category == "HOT")
+    assert hot == list(range(len(hot)))                      # consecutive pages from 0
+    flat = pages.select("category", F.explode("items").alias("it")).select(
+        "category", "it.product_id")
+    avail = products.filter(F.col("status") == "Available").select("category", "product_id")
+    assert flat.count() == avail.count() and flat.exceptAll(avail).count() == 0
+    # Inside the hot category, pages follow name order.
+    firsts = (pages.filter(F.col("category") == "HOT").orderBy("page")
+              .select(F.col("items")[0]["product_name"].alias("n")).collect())
+    names = [r.n for r in firsts]
+    assert names == sorted(names)
