@@ -64,7 +64,8 @@ class PricedSales:
     addon_rows: DataFrame    # (sale_id, addon_id, addon_name, price)
 
 
-def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame) -> PricedSales:
+def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
+                default_time=None) -> PricedSales:
     """O25 + O26: price a batch of sale requests.
 
     Rejects, in the handler's order: product id or quantity not positive
@@ -75,9 +76,13 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame) ->
     availability is not checked, a NULL price counts as 0. Accepted sales get
     status Completed, the request id as ``sales_id`` and snapshots of the
     product name and image; one add-on row is produced per accepted sale and
-    distinct available add-on.
+    distinct available add-on. A request without a time gets
+    ``default_time`` when given (the database stamps the insert time).
     """
     r = requests.select("request_id", "product_id", "quantity", "addon_ids", "created_at")
+    if default_time is not None:
+        from tallyspark.periods import ts_literal
+        r = r.withColumn("created_at", F.coalesce(F.col("created_at"), ts_literal(default_time)))
     valid = (F.col("product_id") > 0) & (F.col("quantity") > 0)
     invalid = r.filter(~F.coalesce(valid, F.lit(False))).select(
         "request_id", F.lit(S.REJECT_INVALID).alias("reason"))

@@ -102,7 +102,7 @@ def report_summary(sales: DataFrame, as_of, filter_name: str | None = "daily") -
 
 def completed_totals(sales: DataFrame) -> DataFrame:
     """All-time Completed total and count (sales page header)."""
-    return report_summary(sales, "2000-01-01", "all")
+    return report_summary(sales, None, "all")
 
 
 def report_kpis(sales: DataFrame, as_of, filter_name: str | None = "daily") -> DataFrame:

@@ -43,6 +43,8 @@ def period_range(period: str, as_of) -> tuple[dt.datetime | None, dt.datetime |
     calendar_week: Monday..Sunday of the day's week (may include later days);
     monthly: the calendar month (may include later days); all: unbounded.
     """
+    if period == ALL:
+        return None, None
     d = _as_date(as_of)
     start = dt.datetime.combine
     if period == DAILY:

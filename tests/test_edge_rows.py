@@ -187,3 +187,12 @@ def test_status_canonical_on_write(spark, edge, tmp_path):
     assert back.filter(F.col("status") == "completed").count() == 0
     assert back.filter(F.col("status") == "Completed").count() == 6
     assert back.filter(F.col("status") == "pending").count() == 1
+
+
+def test_price_sales_default_time(edge, spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    req = spark.createDataFrame([(1, 10, 1, [], None)], S.SALE_REQUESTS)
+    at = dt.datetime(2030, 5, 15, 9, 30)
+    res = changes.price_sales(req, edge["products"], edge["addons"], default_time=at)
+    assert res.accepted.first().created_at == at
