@@ -59,8 +59,6 @@ def period_range(period: str, as_of) -> tuple[dt.datetime | None, dt.datetime |
         nxt = (first.replace(year=first.year + 1, month=1) if first.month == 12
                else first.replace(month=first.month + 1))
         return start(first, dt.time()), start(nxt, dt.time())
-    if period == ALL:
-        return None, None
     raise ValueError(f"unknown period {period!r}; expected one of {PERIODS}")
 
 
@@ -75,13 +73,14 @@ def report_period(filter_name: str | None) -> str:
     return _REPORT_FILTERS.get(filter_name, ALL)
 
 
-def ts_literal(value: dt.datetime, like: Column | None = None, ntz: bool = True) -> Column:
-    """A timestamp literal built from text, so no time-zone shift can occur.
+def ts_literal(value: dt.datetime, ntz: bool = True) -> Column:
+    """A timestamp literal built from text (microseconds kept), so no
+    time-zone shift can occur.
 
     ``ntz=True`` matches Parquet ``timestamp_ntz`` columns; ``ntz=False`` a
     session-zone ``timestamp`` column (JDBC sources).
     """
-    text = value.strftime("%Y-%m-%d %H:%M:%S")
+    text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.lit(text).cast("timestamp_ntz" if ntz else "timestamp")
 
 

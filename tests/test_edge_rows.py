@@ -196,3 +196,16 @@ def test_price_sales_default_time(edge, spark):
     at = dt.datetime(2030, 5, 15, 9, 30)
     res = changes.price_sales(req, edge["products"], edge["addons"], default_time=at)
     assert res.accepted.first().created_at == at
+
+
+def test_reset_keeps_microseconds(spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    sales = spark.createDataFrame([
+        (1, 1, "a", 1, Decimal("1.00"), dt.datetime(2030, 1, 1, 12, 0, 0, 200000), "Completed", None),
+        (2, 1, "a", 1, Decimal("1.00"), dt.datetime(2030, 1, 1, 12, 0, 0, 700000), "Completed", None),
+    ], S.SALES)
+    empty_addons = spark.createDataFrame([], S.SALE_ADDONS)
+    empty_voids = spark.createDataFrame([], S.SALES_VOID)
+    kept = changes.reset_history(sales, empty_addons, empty_voids, dt.datetime(2030, 1, 1, 12, 0, 0, 500000))
+    assert [r.sales_id for r in kept.sales.collect()] == [2]
