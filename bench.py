@@ -104,6 +104,7 @@ def build_plans(spark, sf_dir: str, root: str):
         "reset_history_addons": lambda: changes.reset_history(
             sales_b, addons_b, t("sales_void"), "2024-01-15 12:00:00").sale_addons,
         "recent_audit_logs": lambda: audit.recent_audit_logs(t("audit_logs")),
+        "menu_pages": lambda: catalog.menu_pages(products),
     }
     return load_seconds, plans
 
