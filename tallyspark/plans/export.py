@@ -15,9 +15,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark import periods as P
 from tallyspark.functions.numeric import format_money
-from tallyspark.functions.text import ucfirst
 from tallyspark.operators.kpis import report_summary
 from tallyspark.operators.sales_views import report_transactions
 
