@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,11 +91,15 @@ class ShopTables:
 
 
 def read_tables(spark: SparkSession, root: str) -> ShopTables:
-    """Lazily read every stored table under ``root`` (one folder per table)."""
+    """Lazily read every stored table under ``root`` (one folder per table);
+    tables that are not there are left out. Works on any file system Spark
+    reads (the check is Spark's own path resolution, not the local disk)."""
     found = {}
     for name in S.TABLES:
-        if os.path.isdir(os.path.join(root, name)):
+        try:
             found[name] = read_table(spark, root, name)
+        except AnalysisException:
+            continue
     return ShopTables(**found)
 
 
