@@ -33,11 +33,15 @@ def _sales_by_product(sales: DataFrame, as_of, period: str, status: str | None,
             .agg(F.sum("quantity").alias(qty_name), F.sum("total").alias("revenue")))
 
 
+def _order(df: DataFrame, qty_name: str) -> DataFrame:
+    return df.orderBy(F.col(qty_name).desc_nulls_last(), F.col("product_id").asc_nulls_first(),
+                      F.col("product_name").asc_nulls_first())
+
+
 def _top(df: DataFrame, qty_name: str, k: int) -> DataFrame:
     # ORDER BY + LIMIT plans as TakeOrderedAndProject: each task keeps its own
     # top k and only k rows per task reach the final merge.
-    return df.orderBy(F.col(qty_name).desc_nulls_last(), F.col("product_id").asc_nulls_first(),
-                      F.col("product_name").asc_nulls_first()).limit(k)
+    return _order(df, qty_name).limit(k)
 
 
 def top_products_with_image(sales: DataFrame, products: DataFrame, as_of,
@@ -74,8 +78,12 @@ def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
     ids = top.select("product_id").filter(F.col("product_id").isNotNull())
     attrs = (products.select("product_id", "image", "price", "category")
              .join(F.broadcast(ids), "product_id", "left_semi"))
-    return top.join(attrs, "product_id", "left").select(
+    joined = top.join(attrs, "product_id", "left").select(
         "product_id", "product_name", "qty_sold", "revenue", "image", "price", "category")
+    # Rank order again after the join (at most k rows). Without this sort a
+    # caller's own limit (e.g. show(3)) is pushed through the outer join into
+    # the top-k side, where the planner can lose the top-k ordering.
+    return _order(joined, "qty_sold")
 
 
 def category_ranking(sales: DataFrame, products: DataFrame, collation: str | None = None) -> DataFrame:

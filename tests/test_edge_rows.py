@@ -209,3 +209,15 @@ def test_reset_keeps_microseconds(spark):
     empty_voids = spark.createDataFrame([], S.SALES_VOID)
     kept = changes.reset_history(sales, empty_addons, empty_voids, dt.datetime(2030, 1, 1, 12, 0, 0, 500000))
     assert [r.sales_id for r in kept.sales.collect()] == [2]
+
+
+def test_top_k_survives_callers_limit(spark):
+    """A caller's limit on the report top-k must return its first rows."""
+    from tallyspark.sources import driver_tables as D
+    sf = "/root/testdata/sf0.001"
+    full = rankings.top_products_completed(D.sales_a(spark, sf), D.products(spark, sf), D.AS_OF_A, P.MONTHLY)
+    rows = full.collect()
+    assert [r.qty_sold for r in rows] == sorted((r.qty_sold for r in rows), reverse=True)
+    assert full.limit(3).collect() == rows[:3]
+    img = rankings.top_products_with_image(D.sales_a(spark, sf), D.products(spark, sf), D.AS_OF_A, P.MONTHLY)
+    assert img.limit(3).collect() == img.collect()[:3]
