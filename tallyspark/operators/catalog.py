@@ -67,7 +67,8 @@ def menu_pages(products: DataFrame, page_size: int = 50, partitions: int | None
                          & F.col("category").eqNullSafe(F.col("_oc")), "inner")
     page = F.floor((F.col("_off") + F.col("_r")) / page_size).cast("long")
     return (placed.groupBy("category", page.alias("page"))
-            .agg(F.sort_array(F.collect_list(F.struct("product_name", "product_id", "price"))).alias("items")))
+            .agg(F.sort_array(F.collect_list(F.struct("product_name", "product_id", "price"))).alias("items"))
+            .orderBy(F.col("category").asc_nulls_first(), "page"))
 
 
 def sellable_addons(addons: DataFrame) -> DataFrame:

@@ -106,5 +106,6 @@ def category_ranking(sales: DataFrame, products: DataFrame, collation: str | Non
                .groupBy("category")
                .agg(F.sum("q").alias("total_quantity"), F.sum("t").alias("total_sales")))
     w = Window.orderBy(F.col("total_sales").desc_nulls_last(), F.col("category").asc_nulls_first())
-    return per_cat.select(F.row_number().over(w).alias("rank"), "category",
-                          "total_quantity", "total_sales")
+    return (per_cat.select(F.row_number().over(w).alias("rank"), "category",
+                           "total_quantity", "total_sales")
+            .orderBy("rank"))
