@@ -25,7 +25,9 @@ def main(argv):
     spark = local_session(8, shuffle_partitions=16, app_name="tallyspark-plans")
     root = tempfile.mkdtemp(prefix="tallyspark-plans-", dir=os.environ.get("TMPDIR", "/tmp"))
     _, plans = build_plans(spark, sf_dir, root)
-    out = ["# Physical plans", "",
+    notes_path = os.path.join(HERE, "tools", "scale_notes.md")
+    notes = open(notes_path).read().splitlines() if os.path.exists(notes_path) else []
+    out = ["# Physical plans", ""] + notes + ["## Plans at sf0.1", "",
            f"Generated by `tools/plan_report.py` on `{sf_dir}` over the stored tables "
            "(sales partitioned by month, tables clustered by key), Spark "
            f"{spark.version}, AQE on. Each plan is the final adaptive plan after one run "
