@@ -23,17 +23,19 @@ from tallyspark.functions.numeric import unit_price
 from tallyspark.functions.text import search_filter
 from tallyspark.operators.common import drop_partition_cols, period_predicate, range_predicate
 
-ADDON_FIELDS = ("addon_name", "price", "addon_id", "n")
+ADDON_FIELDS = ("first_id", "addon_name", "price", "addon_id", "n")
 
 
 def addons_by_sale(sale_addons: DataFrame) -> DataFrame:
-    """``(sale_id, addons array<struct<addon_name, price, addon_id, n>>)``.
+    """``(sale_id, addons array<struct<first_id, addon_name, price,
+    addon_id, n>>)``.
 
-    Elements are ordered by name, price and id (the source lists them in
-    insertion order, which a table does not keep).
+    Elements are in insertion order, as the source lists them: by the
+    smallest row id among an element's copies (``first_id``), then by name,
+    price and add-on id.
     """
     copies = (sale_addons.groupBy("sale_id", "addon_name", "price", "addon_id")
-              .agg(F.count(F.lit(1)).alias("n")))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
     return (copies.groupBy("sale_id")
             .agg(F.sort_array(F.collect_list(F.struct(*ADDON_FIELDS))).alias("addons")))
 
