@@ -163,7 +163,7 @@ def _split_voids(sales: DataFrame, voids: DataFrame):
     # ids with the sales keys, so the small side can be the build side.
     wanted = ok.select("sale_id").distinct()
     known = (sales.select(F.col("sales_id").alias("sale_id"))
-             .join(wanted, "sale_id", "inner").withColumn("_known", F.lit(True)))
+             .join(wanted, "sale_id", "inner").distinct().withColumn("_known", F.lit(True)))
     tagged = ok.join(known, "sale_id", "left")
     unknown = tagged.filter(F.col("_known").isNull()).select(
         "seq", "sale_id", F.lit(REJECT_UNKNOWN_SALE).alias("reason"))
