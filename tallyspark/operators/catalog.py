@@ -16,6 +16,7 @@ from tallyspark import schemas as S
 from tallyspark.functions.labels import availability_label
 from tallyspark.functions.text import is_blank_php, php_trim_text, search_filter
 from tallyspark.operators.common import filter_all
+from tallyspark.session import ensure_checkpoint_dir
 
 
 def sellable_products(products: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def menu_pages(products: DataFrame, page_size: int = 50, partitions: int | None
 
     The position of a product inside its category is found without ranking a
     whole category in one task: rows are range-partitioned on (category,
-    name, id), each partition numbers its own rows per category, and a small
-    table of per-partition counts (partitions x categories) gives every
+    name, id) and checkpointed (so every later step sees the same
+    partitions), each partition numbers its own rows per category, and a
+    small table of per-partition counts (partitions x categories) gives every
     partition its offset. Pages are then grouped, so no array exceeds
     ``page_size`` however large a category is.
     """
@@ -56,6 +58,12 @@ def menu_pages(products: DataFrame, page_size: int = 50, partitions: int | None
     tagged = (avail.repartitionByRange(n, F.col("category").asc_nulls_first(),
                                        F.col("product_name").asc_nulls_first(), F.col("product_id"))
               .withColumn("_part", F.spark_partition_id()))
+    # The counts and the numbering below must see the same partitions. Range
+    # boundaries come from sampling, and two evaluations of the exchange may
+    # sample differently, so the partitioned rows are given one identity: a
+    # reliable checkpoint (in spark.checkpoint.dir), written when first used.
+    ensure_checkpoint_dir(products.sparkSession)
+    tagged = tagged.checkpoint(eager=False)
     sizes = tagged.groupBy("_part", "category").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_part").alias("_op"), F.col("category").alias("_oc"),
