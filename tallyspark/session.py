@@ -62,7 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is missing (a session built elsewhere for a local run) is a fresh
     scratch folder taken.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's own setting applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
