@@ -43,10 +43,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     # scratch warehouse, not in the working directory.
     builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(
         prefix="tallyspark-wh-", dir=os.environ.get("TMPDIR", "/tmp")))
-    if not (extra or {}).get("spark.checkpoint.dir"):
-        # Local runs only: a fresh scratch folder stands in for the shared one.
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(
-            prefix="tallyspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     for k, v in {**CORE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

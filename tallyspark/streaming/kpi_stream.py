@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
-from tallyspark.session import ensure_checkpoint_dir
 
 
 def _wall_clock_as_utc(col: str) -> F.Column:
@@ -50,7 +49,9 @@ def daily_windows(sales: DataFrame, watermark: str = "2 days") -> DataFrame:
 def start_daily_totals(spark: SparkSession, sales_stream: DataFrame, out_dir: str,
                        checkpoint: str | None = None, watermark: str = "2 days",
                        available_now: bool = False):
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "daily_totals")
+    # Default: a hidden folder inside the output (Spark's readers skip names
+    # starting with "_"), stable across restarts and unique per output.
+    checkpoint = checkpoint or os.path.join(out_dir, "_checkpoint")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         (batch.withColumn("epoch", F.lit(epoch_id).cast("long"))

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark import schemas as S
 from tallyspark.plans import jobs
-from tallyspark.session import ensure_checkpoint_dir
 from tallyspark.sources.tables import ShopTables
 
 
@@ -32,7 +31,9 @@ def read_requests(spark: SparkSession, requests_dir: str, max_files: int | None
 def start_sale_feed(spark: SparkSession, requests: DataFrame, tables: ShopTables, root: str,
                     checkpoint: str | None = None, available_now: bool = False, name: str | None = None):
     """Start the stream; returns the ``StreamingQuery``."""
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "sale_feed")
+    # Default: next to the committed batches, so it is as shared as they are
+    # and stays the same across restarts of this feed (and differs per feed).
+    checkpoint = checkpoint or os.path.join(root, "_stream_checkpoint")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         jobs.run_sale_batch(batch.sparkSession, tables, batch, root, epoch_id)
