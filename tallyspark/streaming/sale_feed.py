@@ -5,8 +5,8 @@ request files are read as a stream; each micro-batch is priced by the same
 ``price_sales`` operator and committed with its add-on rows and rejects as
 batch ``<epoch id>`` (``plans.jobs``). A replayed epoch after a failure
 rewrites the same folder and marker, so delivery is effectively once. The
-stream's own checkpoint goes under the session's shared checkpoint folder
-unless a location is given.
+stream's own checkpoint goes next to the committed batches (a hidden
+``_stream_checkpoint`` folder) unless a location is given.
 """
 
 from __future__ import annotations
