@@ -173,3 +173,24 @@ def save_bucketed(df: DataFrame, table: str, name: str, path: str, buckets: int,
 def read_bucketed(spark: SparkSession, name: str, table: str) -> DataFrame:
     """A bucketed table through the catalogue (which carries the bucketing)."""
     return conform(spark.table(name), table)
+
+
+def attach_bucketed(spark: SparkSession, name: str, path: str, table: str, buckets: int) -> DataFrame:
+    """Register bucketed files written by ``save_bucketed`` (possibly by
+    another session) as catalogue table ``name`` with the same bucketing, so
+    a session without a shared metastore still joins them without a shuffle.
+    """
+    schema = S.TABLES[table]
+    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+    key = BUCKET_KEYS[table]
+    part = ""
+    if table == "sales":
+        cols.append(f"`{SALE_MONTH}` date")
+        part = f"PARTITIONED BY (`{SALE_MONTH}`) "
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({', '.join(cols)}) USING parquet {part}"
+              f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS "
+              f"LOCATION '{path}'")
+    if part:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return read_bucketed(spark, name, table)

@@ -32,3 +32,26 @@ def test_bucketed_sale_id_join_has_no_exchange(spark, tmp_path):
     plain = sales_views.sales_list(D.sales_b(spark, SF), D.products(spark, SF), D.sale_addons(spark, SF))
     bucketed = sales_views.sales_list(sales, D.products(spark, SF), sa)
     assert plain.exceptAll(bucketed).count() == 0 and bucketed.count() == plain.count()
+
+
+def test_attach_bucketed_files_in_a_fresh_catalogue_entry(spark, tmp_path):
+    from tallyspark.sources.tables import attach_bucketed
+    save_bucketed(D.sales_b(spark, SF), "sales", "bk2_sales", str(tmp_path / "s"), 8)
+    save_bucketed(D.sale_addons(spark, SF), "sale_addons", "bk2_sa", str(tmp_path / "a"), 8)
+    spark.sql("DROP TABLE bk2_sales")      # forget the catalogue entries, keep the files
+    spark.sql("DROP TABLE bk2_sa")
+    sales = attach_bucketed(spark, "att_sales", str(tmp_path / "s"), "sales", 8)
+    sa = attach_bucketed(spark, "att_sa", str(tmp_path / "a"), "sale_addons", 8)
+    assert sales.count() == D.sales_b(spark, SF).count()
+    nested = sales_views.addons_by_sale(sa).withColumnRenamed("sale_id", "sales_id")
+    joined = sales.join(nested, "sales_id", "left")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            joined.explain()
+        plan = buf.getvalue()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
