@@ -70,11 +70,14 @@ def commit_batch(spark: SparkSession, root: str, batch: int, outputs: dict[str,
     return bdir
 
 
-def read_committed(spark: SparkSession, root: str, output: str) -> DataFrame | None:
+def read_committed(spark: SparkSession, root: str, output: str,
+                   after_batch: int | None = None) -> DataFrame | None:
     """One output across all committed batches (one scan over their folders),
-    with the batch number as a column; None when no batch has it."""
+    with the batch number as a column; None when no batch has it. Batches up
+    to ``after_batch`` (already folded into a compacted base) are skipped."""
     paths = [os.path.join(_batch_dir(root, b), output)
-             for b, outs in committed_batches(spark, root).items() if output in outs]
+             for b, outs in committed_batches(spark, root).items()
+             if output in outs and (after_batch is None or b > after_batch)]
     if not paths:
         return None
     df = spark.read.parquet(*paths)
@@ -88,22 +91,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def current_sales(spark: SparkSession, base_sales: DataFrame, root: str) -> DataFrame:
+def current_sales(spark: SparkSession, base_sales: DataFrame, root: str,
+                  after_batch: int | None = None) -> DataFrame:
     """The sales table as of the last committed batch: base rows plus
     appended sales, with the latest committed status of each changed sale and
-    the product id cleared where the product was deleted."""
+    the product id cleared where the product was deleted. ``after_batch``
+    names the last batch already folded into ``base_sales`` (see
+    ``compact_sales``)."""
     cols = [c for c in base_sales.columns if c != SALE_MONTH]
     sales = base_sales.select(*cols)
-    added = read_committed(spark, root, "new_sales")
+    added = read_committed(spark, root, "new_sales", after_batch)
     if added is not None:
         sales = sales.unionByName(conform(added.drop("_batch"), "sales").select(*cols))
-    delta = read_committed(spark, root, "status_changes")
+    delta = read_committed(spark, root, "status_changes", after_batch)
     if delta is not None:
         latest = delta.groupBy("sales_id").agg(F.max_by("status", "_batch").alias("_new_status"))
         sales = (sales.join(latest, "sales_id", "left")
                  .withColumn("status", F.coalesce(F.col("_new_status"), F.col("status")))
                  .select(*cols))
-    gone = read_committed(spark, root, "deleted_products")
+    gone = read_committed(spark, root, "deleted_products", after_batch)
     if gone is not None:
         ids = gone.select("product_id").distinct().withColumn("_gone", F.lit(True))
         sales = (sales.join(ids, "product_id", "left")
@@ -188,3 +194,18 @@ def run_catalog_batch(spark: SparkSession, products: DataFrame, product_changes:
     out["products"] = cut_lineage(table)
     commit_batch(spark, root, batch, out)
     return current_table(spark, products, root, "products")
+
+
+def compact_sales(spark: SparkSession, base_sales: DataFrame, root: str, out_root: str,
+                  after_batch: int | None = None) -> int | None:
+    """Fold every committed batch into a new base sales table under
+    ``out_root`` (stored layout, one rewrite, run rarely). Returns the last
+    batch folded in; afterwards read ``current_sales(new_base, root,
+    after_batch=<that batch>)``."""
+    from tallyspark.sources.tables import write_table
+    batches = [b for b in committed_batches(spark, root) if after_batch is None or b > after_batch]
+    if not batches:
+        return after_batch
+    merged = current_sales(spark, base_sales, root, after_batch)
+    write_table(merged, out_root, "sales")
+    return batches[-1]

@@ -60,3 +60,25 @@ def test_sale_and_catalog_batches(spark):
     cur = jobs.current_sales(spark, t.sales, root)
     gone = [r.product_id for r in D.product_deletes(spark, SF).distinct().collect()]
     assert cur.filter(F.col("product_id").isin(gone)).count() == 0
+
+
+def test_compaction_folds_batches(spark):
+    from tallyspark.sources.tables import read_table
+    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
+    t = ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
+    jobs.run_sale_batch(spark, t, D.sale_requests(spark, SF).filter("created_at < timestamp_ntz'2024-01-15 00:00:00'"), root, 1)
+    cur = jobs.current_sales(spark, t.sales, root)
+    jobs.run_status_batch(spark, cur, D.sales_void(spark, SF), D.cancel_requests(spark, SF),
+                          D.void_requests(spark, SF), root, 2)
+    view = jobs.current_sales(spark, t.sales, root)
+    out = tempfile.mkdtemp(prefix="tallyspark-compact-")
+    last = jobs.compact_sales(spark, t.sales, root, out)
+    assert last == 2
+    new_base = read_table(spark, out, "sales")
+    after = jobs.current_sales(spark, new_base, root, after_batch=last)
+    cols = view.columns
+    assert same(after.select(*cols), view)
+    # A later batch still applies on top of the compacted base.
+    jobs.run_status_batch(spark, after, D.sales_void(spark, SF), D.cancel_requests(spark, SF),
+                          D.void_requests(spark, SF), root, 3)
+    assert jobs.current_sales(spark, new_base, root, after_batch=last).count() == view.count()
