@@ -62,6 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's own setting applies
         return spark.conf.get("spark.checkpoint.dir", None)
+    active = sc.getCheckpointDir()
+    if active:
+        return active  # already in use (each set would add a new subfolder)
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
@@ -69,7 +72,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
-    return current
+    return sc.getCheckpointDir() or current
 
 
 def cluster_settings(advisory_partition_mb: int = 256, initial_shuffle_partitions: int = 8192) -> dict:
