@@ -39,12 +39,19 @@ def export_frames(sales: DataFrame, as_of, filter_name: str | None = "daily") ->
 
 
 def export_report(sales: DataFrame, as_of, filter_name: str | None, path: str,
-                  fmt: str = "csv") -> str:
-    """Write the export under ``path``; returns the export folder."""
+                  fmt: str = "csv", generated_at: dt.datetime | None = None) -> str:
+    """Write the export under ``path``; returns the export folder.
+
+    The folder is named after the report date (the page uses the clock's
+    date); ``generated_at``, when given, is stamped into the summary as the
+    page's "Generated" line.
+    """
     label = period_label(filter_name)
     day = as_of if isinstance(as_of, str) else (as_of.date() if isinstance(as_of, dt.datetime) else as_of).isoformat()
     out = os.path.join(path, f"Report_{label}_{day}")
     summary, rows = export_frames(sales, as_of, filter_name)
+    if generated_at is not None:
+        summary = summary.withColumn("generated_at", F.lit(generated_at.strftime("%Y-%m-%d %H:%M:%S")))
     if fmt == "csv":
         summary.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(out, "summary"))
         # Transactions keep their sort across part files (range-partitioned).

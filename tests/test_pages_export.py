@@ -45,3 +45,11 @@ def test_export_empty_period_still_has_summary(spark, tmp_path):
     summary = spark.read.option("header", True).csv(os.path.join(out, "summary")).collect()
     assert len(summary) == 1 and summary[0].total_transactions == "0"
     assert summary[0].total_sales_text == "0.00"
+
+
+def test_export_generated_stamp(spark, tmp_path):
+    import datetime as dt
+    out = export.export_report(D.sales_a(spark, SF), D.AS_OF_A, "weekly", str(tmp_path),
+                               generated_at=dt.datetime(2030, 1, 2, 3, 4, 5))
+    summary = spark.read.option("header", True).csv(os.path.join(out, "summary")).first()
+    assert summary.generated_at == "2030-01-02 03:04:05" and summary.period_label == "Weekly"
