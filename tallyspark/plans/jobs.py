@@ -139,7 +139,12 @@ def run_sale_batch(spark: SparkSession, t: ShopTables, requests: DataFrame,
                    root: str, batch: int) -> DataFrame:
     """Price a batch of sale requests; commit the new sales, their add-on
     rows and the rejects together. Returns the rejects."""
-    priced = changes.price_sales(requests, t.products, t.addons)
+    # Each committed output is its own job; give them one small catalogue
+    # to read: the products this batch names, found with one scan of the
+    # catalogue and checkpointed (results are the same, only referenced
+    # products can match).
+    needed = t.products.join(requests.select("product_id").distinct(), "product_id", "left_semi")
+    priced = changes.price_sales(requests, cut_lineage(needed), t.addons)
     addon_rows = priced.addon_rows.select(
         F.xxhash64("sale_id", "addon_id").alias("id"), "sale_id", "addon_id", "addon_name", "price")
     commit_batch(spark, root, batch, {
@@ -162,6 +167,9 @@ def run_status_batch(spark: SparkSession, sales: DataFrame, sales_void: DataFram
     if cancels is not None:
         ids = ids.unionByName(cancels.select(F.col("sale_id").alias("sales_id")))
     touched = sales.join(ids.filter(F.col("sales_id").isNotNull()).distinct(), "sales_id", "left_semi")
+    # All three outputs below read these few rows; checkpoint them so the
+    # whole sales table is scanned once, not once per output.
+    touched = cut_lineage(touched)
     res = changes.apply_voids(touched, sales_void.limit(0), voids)
     new_sales = res.sales
     if cancels is not None:
@@ -170,7 +178,7 @@ def run_status_batch(spark: SparkSession, sales: DataFrame, sales_void: DataFram
     delta = (new_sales.select("sales_id", "status").join(before, "sales_id", "inner")
              .filter(~F.col("status").eqNullSafe(F.col("_old"))).drop("_old"))
     commit_batch(spark, root, batch, {
-        "status_changes": cut_lineage(delta),
+        "status_changes": delta,
         "sales_void": res.sales_void,
         "void_rejects": res.rejects,
     })
