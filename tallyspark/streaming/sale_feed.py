@@ -36,7 +36,13 @@ def start_sale_feed(spark: SparkSession, requests: DataFrame, tables: ShopTables
     checkpoint = checkpoint or os.path.join(root, "_stream_checkpoint")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        jobs.run_sale_batch(batch.sparkSession, tables, batch, root, epoch_id)
+        # The micro-batch feeds several committed outputs: keep it in memory
+        # for the epoch (a lost block is simply re-read from the source files).
+        batch.persist()
+        try:
+            jobs.run_sale_batch(batch.sparkSession, tables, batch, root, epoch_id)
+        finally:
+            batch.unpersist()
 
     w = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if name:
