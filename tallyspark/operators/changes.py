@@ -71,7 +71,8 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
 
     Rejects, in the handler's order: product id or quantity not positive
     ("Invalid product or quantity."), then a product that does not exist or
-    has an empty name ("Product not found."). Total = quantity x price +
+    has an empty name ("Product not found."); before those, every copy of a
+    request id that occurs more than once ("Duplicate key."). Total = quantity x price +
     quantity x (sum of the *available* add-ons among the request's ids);
     repeated ids count once, unknown or unavailable ids are ignored, product
     availability is not checked, a NULL price counts as 0. Accepted sales get
@@ -83,6 +84,13 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
     r = requests.select("request_id", "product_id", "quantity", "addon_ids", "created_at")
     if default_time is not None:
         r = r.withColumn("created_at", F.coalesce(F.col("created_at"), ts_literal(default_time)))
+    # Request ids become sales ids (a primary key): a repeated id cannot be
+    # stored twice, and arrival order is unknown, so every copy is rejected.
+    repeated = (r.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > 1).select("request_id"))
+    dup = r.join(repeated, "request_id", "left_semi").select(
+        "request_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
+    r = r.join(repeated, "request_id", "left_anti")
     valid = (F.col("product_id") > 0) & (F.col("quantity") > 0)
     invalid = r.filter(~F.coalesce(valid, F.lit(False))).select(
         "request_id", F.lit(S.REJECT_INVALID).alias("reason"))
@@ -125,7 +133,7 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
         F.col("request_id").alias("sale_id"), F.col("_aid").alias("addon_id"),
         F.col("_aname").alias("addon_name"), F.col("_aprice").alias("price"))
     addon_rows = matched.join(good.select(F.col("request_id").alias("sale_id")), "sale_id", "left_semi")
-    rejects = invalid.unionByName(not_found).unionByName(too_big)
+    rejects = dup.unionByName(invalid).unionByName(not_found).unionByName(too_big)
     return PricedSales(accepted, rejects, addon_rows)
 
 

@@ -398,7 +398,9 @@ _SALES_COLS = f"""s.sales_id, s.product_id, s.product_name, CAST(s.quantity AS B
        {_money('s.total')} AS total, s.created_at, {{status}} AS status, s.product_image"""
 
 _PRICING = """,
-  ok AS (SELECT * FROM sale_requests WHERE product_id > 0 AND quantity > 0),
+  rep AS (SELECT request_id FROM sale_requests GROUP BY request_id HAVING count(*) > 1),
+  uniq AS (SELECT * FROM sale_requests WHERE request_id NOT IN (SELECT request_id FROM rep)),
+  ok AS (SELECT * FROM uniq WHERE product_id > 0 AND quantity > 0),
   lk AS (SELECT ok.*, p.product_name AS pname, p.price AS pprice, p.image AS pimage
          FROM ok LEFT JOIN products p ON p.product_id = ok.product_id),
   fnd AS (SELECT * FROM lk WHERE pname IS NOT NULL AND pname <> '' AND pname <> '0'),
@@ -416,7 +418,10 @@ SELECT f.request_id AS sales_id, f.product_id, f.pname AS product_name,
 FROM fnd f LEFT JOIN tot t ON t.request_id = f.request_id""")
 
 SQL["price_sales_rejects"] = with_tables("products addons sale_requests", _PRICING + """
-SELECT request_id, 'Invalid product or quantity.' AS reason FROM sale_requests
+SELECT request_id, 'Duplicate key.' AS reason FROM sale_requests
+WHERE request_id IN (SELECT request_id FROM rep)
+UNION ALL
+SELECT request_id, 'Invalid product or quantity.' AS reason FROM uniq
 WHERE NOT coalesce(product_id > 0 AND quantity > 0, false)
 UNION ALL
 SELECT request_id, 'Product not found.' AS reason FROM lk

@@ -221,3 +221,16 @@ def test_top_k_survives_callers_limit(spark):
     assert full.limit(3).collect() == rows[:3]
     img = rankings.top_products_with_image(D.sales_a(spark, sf), D.products(spark, sf), D.AS_OF_A, P.MONTHLY)
     assert img.limit(3).collect() == img.collect()[:3]
+
+
+def test_price_sales_repeated_request_id(edge, spark):
+    from tallyspark import schemas as S
+    req = spark.createDataFrame([
+        (1, 10, 2, [1], None), (1, 10, 2, [1], None),   # identical copies
+        (2, 11, 1, [], None),
+    ], S.SALE_REQUESTS)
+    res = changes.price_sales(req, edge["products"], edge["addons"])
+    assert [r.sales_id for r in res.accepted.collect()] == [2]
+    rej = sorted((r.request_id, r.reason) for r in res.rejects.collect())
+    assert rej == [(1, "Duplicate key."), (1, "Duplicate key.")]
+    assert res.addon_rows.count() == 0
