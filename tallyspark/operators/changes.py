@@ -164,6 +164,12 @@ class VoidResult:
 
 def _split_voids(sales: DataFrame, voids: DataFrame):
     v = voids.select("seq", "sale_id", "reason", "voided_at")
+    # ``seq`` becomes the log's key: every copy of a repeated one is rejected.
+    repeated = (v.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > 1).select("seq"))
+    dup = v.join(repeated, "seq", "left_semi").select(
+        "seq", "sale_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
+    v = v.join(repeated, "seq", "left_anti")
     bad_id = v.filter(~F.coalesce(F.col("sale_id") > 0, F.lit(False))).select(
         "seq", "sale_id", F.lit(REJECT_INVALID_SALE).alias("reason"))
     ok = v.filter(F.col("sale_id") > 0)
@@ -176,7 +182,7 @@ def _split_voids(sales: DataFrame, voids: DataFrame):
     unknown = tagged.filter(F.col("_known").isNull()).select(
         "seq", "sale_id", F.lit(REJECT_UNKNOWN_SALE).alias("reason"))
     applied = tagged.filter(F.col("_known")).drop("_known")
-    return applied, bad_id.unionByName(unknown), known
+    return applied, dup.unionByName(bad_id).unionByName(unknown), known
 
 
 def apply_voids(sales: DataFrame, sales_void: DataFrame, voids: DataFrame) -> VoidResult:
@@ -185,7 +191,8 @@ def apply_voids(sales: DataFrame, sales_void: DataFrame, voids: DataFrame) -> Vo
     Any status becomes VOID. Every accepted request appends one
     ``sales_void`` row (``void_id = seq``, trimmed reason), so voiding a sale
     twice logs twice. Ids not above 0 are rejected ("Invalid sale."); ids with
-    no sale are rejected because the log's foreign key would fail.
+    no sale are rejected because the log's foreign key would fail; every copy
+    of a repeated ``seq`` is rejected ("Duplicate key.").
     """
     applied, rejects, known = _split_voids(sales, voids)
     hits = known.select(F.col("sale_id").alias("sales_id"), F.lit(True).alias("_void"))

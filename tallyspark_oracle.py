@@ -437,7 +437,9 @@ FROM sales s LEFT JOIN (SELECT DISTINCT sale_id FROM cancel_requests) c ON c.sal
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _VOIDS = """,
-  vok AS (SELECT * FROM void_requests WHERE sale_id > 0 AND sale_id IN (SELECT sales_id FROM sales))
+  vrep AS (SELECT seq FROM void_requests GROUP BY seq HAVING count(*) > 1),
+  vok AS (SELECT * FROM void_requests WHERE sale_id > 0 AND sale_id IN (SELECT sales_id FROM sales)
+          AND seq NOT IN (SELECT seq FROM vrep))
 """
 
 SQL["apply_voids_sales"] = with_tables("sales sales_void void_requests", _VOIDS + f"""
@@ -450,10 +452,14 @@ UNION ALL
 SELECT seq AS void_id, sale_id, trim(coalesce(reason, ''), {_TRIM}) AS reason, voided_at FROM vok""",
                                      alias={"sales": "sales_b"})
 
-SQL["apply_voids_rejects"] = with_tables("sales void_requests", """
-SELECT seq, sale_id, 'Invalid sale.' AS reason FROM void_requests WHERE NOT coalesce(sale_id > 0, false)
+SQL["apply_voids_rejects"] = with_tables("sales void_requests", """,
+  vrep AS (SELECT seq FROM void_requests GROUP BY seq HAVING count(*) > 1),
+  v AS (SELECT * FROM void_requests WHERE seq NOT IN (SELECT seq FROM vrep))
+SELECT seq, sale_id, 'Duplicate key.' AS reason FROM void_requests WHERE seq IN (SELECT seq FROM vrep)
 UNION ALL
-SELECT seq, sale_id, 'Unknown sale.' AS reason FROM void_requests
+SELECT seq, sale_id, 'Invalid sale.' AS reason FROM v WHERE NOT coalesce(sale_id > 0, false)
+UNION ALL
+SELECT seq, sale_id, 'Unknown sale.' AS reason FROM v
 WHERE sale_id > 0 AND sale_id NOT IN (SELECT sales_id FROM sales)""", alias={"sales": "sales_b"})
 
 SQL["apply_status_changes"] = with_tables("sales cancel_requests void_requests", _VOIDS + f"""

@@ -234,3 +234,19 @@ def test_price_sales_repeated_request_id(edge, spark):
     rej = sorted((r.request_id, r.reason) for r in res.rejects.collect())
     assert rej == [(1, "Duplicate key."), (1, "Duplicate key.")]
     assert res.addon_rows.count() == 0
+
+
+def test_void_repeated_seq_rejected(edge, spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    voids = spark.createDataFrame([
+        (1, 1, " a ", dt.datetime(2030, 5, 16)), (1, 3, "b", dt.datetime(2030, 5, 16)),
+        (2, 3, "\\tc ", dt.datetime(2030, 5, 16)), (3, 0, "d", None), (4, 77, "e", None),
+    ], S.VOID_REQUESTS)
+    log = spark.createDataFrame([], S.SALES_VOID)
+    res = changes.apply_voids(edge["sales"], log, voids)
+    rej = sorted((r.seq, r.reason) for r in res.rejects.collect())
+    assert rej == [(1, "Duplicate key."), (1, "Duplicate key."), (3, "Invalid sale."), (4, "Unknown sale.")]
+    assert [(r.void_id, r.sale_id, r.reason) for r in res.sales_void.collect()] == [(2, 3, "c")]
+    status = {r.sales_id: r.status for r in res.sales.collect()}
+    assert status[3] == "VOID" and status[1] == "Completed"
