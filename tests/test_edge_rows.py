@@ -241,7 +241,7 @@ def test_void_repeated_seq_rejected(edge, spark):
     from tallyspark import schemas as S
     voids = spark.createDataFrame([
         (1, 1, " a ", dt.datetime(2030, 5, 16)), (1, 3, "b", dt.datetime(2030, 5, 16)),
-        (2, 3, "\\tc ", dt.datetime(2030, 5, 16)), (3, 0, "d", None), (4, 77, "e", None),
+        (2, 3, "\tc ", dt.datetime(2030, 5, 16)), (3, 0, "d", None), (4, 77, "e", None),
     ], S.VOID_REQUESTS)
     log = spark.createDataFrame([], S.SALES_VOID)
     res = changes.apply_voids(edge["sales"], log, voids)
