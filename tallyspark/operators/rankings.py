@@ -25,12 +25,13 @@ from tallyspark.session import ensure_checkpoint_dir
 
 
 def _sales_by_product(sales: DataFrame, as_of, period: str, status: str | None,
-                      qty_name: str) -> DataFrame:
+                      qty_name: str, collation: str | None = None) -> DataFrame:
     pred = period_predicate(sales, period, as_of)
     if status is not None:
         pred = pred & (F.col("status") == F.lit(status))
+    name = F.col("product_name") if collation is None else F.collate(F.col("product_name"), collation)
     return (sales.filter(pred)
-            .groupBy("product_id", "product_name")
+            .groupBy(F.col("product_id"), name.alias("product_name"))
             .agg(F.sum("quantity").alias(qty_name), F.sum("total").alias("revenue")))
 
 
@@ -46,14 +47,17 @@ def _top(df: DataFrame, qty_name: str, k: int) -> DataFrame:
 
 
 def top_products_with_image(sales: DataFrame, products: DataFrame, as_of,
-                            period: str = P.DAILY, k: int = S.TOP_K) -> DataFrame:
+                            period: str = P.DAILY, k: int = S.TOP_K,
+                            collation: str | None = None) -> DataFrame:
     """O08 (dashboard): top-k products by quantity in the period, any status,
     counting only products that still exist and have a non-empty image.
 
     The image test rejects NULL product fields, so the left join of the source
-    is an inner join here.
+    is an inner join here. Sale-time names group as stored; ``collation``
+    (e.g. ``"UNICODE_CI_AI"``) groups them as the source database compares
+    text.
     """
-    agg = _sales_by_product(sales, as_of, period, None, "qty")
+    agg = _sales_by_product(sales, as_of, period, None, "qty", collation)
     cat = (products.filter(text_present("image"))
            .select("product_id", "image", "price", "category"))
     joined = agg.join(cat, "product_id", "inner")
@@ -62,7 +66,8 @@ def top_products_with_image(sales: DataFrame, products: DataFrame, as_of,
 
 
 def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
-                           period: str = P.DAILY, k: int = S.TOP_K) -> DataFrame:
+                           period: str = P.DAILY, k: int = S.TOP_K,
+                           collation: str | None = None) -> DataFrame:
     """O09 (report): top-k by quantity of Completed sales in the period.
 
     Sales of deleted products stay (product fields NULL), as in the source's
@@ -71,11 +76,12 @@ def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
     semi-joined with those at most k ids (a broadcast whose size is bounded
     by k), so the catalogue is scanned but never shuffled. The k rows are
     checkpointed so the sales period is scanned once for both uses.
+    ``collation`` as in ``top_products_with_image``.
     """
     # The top k feed both the result and the id list. A reliable checkpoint
     # of those <= k rows (lazy, in spark.checkpoint.dir) makes both uses read
     # one computation, so the period is scanned and aggregated once.
-    agg = _sales_by_product(sales, as_of, period, S.STATUS_COMPLETED, "qty_sold")
+    agg = _sales_by_product(sales, as_of, period, S.STATUS_COMPLETED, "qty_sold", collation)
     ensure_checkpoint_dir(sales.sparkSession)
     top = _top(agg, "qty_sold", k).checkpoint(eager=False)
     ids = top.select("product_id").filter(F.col("product_id").isNotNull())

@@ -250,3 +250,20 @@ def test_void_repeated_seq_rejected(edge, spark):
     assert [(r.void_id, r.sale_id, r.reason) for r in res.sales_void.collect()] == [(2, 3, "c")]
     status = {r.sales_id: r.status for r in res.sales.collect()}
     assert status[3] == "VOID" and status[1] == "Completed"
+
+
+def test_collated_name_grouping_in_top_sellers(spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    sales = spark.createDataFrame([
+        (1, 5, "Latte", 1, Decimal("3.00"), dt.datetime(2030, 5, 15, 9), "Completed", None),
+        (2, 5, "latte", 2, Decimal("6.00"), dt.datetime(2030, 5, 15, 10), "Completed", None),
+    ], S.SALES)
+    products = spark.createDataFrame([(5, "Latte", "Hot", Decimal("3.00"), "Available", "l.jpg")], S.PRODUCTS)
+    plain = rankings.top_products_completed(sales, products, "2030-05-15", P.DAILY).collect()
+    assert len(plain) == 2
+    folded = rankings.top_products_completed(sales, products, "2030-05-15", P.DAILY,
+                                             collation="UNICODE_CI_AI").collect()
+    assert len(folded) == 1 and folded[0].qty_sold == 3 and folded[0].category == "Hot"
+    img = rankings.top_products_with_image(sales, products, "2030-05-15", P.DAILY, collation="UNICODE_CI_AI")
+    assert img.count() == 1
