@@ -6,13 +6,16 @@ as wildcards. ``search_filter`` reproduces both where Spark allows:
 
 * no wildcard in the term: ``contains`` under the ``UNICODE_CI_AI`` collation
   (case- and accent-insensitive);
-* a wildcard in the term: ``LIKE`` on lower-cased text (case-insensitive; the
-  accent folding is lost because Spark's ``LIKE`` does not accept an
-  accent-insensitive collation).
+* a wildcard in the term: ``LIKE`` on text that is lower-cased and stripped
+  of Latin diacritics on both sides (Spark's ``LIKE`` does not accept an
+  accent-insensitive collation; the folding table is built by rule from
+  Unicode decompositions).
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,31 @@ def text_present(col: str | Column) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
+def _accent_table() -> tuple[str, str]:
+    """Latin letters with diacritics -> their ASCII base letter, built by
+    rule from Unicode canonical decomposition (U+00C0..U+024F)."""
+    src, dst = [], []
+    for cp in range(0xC0, 0x250):
+        ch = chr(cp)
+        base = unicodedata.normalize("NFD", ch)[0]
+        if base != ch and base.isascii() and base.isalpha():
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+_ACCENTED, _PLAIN = _accent_table()
+
+
+def fold_accents(col: str | Column) -> Column:
+    """Lower-case and strip Latin diacritics (é -> e), with built-in functions."""
+    return F.lower(F.translate(_c(col), _ACCENTED, _PLAIN))
+
+
+def _fold_text(text: str) -> str:
+    return text.translate(str.maketrans(_ACCENTED, _PLAIN)).lower()
+
+
 def search_filter(col: str | Column, term: str | None, trim: bool = True) -> Column | None:
     """Substring search predicate, or None when the term means "no filter".
 
@@ -59,8 +87,9 @@ def search_filter(col: str | Column, term: str | None, trim: bool = True) -> Col
         return None
     c = _c(col)
     if any(ch in term for ch in "%_\\"):
-        # Wildcards typed by the user keep their LIKE meaning.
-        return F.lower(c).like("%" + term.lower() + "%")
+        # Wildcards typed by the user keep their LIKE meaning; both sides are
+        # case-folded and stripped of Latin diacritics.
+        return fold_accents(c).like("%" + _fold_text(term) + "%")
     return F.collate(c, "UNICODE_CI_AI").contains(F.lit(term))
 
 

@@ -287,7 +287,7 @@ ORDER BY s.created_at DESC"""
 SQL["sales_list_all"] = _sales_list("1=1")
 SQL["sales_list_search_day"] = _sales_list(
     f"strip_accents(lower(s.product_name)) LIKE '%bolt%' AND CAST(s.created_at AS DATE) = {AS_OF_B}")
-SQL["sales_list_wildcard"] = _sales_list("lower(s.product_name) LIKE '%r_d w%'")
+SQL["sales_list_wildcard"] = _sales_list("strip_accents(lower(s.product_name)) LIKE '%r_d w%'")
 
 
 def _report_rows(cond: str) -> str:

@@ -267,3 +267,11 @@ def test_collated_name_grouping_in_top_sellers(spark):
     assert len(folded) == 1 and folded[0].qty_sold == 3 and folded[0].category == "Hot"
     img = rankings.top_products_with_image(sales, products, "2030-05-15", P.DAILY, collation="UNICODE_CI_AI")
     assert img.count() == 1
+
+
+def test_wildcard_search_folds_accents(edge):
+    def ids(term):
+        return sorted(r.product_id for r in catalog.product_search(edge["products"], search=term).collect())
+    assert ids("cafe%uno") == [10]      # 'Café Uno' once accents are folded
+    assert ids("CAF_ D%") == [11]       # '_' is exactly one character
+    assert ids("CAFÉ%") == [10, 11]     # accents folded on the term too
