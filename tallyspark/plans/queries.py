@@ -497,3 +497,28 @@ def _q(spark, d):
     items = F.array_join(F.transform("items", lambda x: F.concat(
         x["product_name"], F.lit("#"), x["product_id"].cast("string"))), "; ")
     return pages.select("category", "page", items.alias("items"), F.size("items").alias("n_items"))
+
+
+# --- More parameter variants ---------------------------------------------------
+@register("report_kpis_monthly")
+def _q(spark, d):
+    """O07 the report strip for filter=monthly."""
+    return K.report_kpis(D.sales_a(spark, d), AS_OF_A, "monthly")
+
+
+@register("report_transactions_daily")
+def _q(spark, d):
+    """O13 Completed rows of the report day."""
+    return V.report_transactions(D.sales_a(spark, d), AS_OF_A, "daily")
+
+
+@register("stock_cards_low_search")
+def _q(spark, d):
+    """O19 + O20 the inventory page's cards for the stock level 'low'."""
+    return I.stock_cards(I.ingredient_search(D.ingredients(spark, d), stock_level=" low "))
+
+
+@register("inventory_report_bad")
+def _q(spark, d):
+    """O23 the report's inventory table filtered to class badge-bad."""
+    return I.inventory_report(D.ingredients(spark, d), status="badge-bad")

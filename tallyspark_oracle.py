@@ -619,3 +619,19 @@ SELECT category, CAST(floor(rn / 25) AS BIGINT) AS page,
                   ORDER BY product_name NULLS FIRST, product_id) AS items,
        CAST(count(*) AS BIGINT) AS n_items
 FROM r GROUP BY category, floor(rn / 25)""").replace("WITH products AS", "WITH products AS", 1)
+
+
+# --- More parameter variants -------------------------------------------------------------
+SQL["report_kpis_monthly"] = _report_kpis(_MONTH_A)
+SQL["report_transactions_daily"] = _report_rows(_DATE_EQ_A)
+SQL["stock_cards_low_search"] = with_tables("ingredients", f"""
+SELECT {_ING},
+       CASE WHEN stock IS NULL THEN 'low'
+            WHEN low_stock_threshold IS NULL THEN
+                 CASE WHEN stock = 0 THEN 'low' WHEN stock < 0 THEN 'mid' ELSE 'high' END
+            WHEN stock <= low_stock_threshold THEN 'low'
+            WHEN stock <= low_stock_threshold * 3 THEN 'mid' ELSE 'high' END AS level,
+       CAST(least(100, {_half_up_div(_PCT_NUM, _PCT_DEN)}) AS BIGINT) AS fill_pct,
+       (image IS NOT NULL AND image != '') AS has_image
+FROM ingredients WHERE stock <= low_stock_threshold""")
+SQL["inventory_report_bad"] = _inventory_report("cls = 'badge-bad'")
