@@ -136,9 +136,22 @@ def current_log(spark: SparkSession, base_log: DataFrame, root: str, name: str)
 
 
 def run_sale_batch(spark: SparkSession, t: ShopTables, requests: DataFrame,
-                   root: str, batch: int) -> DataFrame:
+                   root: str, batch: int, check_existing: bool = False) -> DataFrame:
     """Price a batch of sale requests; commit the new sales, their add-on
-    rows and the rejects together. Returns the rejects."""
+    rows and the rejects together. Returns the rejects.
+
+    Request ids become sale ids and must be new. With ``check_existing`` the
+    batch's ids are looked up in ``t.sales`` (one scan of its id column, the
+    batch ids on the build side) and requests whose id exists are rejected
+    as a duplicate key, as the database's primary key would; without it the
+    caller guarantees new ids (e.g. from an id generator).
+    """
+    taken = None
+    if check_existing:
+        ids = requests.select("request_id").distinct()
+        taken = cut_lineage(t.sales.select(F.col("sales_id").alias("request_id"))
+                            .join(ids, "request_id", "inner").distinct())
+        requests = requests.join(taken, "request_id", "left_anti")
     # Each committed output is its own job; give them one small catalogue
     # to read: the products this batch names, found with one scan of the
     # catalogue and checkpointed (results are the same, only referenced
@@ -147,10 +160,14 @@ def run_sale_batch(spark: SparkSession, t: ShopTables, requests: DataFrame,
     priced = changes.price_sales(requests, cut_lineage(needed), t.addons)
     addon_rows = priced.addon_rows.select(
         F.xxhash64("sale_id", "addon_id").alias("id"), "sale_id", "addon_id", "addon_name", "price")
+    rejects = priced.rejects
+    if taken is not None:
+        rejects = taken.select("request_id", F.lit(changes.REJECT_DUPLICATE_KEY).alias("reason")) \
+            .unionByName(rejects)
     commit_batch(spark, root, batch, {
         "new_sales": priced.accepted,
         "sale_addons": addon_rows,
-        "sale_rejects": priced.rejects,
+        "sale_rejects": rejects,
     })
     return spark.read.parquet(os.path.join(_batch_dir(root, batch), "sale_rejects"))
 

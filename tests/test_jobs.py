@@ -82,3 +82,13 @@ def test_compaction_folds_batches(spark):
     jobs.run_status_batch(spark, after, D.sales_void(spark, SF), D.cancel_requests(spark, SF),
                           D.void_requests(spark, SF), root, 3)
     assert jobs.current_sales(spark, new_base, root, after_batch=last).count() == view.count()
+
+
+def test_sale_batch_rejects_existing_ids_when_asked(spark):
+    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
+    t = ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
+    req = D.sale_requests(spark, SF)       # its ids are the event ids, all taken
+    rejects = jobs.run_sale_batch(spark, t, req, root, 1, check_existing=True)
+    assert rejects.count() == req.count()
+    assert rejects.filter(F.col("reason") == "Duplicate key.").count() == req.count()
+    assert jobs.current_sales(spark, t.sales, root).count() == t.sales.count()
