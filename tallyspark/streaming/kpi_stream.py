@@ -10,10 +10,12 @@ figures are the dashboard's (all statuses) and the report's (Completed).
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark import periods as P
 from tallyspark import schemas as S
 
 
@@ -69,3 +71,23 @@ def read_daily_totals(spark: SparkSession, out_dir: str) -> DataFrame:
     df = spark.read.parquet(out_dir)
     latest = F.max_by(F.struct("total", "orders", "completed_total", "completed_orders"), "epoch")
     return df.groupBy("day").agg(latest.alias("v")).select("day", "v.*")
+
+
+def dashboard_from_days(days: DataFrame, as_of, growth: str = S.FORECAST_GROWTH) -> DataFrame:
+    """The dashboard strip (daily, weekly = trailing 7 days, monthly, today's
+    orders, forecast) from the day table kept by the stream: a few dozen day
+    rows are summed instead of scanning the sales table."""
+    def day_range(period):
+        lo, hi = P.period_range(period, as_of)
+        return (F.col("day") >= F.lit(lo.date())) & (F.col("day") < F.lit(hi.date()))
+
+    lo, hi = P.covering_range([P.DAILY, P.TRAILING7, P.MONTHLY], as_of)
+    scoped = days.filter((F.col("day") >= F.lit(lo.date())) & (F.col("day") < F.lit(hi.date())))
+    zero = F.lit(0).cast(S.MONEY)
+    strip = scoped.agg(
+        F.coalesce(F.sum(F.when(day_range(P.DAILY), F.col("total"))), zero).alias("daily"),
+        F.coalesce(F.sum(F.when(day_range(P.TRAILING7), F.col("total"))), zero).alias("weekly"),
+        F.coalesce(F.sum(F.when(day_range(P.MONTHLY), F.col("total"))), zero).alias("monthly"),
+        F.coalesce(F.sum(F.when(day_range(P.DAILY), F.col("orders"))), F.lit(0)).cast("long").alias("today_orders"),
+    )
+    return strip.withColumn("forecast", F.col("monthly") * F.lit(Decimal(growth)))

@@ -48,3 +48,13 @@ def test_daily_windows_match_batch_kpis(spark):
         r = kpis.report_kpis(sales, day, "daily").first()
         assert daily[day].total == b.daily and daily[day].orders == b.today_orders
         assert daily[day].completed_total == r.total_sales
+
+
+def test_dashboard_from_stream_days_equals_batch(spark):
+    sales = D.sales_b(spark, SF)
+    days = kpi_stream.daily_windows(sales)       # batch form of the stream's day table
+    for as_of in ("2024-01-01", "2024-01-17", "2024-01-31"):
+        a = kpi_stream.dashboard_from_days(days, as_of).first()
+        b = kpis.dashboard_kpis(sales, as_of).first()
+        assert (a.daily, a.weekly, a.monthly, a.today_orders) == (b.daily, b.weekly, b.monthly, b.today_orders)
+        assert a.forecast == b.forecast
