@@ -522,3 +522,10 @@ def _q(spark, d):
 def _q(spark, d):
     """O23 the report's inventory table filtered to class badge-bad."""
     return I.inventory_report(D.ingredients(spark, d), status="badge-bad")
+
+
+@register("dashboard_from_stream_days")
+def _q(spark, d):
+    """The dashboard strip served from the streaming day table (batch form)
+    over the whole event-sales table, report date 2024-01-17."""
+    return KS.dashboard_from_days(KS.daily_windows(D.sales_b(spark, d)), AS_OF_B)

@@ -635,3 +635,14 @@ SELECT {_ING},
        (image IS NOT NULL AND image != '') AS has_image
 FROM ingredients WHERE stock <= low_stock_threshold""")
 SQL["inventory_report_bad"] = _inventory_report("cls = 'badge-bad'")
+
+_DAY_B = f"created_at >= {AS_OF_B} AND created_at < {AS_OF_B} + INTERVAL 1 DAY"
+_T7_B = f"created_at >= {AS_OF_B} - INTERVAL 6 DAY AND created_at < {AS_OF_B} + INTERVAL 1 DAY"
+_MONTH_B = f"month(created_at) = month({AS_OF_B}) AND year(created_at) = year({AS_OF_B})"
+SQL["dashboard_from_stream_days"] = with_tables("sales", f"""
+SELECT {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_DAY_B})')} AS daily,
+       {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_T7_B})')} AS weekly,
+       {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_MONTH_B})')} AS monthly,
+       (SELECT CAST(count(*) AS BIGINT) FROM sales WHERE {_DAY_B}) AS today_orders,
+       {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_MONTH_B}) * 1.1')} AS forecast""",
+                                                 alias={"sales": "sales_b"})
