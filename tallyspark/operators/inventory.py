@@ -92,5 +92,11 @@ def inventory_report(ingredients: DataFrame, status: str | None = None,
 
 
 def unit_labels(ingredients: DataFrame) -> DataFrame:
-    """The distinct unit labels offered by the report's filter."""
-    return ingredients.select(unit_label().alias("unit_label")).distinct().orderBy("unit_label")
+    """The distinct unit labels offered by the report's filter, in the
+    order the report first meets them while walking ingredients by stock
+    ascending with NULL stock first (ties by label)."""
+    first_seen = F.min(F.struct(F.col("stock").isNotNull().alias("has_stock"), F.col("stock")))
+    return (ingredients.groupBy(unit_label().alias("unit_label"))
+            .agg(first_seen.alias("_first"))
+            .orderBy("_first", "unit_label")
+            .select("unit_label"))

@@ -275,3 +275,10 @@ def test_wildcard_search_folds_accents(edge):
     assert ids("cafe%uno") == [10]      # 'Café Uno' once accents are folded
     assert ids("CAF_ D%") == [11]       # '_' is exactly one character
     assert ids("CAFÉ%") == [10, 11]     # accents folded on the term too
+
+
+def test_unit_labels_first_seen_order(edge):
+    labels = [r.unit_label for r in inventory.unit_labels(edge["ingredients"]).collect()]
+    # Stock ascending with NULL first: i5 (NULL, pcs), then stock 0 (Pack), 1 (Pack),
+    # 5 (Box), 6 (Can), 15 (Box), 16 (NULL unit -> Other).
+    assert labels == ["Pcs-based", "Pack-based-based", "Box-based-based", "Can-based-based", "Other-based"]
