@@ -282,3 +282,11 @@ def test_unit_labels_first_seen_order(edge):
     # Stock ascending with NULL first: i5 (NULL, pcs), then stock 0 (Pack), 1 (Pack),
     # 5 (Box), 6 (Can), 15 (Box), 16 (NULL unit -> Other).
     assert labels == ["Pcs-based", "Pack-based-based", "Box-based-based", "Can-based-based", "Other-based"]
+
+
+def test_alert_headline_singular_and_none(edge):
+    ing = edge["ingredients"]
+    one = inventory.low_stock_alert_count(ing.filter(F.col("ingredient_id") == 1)).first()
+    assert (one.alerts, one.message) == (1, "1 ingredient needs restocking")
+    none = inventory.low_stock_alert_count(ing.filter(F.col("ingredient_id") == 3)).first()
+    assert (none.alerts, none.message) == (0, None)
