@@ -12,10 +12,6 @@ from tallyspark.sources.tables import read_table, write_table
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def formatted(df):
     import io
     import contextlib
