@@ -118,6 +118,8 @@ def category_ranking(sales: DataFrame, products: DataFrame, collation: str | Non
                .groupBy("category")
                .agg(F.sum("q").alias("total_quantity"), F.sum("t").alias("total_sales")))
     w = Window.orderBy(F.col("total_sales").desc_nulls_last(), F.col("category").asc_nulls_first())
+    # The window already runs in one partition (one row per category), so
+    # ordering by rank is a local sort there, not another exchange.
     return (per_cat.select(F.row_number().over(w).alias("rank"), "category",
                            "total_quantity", "total_sales")
-            .orderBy("rank"))
+            .coalesce(1).sortWithinPartitions("rank"))
