@@ -290,3 +290,30 @@ def test_alert_headline_singular_and_none(edge):
     assert (one.alerts, one.message) == (1, "1 ingredient needs restocking")
     none = inventory.low_stock_alert_count(ing.filter(F.col("ingredient_id") == 3)).first()
     assert (none.alerts, none.message) == (0, None)
+
+
+def test_reset_drops_untimed_sales_and_their_children(edge, spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    addons = spark.createDataFrame([(1, 9, 1, "Shot", Decimal("1.50")), (2, 3, 1, "Shot", Decimal("1.50"))],
+                                   S.SALE_ADDONS)
+    voids = spark.createDataFrame([(1, 9, "x", dt.datetime(2030, 6, 1)), (2, 3, "y", dt.datetime(2030, 6, 1))],
+                                  S.SALES_VOID)
+    kept = changes.reset_history(edge["sales"], addons, voids, dt.datetime(2030, 5, 15, 12, 0))
+    assert sorted(r.sales_id for r in kept.sales.collect()) == [2, 3]       # sale 9 has no time
+    assert [r.sale_id for r in kept.sale_addons.collect()] == [3]
+    assert [r.sale_id for r in kept.sales_void.collect()] == [3]
+
+
+def test_append_audit_without_reset_keeps_old_log(spark):
+    import datetime as dt
+    from tallyspark import schemas as S
+    from tallyspark.operators import audit
+    logs = spark.createDataFrame([(1, "u", "Add User", "a", dt.datetime(2030, 1, 1))], S.AUDIT_LOGS)
+    entries = spark.createDataFrame([(2, "u", "Update Settings", "b", dt.datetime(2030, 1, 2))], S.AUDIT_ENTRIES)
+    assert sorted(r.log_id for r in audit.append_audit(logs, entries).collect()) == [1, 2]
+    reset = spark.createDataFrame([(3, "u", "Reset Logs", "All audit logs cleared", dt.datetime(2030, 1, 3)),
+                                   (4, "u", "Add User", "c", dt.datetime(2030, 1, 4))], S.AUDIT_ENTRIES)
+    assert sorted(r.log_id for r in audit.append_audit(logs, reset).collect()) == [3, 4]
+    top = audit.recent_audit_logs(audit.append_audit(logs, entries), n=1).collect()
+    assert [r.log_id for r in top] == [2]
