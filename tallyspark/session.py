@@ -30,6 +30,9 @@ CORE_CONF = {
     # broadcasting a side that only looks small on disk; AQE still broadcasts
     # it at run time when its measured size is under the threshold.
     "spark.sql.sources.fileCompressionFactor": "8",
+    # Small checkpoints (a report's top k, the menu's partitioned rows) are
+    # removed once their DataFrame is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
