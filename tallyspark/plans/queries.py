@@ -529,3 +529,15 @@ def _q(spark, d):
     """The dashboard strip served from the streaming day table (batch form)
     over the whole event-sales table, report date 2024-01-17."""
     return KS.dashboard_from_days(KS.daily_windows(D.sales_b(spark, d)), AS_OF_B)
+
+
+@register("sales_list_day")
+def _q(spark, d):
+    """O12 the sales list of one day (date filter only)."""
+    return _sales_list(spark, d, None, AS_OF_B)
+
+
+@register("product_search_wildcard")
+def _q(spark, d):
+    """O17 a name search with a user-typed wildcard, any category and status."""
+    return C.product_search(D.products(spark, d), search="  BL_E%R ")

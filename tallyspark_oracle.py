@@ -646,3 +646,8 @@ SELECT {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_DAY_B})')} A
        (SELECT CAST(count(*) AS BIGINT) FROM sales WHERE {_DAY_B}) AS today_orders,
        {_money(f'(SELECT coalesce(sum(total), 0) FROM sales WHERE {_MONTH_B}) * 1.1')} AS forecast""",
                                                  alias={"sales": "sales_b"})
+
+SQL["sales_list_day"] = _sales_list(f"CAST(s.created_at AS DATE) = {AS_OF_B}")
+SQL["product_search_wildcard"] = with_tables("products", f"""
+SELECT {_PRODUCT_COLS} FROM products
+WHERE strip_accents(lower(product_name)) LIKE '%bl_e%r%'""")
