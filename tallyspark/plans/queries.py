@@ -541,3 +541,15 @@ def _q(spark, d):
 def _q(spark, d):
     """O17 a name search with a user-typed wildcard, any category and status."""
     return C.product_search(D.products(spark, d), search="  BL_E%R ")
+
+
+@register("report_summary_empty_filter")
+def _q(spark, d):
+    """O05 with filter='' (not missing): the page's else-branch, all time."""
+    return K.report_summary(D.sales_a(spark, d), AS_OF_A, "")
+
+
+@register("report_summary_no_filter")
+def _q(spark, d):
+    """O05 with no filter at all: the page's default, daily."""
+    return K.report_summary(D.sales_a(spark, d), AS_OF_A, None)

@@ -651,3 +651,9 @@ SQL["sales_list_day"] = _sales_list(f"CAST(s.created_at AS DATE) = {AS_OF_B}")
 SQL["product_search_wildcard"] = with_tables("products", f"""
 SELECT {_PRODUCT_COLS} FROM products
 WHERE strip_accents(lower(product_name)) LIKE '%bl_e%r%'""")
+
+SQL["report_summary_empty_filter"] = SQL["completed_totals"]
+SQL["report_summary_no_filter"] = with_tables("sales", f"""
+SELECT {_money('coalesce(sum(total), 0)')} AS total_sales,
+       CAST(count(*) AS BIGINT) AS total_transactions
+FROM sales WHERE status = 'Completed' AND {_DATE_EQ_A}""")
