@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import periods as P
+from tallyspark.operators import kpis as K
+from tallyspark.operators import rankings as R
+from tallyspark.operators import sales_views as V
+from tallyspark.operators import catalog as C
+from tallyspark.operators import inventory as I
+from tallyspark.operators import changes as CH
+from tallyspark.operators import audit as AU
+from tallyspark.plans import export as EX
+from tallyspark.streaming import kpi_stream as KS
 from tallyspark.sources import driver_tables as D
 
 AS_OF_A = D.AS_OF_A
@@ -47,7 +56,6 @@ def register(name: str):
 
 
 # --- Period KPIs (set A: line-item sales, report date 1998-06-17) ----------
-from tallyspark.operators import kpis as K  # noqa: E402
 
 
 @register("daily_total_any_status")
@@ -117,7 +125,6 @@ def _q(spark, d):
 
 
 # --- Rankings ---------------------------------------------------------------
-from tallyspark.operators import rankings as R  # noqa: E402
 
 
 @register("top_with_image_daily")
@@ -163,7 +170,6 @@ def _q(spark, d):
 
 
 # --- Sales listing (set B: event sales, report date 2024-01-17) ------------
-from tallyspark.operators import sales_views as V  # noqa: E402
 
 
 @register("addons_by_sale")
@@ -218,7 +224,6 @@ def _q(spark, d):
 
 
 # --- Catalogue -------------------------------------------------------------
-from tallyspark.operators import catalog as C  # noqa: E402
 
 
 @register("sellable_products")
@@ -253,7 +258,6 @@ def _q(spark, d):
 
 
 # --- Inventory -------------------------------------------------------------
-from tallyspark.operators import inventory as I  # noqa: E402
 
 
 @register("stock_status")
@@ -313,7 +317,6 @@ def _q(spark, d):
 
 
 # --- Batch change jobs (set B sales and request feeds) ---------------------
-from tallyspark.operators import changes as CH  # noqa: E402
 
 
 def _priced(spark, d):
@@ -450,8 +453,6 @@ def _q(spark, d):
 
 
 # --- Audit and export ------------------------------------------------------
-from tallyspark.operators import audit as AU  # noqa: E402
-from tallyspark.plans import export as EX  # noqa: E402
 
 
 @register("append_audit")
@@ -479,7 +480,6 @@ def _q(spark, d):
 
 
 # --- Streaming operator, run as a batch query -------------------------------
-from tallyspark.streaming import kpi_stream as KS  # noqa: E402
 
 
 @register("daily_sales_windows")
