@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import changes
 from tallyspark.session import ensure_checkpoint_dir
-from tallyspark.sources.tables import SALE_MONTH, ShopTables, conform
+from tallyspark.sources.tables import SALE_MONTH, ShopTables, conform, write_table
 
 MARKER = "_COMMITTED"
 BATCHES = "batches"
@@ -227,7 +227,6 @@ def compact_sales(spark: SparkSession, base_sales: DataFrame, root: str, out_roo
     ``out_root`` (stored layout, one rewrite, run rarely). Returns the last
     batch folded in; afterwards read ``current_sales(new_base, root,
     after_batch=<that batch>)``."""
-    from tallyspark.sources.tables import write_table
     batches = [b for b in committed_batches(spark, root) if after_batch is None or b > after_batch]
     if not batches:
         return after_batch
