@@ -53,3 +53,17 @@ def test_export_generated_stamp(spark, tmp_path):
                                generated_at=dt.datetime(2030, 1, 2, 3, 4, 5))
     summary = spark.read.option("header", True).csv(os.path.join(out, "summary")).first()
     assert summary.generated_at == "2030-01-02 03:04:05" and summary.period_label == "Weekly"
+
+
+def test_append_priced_sales_to_stored_table(spark, tmp_path):
+    from tallyspark.operators import changes
+    from tallyspark.sources.tables import read_table
+    root = str(tmp_path / "shop")
+    base = D.sales_b(spark, SF).filter("created_at < timestamp_ntz'2024-01-10 00:00:00'")
+    write_table(base, root, "sales")
+    req = D.sale_requests(spark, SF).filter("created_at >= timestamp_ntz'2024-01-10 00:00:00'")
+    accepted = changes.price_sales(req, D.products(spark, SF), D.addons(spark, SF)).accepted
+    write_table(accepted, root, "sales", mode="append")
+    stored = read_table(spark, root, "sales")
+    assert stored.count() == base.count() + accepted.count()
+    assert stored.select("sale_month").distinct().count() == 1      # January 2024
