@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, sharding, token_counts
+from tallyspark.llm import mixing, repetition, sharding, simhash, token_counts
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -20,6 +20,11 @@ def register(name, sql=None):
     return put
 
 
+@register("op1_repetition")
+def op1(spark, sf_dir):
+    return repetition.repetition(read(spark, sf_dir, "documents"))
+
+
 @register("op5_token_counts")
 def op5(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
@@ -31,6 +36,12 @@ def op6(spark, sf_dir):
     return placed.select(F.col("key").alias("doc_id"), F.col("slot").cast("long").alias("slot"), "shard")
 
 
+@register("op7_simhash")
+def op7(spark, sf_dir):
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 @register("op10_mixing", mixing.SQL)
 def op10(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select(
