@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, repetition, sharding, simhash, token_counts
+from tallyspark.llm import mixing, repetition, sharding, simhash, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -25,6 +25,18 @@ def op1(spark, sf_dir):
     return repetition.repetition(read(spark, sf_dir, "documents"))
 
 
+@register("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc.doc_id", "held_out", "score", "predicted")
+
+
+@register("op4_voronoi_top_k", topk.SQL)
+def op4(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 @register("op5_token_counts")
 def op5(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))

@@ -34,7 +34,7 @@ def brute(text):
     for n in R.NGRAM_LIMITS:
         out[f"share_{n}"] = sum(len(words[i].decode()) for i in covered(n, False)) / total
     out["base_failed"] = len(words) < 50 or 100 * out["n_repeat_words"] > 50 * len(words)
-    out["kept"] = not out["base_failed"] and out["share_lines"] <= .3 and out["share_line_chars"] <= .2 and all(
+    out["kept"] = not out["base_failed"] and out["share_lines"] <= .35 and out["share_line_chars"] <= .3 and all(
         out[f"share_{n}"] <= m for n, m in R.NGRAM_LIMITS.items())
     return out
 
