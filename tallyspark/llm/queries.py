@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, repetition, sharding, simhash, token_counts, topk, toxicity
+from tallyspark.llm import mixing, packing, repetition, sharding, simhash, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -54,6 +54,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@register("op9_packing")
+def op9(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
+
+
 @register("op10_mixing", mixing.SQL)
 def op10(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select(
