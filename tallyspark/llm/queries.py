@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, packing, repetition, sharding, simhash, token_counts, topk, toxicity
+from tallyspark.llm import mixing, packing, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -25,6 +25,12 @@ def op1(spark, sf_dir):
     return repetition.repetition(read(spark, sf_dir, "documents"))
 
 
+@register("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op3_toxicity")
 def op3(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
