@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import mixing, packing, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
+from tallyspark.llm import lm_score, mixing, packing, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -60,6 +60,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@register("op8_lm_score")
+def op8(spark, sf_dir):
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 @register("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
