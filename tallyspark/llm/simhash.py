@@ -47,13 +47,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 keep: list[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``keep``: the fingerprint as a signed long."""
     @F.pandas_udf("long")
     def of(texts):
         return texts.map(lambda t: fingerprint(t, shingle)).astype("uint64").astype("int64")
-    of = of.asDeterministic() if hasattr(of, "asDeterministic") else of
-    return docs.select(docs[id_col].alias("doc_id"), of(F.coalesce(docs[text_col], F.lit(""))).alias("fp"))
+    return docs.select(docs[id_col].alias("doc_id"), *keep, of(F.coalesce(docs[text_col], F.lit(""))).alias("fp"))
 
 
 def blocks(distance: int) -> list[tuple[int, int]]:
@@ -139,6 +139,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataF
     return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_links(distance), "a long, b long")
 
 
+def classes(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(f, root, component_id) for every distinct ``fp`` of ``own`` (doc_id, fp):
+    the smallest fingerprint and the smallest id that it reaches."""
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), distance))
+    rooted = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("f"), "least", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return cut(rooted.join(named, "root").select("f", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) per row.
@@ -149,14 +160,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are ignored.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(rooted.join(named, "root").select(F.col("fp").alias("f"), "component_id"))
-    return own.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return own.join(classes(own, distance), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the row with
+    the smallest id stays (null ids last; of rows with one id, the one with
+    the smallest hash; of rows equal in every column, one)."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    row, k1, k2 = F.struct(*columns), F.xxhash64(*columns), F.hash(*columns)
+    prints = fingerprints(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
+                                      F.struct(k1.alias("k1"), k2.alias("k2")).alias("key")), shingle=shingle, keep=["key"])
+    own = cut(prints)
+    best = own.join(classes(own, distance), F.col("fp") == F.col("f")).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    stay = cut(best.select(F.col("best.key.k1").alias("s1"), F.col("best.key.k2").alias("s2")))
+    rows = docs.select(row.alias("row"), k1.alias("k1"), k2.alias("k2"))
+    kept = rows.join(stay, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+    return kept.dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def hex16(fp):

@@ -130,8 +130,9 @@ def _measured(df: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
 
 def learn_lexicon(sample: DataFrame, limit: int = LEXICON_WORDS) -> dict[bytes, float]:
     """Words of ``sample`` (toxic, text) that toxic documents hold more often,
-    with the log of the ratio, lowered by two standard errors. Counts are
-    combined in each batch before they are shuffled; ``limit`` words return."""
+    with the log of the ratio, lowered by two standard errors. A word must be
+    in at least three toxic documents and 0.4 % of them. Counts are combined
+    in each batch before they are shuffled; ``limit`` words return."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (Counter(), Counter())
@@ -142,7 +143,8 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON_WORDS) -> dict[bytes,
                                               pa.array([found[1][w] for w in words], pa.int64())], ["word", "clean", "toxic"])
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     counts = (sample.select("toxic", "text").mapInArrow(count, "word binary, clean long, toxic long")
-              .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 5"))
+              .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+              .filter(F.col("toxic") >= max(3, math.ceil(0.004 * total[1]))))
     clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
     weight = (F.log(toxic / F.lit(total[1] + 1.0)) - F.log(clean / F.lit(total[0] + 1.0))
               - 2 * F.sqrt(1 / toxic + 1 / clean))
