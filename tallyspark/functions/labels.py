@@ -21,6 +21,7 @@ BADGE_PENDING = "pending"
 CANCELLED_SPELLINGS = ("cancelled", "canceled")
 STOCK_LABELS = ("Low", "Mid", "Good")                        # dashboard and report
 REPORT_CLASSES = ("badge-bad", "badge-mid", "badge-good")    # report filter values
+FILTER_TAGS = ("Low", "Medium", "Good")                       # report filter tag
 CARD_LEVELS = ("low", "mid", "high")                         # inventory page
 UNIT_SUFFIX = "-based"
 UNKNOWN_UNIT = "Other"
@@ -44,6 +45,7 @@ def status_badge(status: str | Column = "status") -> Column:
 def _three_way(stock: Column, thr: Column, labels) -> Column:
     # A NULL stock compares as "low" (PHP: null <= x is always true).
     low, mid, good = labels
+    stock, thr = stock.cast("long"), thr.cast("long")  # three times a limit may leave 32 bits
     return (F.when(stock.isNull() | (stock <= thr), low)
             .when(stock <= thr * 3, mid)
             .otherwise(good))
@@ -70,13 +72,19 @@ def class_to_label(cls: str | Column = "cls") -> Column:
             .otherwise(STOCK_LABELS[2]))
 
 
+def filter_tag(value: str | None) -> str | None:
+    """The report's active-filter tag of a stock status: the middle class reads
+    ``Medium`` there, and an unknown value is shown as it came."""
+    return dict(zip(REPORT_CLASSES, FILTER_TAGS)).get(value, value)
+
+
 def stock_level_filter(level: str | None, stock: str | Column = "stock",
                        threshold: str | Column = "low_stock_threshold") -> Column | None:
     """Search-page rule: plain SQL comparisons, so a NULL matches no level.
 
     Returns None (no filter) for an empty or unknown level.
     """
-    s, t = _c(stock), _c(threshold)
+    s, t = _c(stock).cast("long"), _c(threshold).cast("long")
     if level == "low":
         return s <= t
     if level == "mid":
@@ -94,7 +102,7 @@ def stock_card_level(stock: str | Column = "stock",
     values (stock 0 is low) and the second compares with 0 (a negative stock
     is mid); every other stock is high.
     """
-    s, t = _c(stock), _c(threshold)
+    s, t = _c(stock).cast("long"), _c(threshold).cast("long")
     return (F.when(s.isNull(), CARD_LEVELS[0])
             .when(t.isNull(), F.when(s == 0, CARD_LEVELS[0])
                   .when(s < 0, CARD_LEVELS[1]).otherwise(CARD_LEVELS[2]))

@@ -30,7 +30,7 @@ def fill_percent(stock: str | Column = "stock",
     NULL stock counts as 0 and a NULL threshold as 0 (so the reference is 1).
     """
     s = F.coalesce(_c(stock), F.lit(0)).cast("decimal(20,0)")
-    ref = F.greatest(F.coalesce(_c(threshold), F.lit(0)) * 3, F.lit(1)).cast("decimal(20,0)")
+    ref = F.greatest(F.coalesce(_c(threshold), F.lit(0)).cast("long") * 3, F.lit(1)).cast("decimal(20,0)")
     return F.least(F.lit(100), F.round(s * 100 / ref, 0).cast("long"))
 
 

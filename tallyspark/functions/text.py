@@ -1,15 +1,11 @@
 """Text predicates and string helpers with the application's semantics.
 
 Text comparison in the source database is case- and accent-insensitive, and
-user input to ``LIKE`` is not escaped, so ``%`` and ``_`` typed by a user act
-as wildcards. ``search_filter`` reproduces both where Spark allows:
-
-* no wildcard in the term: ``contains`` under the ``UNICODE_CI_AI`` collation
-  (case- and accent-insensitive);
-* a wildcard in the term: ``LIKE`` on text that is lower-cased and stripped
-  of Latin diacritics on both sides (Spark's ``LIKE`` does not accept an
-  accent-insensitive collation; the folding table is built by rule from
-  Unicode decompositions).
+user input to ``LIKE`` is not escaped, so ``%``, ``_`` and ``\\`` typed by a
+user keep their ``LIKE`` meaning. ``search_filter`` folds both sides the same
+way whatever the term holds: lower case, Latin letters without diacritics (a
+table built by rule from Unicode decompositions), combining marks removed.
+Names are sorted by the same fold, ties by the text as stored.
 """
 
 from __future__ import annotations
@@ -47,17 +43,25 @@ def text_present(col: str | Column) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
+def php_empty(col: str | Column) -> Column:
+    """PHP ``empty()`` of a string: NULL, '' and '0'."""
+    c = _c(col)
+    return c.isNull() | (c == F.lit("")) | (c == F.lit("0"))
+
+
 def _accent_table() -> tuple[str, str]:
-    """Latin letters with diacritics -> their ASCII base letter, built by
-    rule from Unicode canonical decomposition (U+00C0..U+024F)."""
+    """Latin letters with diacritics -> their ASCII base letter, built by rule
+    from Unicode canonical decomposition; combining marks have no counterpart
+    (``translate`` drops them)."""
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         ch = chr(cp)
         base = unicodedata.normalize("NFD", ch)[0]
         if base != ch and base.isascii() and base.isalpha():
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(src) + marks, "".join(dst)
 
 
 _ACCENTED, _PLAIN = _accent_table()
@@ -69,7 +73,30 @@ def fold_accents(col: str | Column) -> Column:
 
 
 def _fold_text(text: str) -> str:
-    return text.translate(str.maketrans(_ACCENTED, _PLAIN)).lower()
+    folded = {ord(c): None for c in _ACCENTED[len(_PLAIN):]} | dict(zip(map(ord, _ACCENTED), _PLAIN))
+    return text.translate(folded).lower()
+
+
+def by_name(col: str) -> list[Column]:
+    """Sort keys of a name: as the source database compares text, then as stored."""
+    return [fold_accents(col).asc_nulls_first(), F.col(col).asc_nulls_first()]
+
+
+def like_pattern(term: str) -> str:
+    """``%term%`` as the database reads it, for Spark's ``like``.
+
+    A backslash makes the next character literal, also the closing ``%`` after
+    a trailing one. Spark accepts a backslash only before ``%``, ``_`` and
+    itself, so the pattern is written anew with just those.
+    """
+    out, rest = [], iter("%" + term + "%")
+    for ch in rest:
+        if ch == "\\":
+            ch = next(rest)
+            out.append("\\" + ch if ch in "%_\\" else ch)
+        else:
+            out.append(ch)
+    return "".join(out)
 
 
 def search_filter(col: str | Column, term: str | None, trim: bool = True) -> Column | None:
@@ -85,12 +112,7 @@ def search_filter(col: str | Column, term: str | None, trim: bool = True) -> Col
         term = php_trim_text(term)
     if is_blank_php(term):
         return None
-    c = _c(col)
-    if any(ch in term for ch in "%_\\"):
-        # Wildcards typed by the user keep their LIKE meaning; both sides are
-        # case-folded and stripped of Latin diacritics.
-        return fold_accents(c).like("%" + _fold_text(term) + "%")
-    return F.collate(c, "UNICODE_CI_AI").contains(F.lit(term))
+    return fold_accents(col).like(like_pattern(_fold_text(term)))
 
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"

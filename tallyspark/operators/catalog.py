@@ -14,17 +14,15 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
 from tallyspark.functions.labels import availability_label
-from tallyspark.functions.text import is_blank_php, php_trim_text, search_filter
+from tallyspark.functions.text import by_name, fold_accents, is_blank_php, php_trim_text, search_filter
 from tallyspark.operators.common import filter_all
-from tallyspark.session import ensure_checkpoint_dir
 
 
 def sellable_products(products: DataFrame) -> DataFrame:
     """O15 (flat): available products by category, then name (then id)."""
     return (products.filter(F.col("status") == F.lit(S.AVAILABLE))
             .select("product_id", "product_name", "category", "price")
-            .orderBy(F.col("category").asc_nulls_first(), F.col("product_name").asc_nulls_first(),
-                     F.col("product_id")))
+            .orderBy(*by_name("category"), *by_name("product_name"), F.col("product_id")))
 
 
 def menu_sections(products: DataFrame) -> DataFrame:
@@ -34,56 +32,49 @@ def menu_sections(products: DataFrame) -> DataFrame:
             .groupBy("category")
             .agg(F.count(F.lit(1)).alias("items"), F.min("price").alias("min_price"),
                  F.max("price").alias("max_price"))
-            .orderBy(F.col("category").asc_nulls_first()))
+            .orderBy(*by_name("category")))
 
 
-def menu_pages(products: DataFrame, page_size: int = 50, partitions: int | None = None) -> DataFrame:
+def menu_pages(products: DataFrame, page_size: int = 50, shelf_chars: int = 3) -> DataFrame:
     """O15 (nested): the sale form's grouped menu as ``(category, page,
     items array<struct<product_name, product_id, price>>)``, each page holding
     at most ``page_size`` products of one category in name order.
 
-    The position of a product inside its category is found without ranking a
-    whole category in one task: rows are range-partitioned on (category,
-    name, id) and checkpointed (so every later step sees the same
-    partitions), each partition numbers its own rows per category, and a
-    small table of per-partition counts (partitions x categories) gives every
-    partition its offset. Pages are then grouped, so no array exceeds
-    ``page_size`` however large a category is.
+    A product's position in its category is its place on its shelf (the
+    products whose folded names begin with the same ``shelf_chars``
+    characters) after all products of the category's earlier shelves. Shelves
+    are ranked in tasks of their own and only their sizes (shelves x
+    categories) are summed per category; nothing runs before an action.
     """
     if page_size < 1:
         raise ValueError("page_size must be at least 1")
-    n = partitions or int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = fold_accents("product_name")
     avail = (products.filter(F.col("status") == F.lit(S.AVAILABLE))
-             .select("category", "product_name", "product_id", "price"))
-    tagged = (avail.repartitionByRange(n, F.col("category").asc_nulls_first(),
-                                       F.col("product_name").asc_nulls_first(), F.col("product_id"))
-              .withColumn("_part", F.spark_partition_id()))
-    # The counts and the numbering below must see the same partitions. Range
-    # boundaries come from sampling, and two evaluations of the exchange may
-    # sample differently, so the partitioned rows are given one identity: a
-    # reliable checkpoint (in spark.checkpoint.dir), written when first used.
-    ensure_checkpoint_dir(products.sparkSession)
-    tagged = tagged.checkpoint(eager=False)
-    sizes = tagged.groupBy("_part", "category").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_part").alias("_op"), F.col("category").alias("_oc"),
+             .select("category", "product_name", "product_id", "price", name.alias("_key"),
+                     F.substring(name, 1, shelf_chars).alias("_shelf")))
+    sizes = avail.groupBy("category", "_shelf").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("category").orderBy(F.col("_shelf").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("category").alias("_oc"), F.col("_shelf").alias("_os"),
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_part", "category").orderBy(
-        F.col("product_name").asc_nulls_first(), F.col("product_id"))
-    ranked = tagged.withColumn("_r", F.row_number().over(local) - 1)
-    placed = ranked.join(offsets, (F.col("_part") == F.col("_op"))
-                         & F.col("category").eqNullSafe(F.col("_oc")), "inner")
+    shelf = Window.partitionBy("category", "_shelf").orderBy(
+        F.col("_key").asc_nulls_first(), F.col("product_name").asc_nulls_first(), F.col("product_id"))
+    ranked = avail.withColumn("_r", F.row_number().over(shelf) - 1)
+    placed = ranked.join(offsets, F.col("category").eqNullSafe(F.col("_oc"))
+                         & F.col("_shelf").eqNullSafe(F.col("_os")), "inner")
     page = F.floor((F.col("_off") + F.col("_r")) / page_size).cast("long")
-    return (placed.groupBy("category", page.alias("page"))
-            .agg(F.sort_array(F.collect_list(F.struct("product_name", "product_id", "price"))).alias("items"))
-            .orderBy(F.col("category").asc_nulls_first(), "page"))
+    items = F.sort_array(F.collect_list(F.struct("_key", "product_name", "product_id", "price")))
+    return (placed.groupBy("category", page.alias("page")).agg(items.alias("items"))
+            .withColumn("items", F.transform("items", lambda x: F.struct(
+                x["product_name"].alias("product_name"), x["product_id"].alias("product_id"), x["price"].alias("price"))))
+            .orderBy(*by_name("category"), "page"))
 
 
 def sellable_addons(addons: DataFrame) -> DataFrame:
     """Available add-ons by name (then id)."""
     return (addons.filter(F.col("status") == F.lit(S.AVAILABLE))
             .select("addon_id", "addon_name", "price")
-            .orderBy(F.col("addon_name").asc_nulls_first(), F.col("addon_id")))
+            .orderBy(*by_name("addon_name"), F.col("addon_id")))
 
 
 def _equals_ci(col: str, value: str | None) -> Column | None:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
-from tallyspark.functions.text import php_trim
+from tallyspark.functions.text import php_empty, php_trim
 from tallyspark.operators.common import range_predicate
 from tallyspark.periods import ts_literal
 from tallyspark.sources.tables import conform
@@ -43,16 +43,29 @@ REJECT_DUPLICATE_KEY = "Duplicate key."
 REJECT_MISSING_KEY = "Missing key."
 REJECT_UNKNOWN_OP = "Unknown operation."
 REJECT_TOTAL_RANGE = "Total out of range."
+REJECT_REPEATED_SEQ = "Repeated change number."
 IGNORED_UNKNOWN_KEY = "No such row; nothing changed."
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
-MONEY_LIMIT = 10 ** 10  # decimal(12,2) holds totals below 10^10
+# The first total that the column type ``schemas.MONEY`` cannot hold. A sale
+# at or above it is rejected ("Total out of range."), as storing it would fail.
+MONEY_LIMIT = 10 ** (S.MONEY.precision - S.MONEY.scale)
 
 
-def _php_empty(col: Column) -> Column:
-    """PHP ``empty()`` of a string: NULL, '' and '0'."""
-    return col.isNull() | (col == F.lit("")) | (col == F.lit("0"))
+def _agreeing(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per key, keys whose copies differ).
+
+    Feeds deliver a change at least once: equal copies of a key count as one,
+    copies that disagree can't be ordered and are set aside. One aggregation
+    with a map-side minimum and maximum; null keys are groups of their own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest)
+    seen = df.groupBy(*keys).agg(F.min(row).alias("_lo"), F.max(row).alias("_hi"))
+    same = F.col("_lo").eqNullSafe(F.col("_hi"))
+    one = seen.filter(same).select(*keys, *[F.col("_lo")[c].alias(c) for c in rest])
+    return one, seen.filter(~same).select(*keys)
 
 
 # ---------------------------------------------------------------------------
@@ -71,8 +84,10 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
 
     Rejects, in the handler's order: product id or quantity not positive
     ("Invalid product or quantity."), then a product that does not exist or
-    has an empty name ("Product not found."); before those, every copy of a
-    request id that occurs more than once ("Duplicate key."). Total = quantity x price +
+    has an empty name ("Product not found."), then a total that the column
+    can't hold ("Total out of range."). Before those, a missing request id
+    ("Missing key.") and an id whose copies differ ("Duplicate key.", one row
+    per id); equal copies of a request are one sale. Total = quantity x price +
     quantity x (sum of the *available* add-ons among the request's ids);
     repeated ids count once, unknown or unavailable ids are ignored, product
     availability is not checked, a NULL price counts as 0. Accepted sales get
@@ -84,13 +99,11 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
     r = requests.select("request_id", "product_id", "quantity", "addon_ids", "created_at")
     if default_time is not None:
         r = r.withColumn("created_at", F.coalesce(F.col("created_at"), ts_literal(default_time)))
-    # Request ids become sales ids (a primary key): a repeated id cannot be
-    # stored twice, and arrival order is unknown, so every copy is rejected.
-    repeated = (r.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).select("request_id"))
-    dup = r.join(repeated, "request_id", "left_semi").select(
-        "request_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
-    r = r.join(repeated, "request_id", "left_anti")
+    # Request ids become sales ids (a primary key).
+    missing = r.filter(F.col("request_id").isNull()).select(
+        "request_id", F.lit(REJECT_MISSING_KEY).alias("reason"))
+    r, repeated = _agreeing(r.filter(F.col("request_id").isNotNull()), "request_id")
+    dup = repeated.select("request_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
     valid = (F.col("product_id") > 0) & (F.col("quantity") > 0)
     invalid = r.filter(~F.coalesce(valid, F.lit(False))).select(
         "request_id", F.lit(S.REJECT_INVALID).alias("reason"))
@@ -99,7 +112,7 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
     cat = products.select("product_id", F.col("product_name").alias("_pname"),
                           F.col("price").alias("_price"), F.col("image").alias("_image"))
     looked = ok.join(cat, "product_id", "left")
-    found = ~_php_empty(F.col("_pname"))
+    found = ~php_empty(F.col("_pname"))
     not_found = looked.filter(~found).select("request_id", F.lit(S.REJECT_NOT_FOUND).alias("reason"))
 
     avail = (addons.filter(F.col("status") == F.lit(S.AVAILABLE))
@@ -110,7 +123,10 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
     exploded = (looked.filter(found)
                 .withColumn("_aid", F.explode_outer(F.array_distinct("addon_ids")))
                 .drop("addon_ids"))
-    with_addons = exploded.join(avail, "_aid", "left")
+    # Requests without add-ons match nothing: a second key spreads them.
+    part = F.when(F.col("_aid").isNull(), F.col("request_id")).otherwise(F.lit(0).cast("long"))
+    avail = avail.withColumnRenamed("_aid", "_avail_id").withColumn("_avail_part", F.lit(0).cast("long"))
+    with_addons = exploded.join(avail, (F.col("_aid") == F.col("_avail_id")) & (part == F.col("_avail_part")), "left")
     # Every request column is fixed by ``request_id``, so grouping by all of
     # them equals grouping by the id; as keys (not ``any_value`` buffers)
     # they keep the aggregation hash-based with a map-side partial sum.
@@ -133,26 +149,40 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
         F.col("request_id").alias("sale_id"), F.col("_aid").alias("addon_id"),
         F.col("_aname").alias("addon_name"), F.col("_aprice").alias("price"))
     addon_rows = matched.join(good.select(F.col("request_id").alias("sale_id")), "sale_id", "left_semi")
-    rejects = dup.unionByName(invalid).unionByName(not_found).unionByName(too_big)
+    rejects = missing.unionByName(dup).unionByName(invalid).unionByName(not_found).unionByName(too_big)
     return PricedSales(accepted, rejects, addon_rows)
 
 
 # ---------------------------------------------------------------------------
 # Status changes
 
-def _hit_ids(ids: DataFrame, col: str, flag: str) -> DataFrame:
-    return (ids.select(F.col(col).alias("sales_id")).filter(F.col("sales_id").isNotNull())
-            .distinct().withColumn(flag, F.lit(True)))
+def status_flags(cancel_ids: DataFrame | None, voids: DataFrame | None) -> DataFrame:
+    """One row per named sale: whether a valid request voids or cancels it.
+    Flags are combined before the shuffle, however often a sale is named."""
+    parts = []
+    if cancel_ids is not None:
+        parts.append(cancel_ids.select(F.col("sale_id").alias("sales_id"), F.lit(False).alias("_void"), F.lit(True).alias("_cancel")))
+    if voids is not None:
+        good, _ = _agreeing(voids.select("seq", "sale_id", "reason", "voided_at").filter(F.col("seq").isNotNull()), "seq")
+        parts.append(good.filter(F.col("sale_id") > 0).select(
+            F.col("sale_id").alias("sales_id"), F.lit(True).alias("_void"), F.lit(False).alias("_cancel")))
+    named = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return (named.filter(F.col("sales_id").isNotNull()).groupBy("sales_id")
+            .agg(F.max("_void").alias("_void"), F.max("_cancel").alias("_cancel")))
+
+
+def with_status(sales: DataFrame, flags: DataFrame) -> DataFrame:
+    """Sales after the flagged voids and cancels: one join on the sale id."""
+    status = (F.when(F.col("_void"), F.lit(S.STATUS_VOID))
+              .when(F.col("_cancel") & (F.col("status") == F.lit(S.STATUS_COMPLETED)), F.lit(S.STATUS_CANCELLED))
+              .otherwise(F.col("status")))
+    return sales.join(flags, "sales_id", "left").withColumn("status", status).select(*sales.columns)
 
 
 def apply_cancellations(sales: DataFrame, cancel_ids: DataFrame) -> DataFrame:
     """Completed sales named in ``cancel_ids(sale_id)`` become Cancelled;
     any other status is left as is (so repeating a batch changes nothing)."""
-    hits = _hit_ids(cancel_ids, "sale_id", "_cancel")
-    out = sales.join(hits, "sales_id", "left")
-    status = (F.when(F.col("_cancel") & (F.col("status") == F.lit(S.STATUS_COMPLETED)),
-                     F.lit(S.STATUS_CANCELLED)).otherwise(F.col("status")))
-    return out.withColumn("status", status).select(*sales.columns)
+    return with_status(sales, status_flags(cancel_ids, None))
 
 
 @dataclass
@@ -162,14 +192,13 @@ class VoidResult:
     rejects: DataFrame      # (seq, sale_id, reason)
 
 
-def _split_voids(sales: DataFrame, voids: DataFrame):
+def split_voids(sales: DataFrame, voids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests that apply, rejects); scans the sales' ids."""
     v = voids.select("seq", "sale_id", "reason", "voided_at")
-    # ``seq`` becomes the log's key: every copy of a repeated one is rejected.
-    repeated = (v.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).select("seq"))
-    dup = v.join(repeated, "seq", "left_semi").select(
-        "seq", "sale_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
-    v = v.join(repeated, "seq", "left_anti")
+    # ``seq`` becomes the log's key.
+    missing = v.filter(F.col("seq").isNull()).select("seq", "sale_id", F.lit(REJECT_MISSING_KEY).alias("reason"))
+    v, repeated = _agreeing(v.filter(F.col("seq").isNotNull()), "seq")
+    dup = repeated.select("seq", F.lit(None).cast("long").alias("sale_id"), F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
     bad_id = v.filter(~F.coalesce(F.col("sale_id") > 0, F.lit(False))).select(
         "seq", "sale_id", F.lit(REJECT_INVALID_SALE).alias("reason"))
     ok = v.filter(F.col("sale_id") > 0)
@@ -182,7 +211,14 @@ def _split_voids(sales: DataFrame, voids: DataFrame):
     unknown = tagged.filter(F.col("_known").isNull()).select(
         "seq", "sale_id", F.lit(REJECT_UNKNOWN_SALE).alias("reason"))
     applied = tagged.filter(F.col("_known")).drop("_known")
-    return applied, dup.unionByName(bad_id).unionByName(unknown), known
+    return applied, missing.unionByName(dup).unionByName(bad_id).unionByName(unknown)
+
+
+def void_log(applied: DataFrame) -> DataFrame:
+    """The log rows of applied void requests (``void_id = seq``)."""
+    return conform(applied.select(F.col("seq").alias("void_id"), "sale_id",
+                                  php_trim(F.coalesce(F.col("reason"), F.lit(""))).alias("reason"),
+                                  "voided_at"), "sales_void")
 
 
 def apply_voids(sales: DataFrame, sales_void: DataFrame, voids: DataFrame) -> VoidResult:
@@ -191,19 +227,16 @@ def apply_voids(sales: DataFrame, sales_void: DataFrame, voids: DataFrame) -> Vo
     Any status becomes VOID. Every accepted request appends one
     ``sales_void`` row (``void_id = seq``, trimmed reason), so voiding a sale
     twice logs twice. Ids not above 0 are rejected ("Invalid sale."); ids with
-    no sale are rejected because the log's foreign key would fail; every copy
-    of a repeated ``seq`` is rejected ("Duplicate key.").
+    no sale are rejected because the log's foreign key would fail. Equal
+    copies of a ``seq`` are one request; one whose copies differ is rejected
+    ("Duplicate key.", one row without a sale), a missing one too.
+
+    The new sales read the sales table once and join it once (an id without a
+    sale matches nothing); only the log and the rejects look ids up.
     """
-    applied, rejects, known = _split_voids(sales, voids)
-    hits = known.select(F.col("sale_id").alias("sales_id"), F.lit(True).alias("_void"))
-    new_sales = (sales.join(hits, "sales_id", "left")
-                 .withColumn("status", F.when(F.col("_void"), F.lit(S.STATUS_VOID))
-                             .otherwise(F.col("status")))
-                 .select(*sales.columns))
-    log = conform(applied.select(F.col("seq").alias("void_id"), "sale_id",
-                                 php_trim(F.coalesce(F.col("reason"), F.lit(""))).alias("reason"),
-                                 "voided_at"), "sales_void")
-    return VoidResult(new_sales, conform(sales_void, "sales_void").unionByName(log), rejects)
+    applied, rejects = split_voids(sales, voids)
+    new_sales = with_status(sales, status_flags(None, voids))
+    return VoidResult(new_sales, conform(sales_void, "sales_void").unionByName(void_log(applied)), rejects)
 
 
 def apply_status_changes(sales: DataFrame, cancel_ids: DataFrame, voids: DataFrame) -> DataFrame:
@@ -213,15 +246,7 @@ def apply_status_changes(sales: DataFrame, cancel_ids: DataFrame, voids: DataFra
     cancel turns Completed into Cancelled. This equals applying the requests
     one by one in any order.
     """
-    _, _, known = _split_voids(sales, voids)
-    v = known.select(F.col("sale_id").alias("sales_id"), F.lit(True).alias("_void"))
-    c = _hit_ids(cancel_ids, "sale_id", "_cancel")
-    out = sales.join(v, "sales_id", "left").join(c, "sales_id", "left")
-    status = (F.when(F.col("_void"), F.lit(S.STATUS_VOID))
-              .when(F.col("_cancel") & (F.col("status") == F.lit(S.STATUS_COMPLETED)),
-                    F.lit(S.STATUS_CANCELLED))
-              .otherwise(F.col("status")))
-    return out.withColumn("status", status).select(*sales.columns)
+    return with_status(sales, status_flags(cancel_ids, voids))
 
 
 @dataclass
@@ -276,15 +301,16 @@ def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str]
     c = changes.withColumn("_bad", reasons)
     invalid = c.filter(F.col("_bad").isNotNull()).select("seq", F.col(key).alias("key"),
                                                          F.col("_bad").alias("reason"))
-    c = c.filter(F.col("_bad").isNull()).drop("_bad")
+    # Changes of a key are ordered by ``seq``: equal copies count once, copies
+    # that differ are rejected, all of them.
+    c, clash = _agreeing(c.filter(F.col("_bad").isNull()).drop("_bad"), key, "seq")
+    clash = clash.select("seq", F.col(key).alias("key"), F.lit(REJECT_REPEATED_SEQ).alias("reason"))
 
     is_upd = F.col("op") == "update"
     is_ins = F.col("op") == "insert"
-    has_image = ~_php_empty(F.col("image"))
+    has_image = ~php_empty(F.col("image"))
     vals = F.struct(*[F.col(v) for v in value_cols])
-    # Orderings end in the row's own values, so two changes sharing a ``seq``
-    # still fold the same way when a task is recomputed.
-    order = F.struct(F.col("seq"), *[F.col(v) for v in value_cols], F.col("image"))
+    order = F.col("seq")
     folded = c.groupBy(key).agg(
         F.min(F.when(is_ins, F.col("seq"))).alias("_f"),
         F.min_by(vals, F.when(is_ins, order)).alias("_ins_v"),
@@ -338,7 +364,7 @@ def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str]
     ignored = ck.filter(~F.coalesce(applies, F.lit(False))).select(
         "seq", F.col(key).alias("key"),
         F.when(is_ins, F.lit(REJECT_DUPLICATE_KEY)).otherwise(F.lit(IGNORED_UNKNOWN_KEY)).alias("reason"))
-    return Upserted(table_out, invalid.unionByName(ignored))
+    return Upserted(table_out, invalid.unionByName(clash).unionByName(ignored))
 
 
 def upsert_products(products: DataFrame, changes: DataFrame) -> Upserted:
@@ -383,8 +409,10 @@ def delete_products(products: DataFrame, sales: DataFrame, ids: DataFrame) -> Pr
     product id (the foreign key's ON DELETE SET NULL)."""
     gone = ids.select("product_id").filter(F.col("product_id").isNotNull()).distinct()
     kept = products.join(gone, "product_id", "left_anti")
-    hit = gone.withColumn("_gone", F.lit(True))
-    new_sales = (sales.join(hit, "product_id", "left")
+    # Sales without a product match nothing: a second key spreads them.
+    hit = gone.select(F.col("product_id").alias("_gone_id"), F.lit(0).cast("long").alias("_gone_part"), F.lit(True).alias("_gone"))
+    part = F.when(F.col("product_id").isNull(), F.col("sales_id")).otherwise(F.lit(0).cast("long"))
+    new_sales = (sales.join(hit, (F.col("product_id") == F.col("_gone_id")) & (part == F.col("_gone_part")), "left")
                  .withColumn("product_id", F.when(F.col("_gone"), F.lit(None).cast("long"))
                              .otherwise(F.col("product_id")))
                  .select(*sales.columns))

@@ -17,7 +17,7 @@ from tallyspark.functions.labels import (
     stock_level_filter, unit_label,
 )
 from tallyspark.functions.numeric import fill_percent
-from tallyspark.functions.text import is_blank_php, php_trim_text, search_filter, text_present
+from tallyspark.functions.text import by_name, is_blank_php, php_empty, php_trim_text, search_filter
 from tallyspark.operators.common import filter_all
 
 
@@ -28,11 +28,12 @@ def _by_stock(df: DataFrame) -> DataFrame:
 
 def stock_status(ingredients: DataFrame) -> DataFrame:
     """O18 (dashboard): every ingredient with its Low/Mid/Good label; a
-    missing threshold counts as the default."""
+    missing threshold counts as the default; with the image and whether the
+    page shows one."""
     thr = F.coalesce(F.col("low_stock_threshold"), F.lit(S.DEFAULT_LOW_STOCK_THRESHOLD))
     return _by_stock(ingredients).select(
         "ingredient_id", "ingredient_name", "unit", "stock", thr.alias("threshold"),
-        stock_label().alias("label"))
+        stock_label().alias("label"), "image", (~php_empty("image")).alias("has_image"))
 
 
 def ingredient_search(ingredients: DataFrame, search: str | None = None,
@@ -53,7 +54,7 @@ def stock_cards(ingredients: DataFrame) -> DataFrame:
         *[f.name for f in S.INGREDIENTS.fields],
         stock_card_level().alias("level"),
         fill_percent().alias("fill_pct"),
-        text_present("image").alias("has_image"))
+        (~php_empty("image")).alias("has_image"))
 
 
 def low_stock_alerts(ingredients: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def low_stock_alerts(ingredients: DataFrame) -> DataFrame:
     return (ingredients.filter(F.col("stock") <= F.col("low_stock_threshold"))
             .select(F.col("ingredient_name").alias("label"), "stock", "low_stock_threshold",
                     "ingredient_id")
-            .orderBy(F.col("label").asc_nulls_first(), F.col("ingredient_id"))
+            .orderBy(*by_name("label"), F.col("ingredient_id"))
             .drop("ingredient_id"))
 
 
@@ -74,14 +75,15 @@ def low_stock_alert_count(ingredients: DataFrame) -> DataFrame:
 
 def inventory_report(ingredients: DataFrame, status: str | None = None,
                      unit_label_filter: str | None = None) -> DataFrame:
-    """The report's inventory table: class, unit label and Low/Mid/Good
-    label, filtered by class and/or unit label, lowest stock first.
+    """The report's inventory table: class, unit label, effective
+    ``threshold`` (the default where none is set) and Low/Mid/Good label, filtered by class and/or unit label, lowest stock first.
 
     The report compares filters with ``!== ''``, so only None and '' mean
     "no filter" here (a '0' filter matches nothing).
     """
     out = ingredients.select(*[f.name for f in S.INGREDIENTS.fields],
-                             report_stock_class().alias("cls"), unit_label().alias("unit_label"))
+                             report_stock_class().alias("cls"), unit_label().alias("unit_label"),
+                             F.coalesce("low_stock_threshold", F.lit(S.DEFAULT_LOW_STOCK_THRESHOLD)).alias("threshold"))
     preds = []
     if status not in (None, ""):
         preds.append(F.col("cls") == F.lit(status))

@@ -21,7 +21,6 @@ from tallyspark import periods as P
 from tallyspark import schemas as S
 from tallyspark.functions.text import text_present
 from tallyspark.operators.common import period_predicate
-from tallyspark.session import ensure_checkpoint_dir
 
 
 def _sales_by_product(sales: DataFrame, as_of, period: str, status: str | None,
@@ -72,30 +71,17 @@ def top_products_completed(sales: DataFrame, products: DataFrame, as_of,
 
     Sales of deleted products stay (product fields NULL), as in the source's
     left join. Because no product column takes part in the filter or the
-    order, the top k is taken before the join; the catalogue is then
-    semi-joined with those at most k ids (a broadcast whose size is bounded
-    by k), so the catalogue is scanned but never shuffled. The k rows are
-    checkpointed so the sales period is scanned once for both uses.
+    order, the top k is taken before the join, so at most k rows meet the
+    catalogue's four columns. One lazy plan: nothing runs before an action.
     ``collation`` as in ``top_products_with_image``.
     """
-    # The top k feed both the result and the id list. A reliable checkpoint
-    # of those <= k rows (lazy, in spark.checkpoint.dir) makes both uses read
-    # one computation, so the period is scanned and aggregated once.
     agg = _sales_by_product(sales, as_of, period, S.STATUS_COMPLETED, "qty_sold", collation)
-    ensure_checkpoint_dir(sales.sparkSession)
-    top = _top(agg, "qty_sold", k).checkpoint(eager=False)
-    ids = top.select("product_id").filter(F.col("product_id").isNotNull())
-    attrs = (products.select("product_id", "image", "price", "category")
-             .join(F.broadcast(ids), "product_id", "left_semi"))
-    joined = top.join(attrs, "product_id", "left").select(
+    attrs = products.select("product_id", "image", "price", "category")
+    joined = _top(agg, "qty_sold", k).join(attrs, "product_id", "left").select(
         "product_id", "product_name", "qty_sold", "revenue", "image", "price", "category")
-    # Rank order again after the join: at most k rows, sorted in one
-    # partition (no sampling job for a global sort). Without this sort a
-    # caller's own limit (e.g. show(3)) is pushed through the outer join into
-    # the top-k side, where the planner can lose the top-k ordering.
-    return joined.coalesce(1).sortWithinPartitions(
-        F.col("qty_sold").desc_nulls_last(), F.col("product_id").asc_nulls_first(),
-        F.col("product_name").asc_nulls_first())
+    # Rank order again after the join; k rows, so the limit keeps the sort in
+    # the top-k node and out of a sampled global sort.
+    return _top(joined, "qty_sold", k)
 
 
 def category_ranking(sales: DataFrame, products: DataFrame, collation: str | None = None) -> DataFrame:

@@ -3,10 +3,9 @@
 The source builds a PHP map ``sale_id -> [add-on rows]`` from a whole-table
 fetch and looks each sale up while rendering. Here that is an aggregate by
 ``sale_id`` joined to the sales on the key, so no table passes through one
-process. Identical add-on rows of one sale (copies) are first reduced to one
-element with a count ``n`` by a map-side partial aggregate; a sale's list is
-therefore bounded by the distinct add-ons it carries, not by how many copies
-of them exist.
+process. Each add-on row is listed, in insertion order, as the page does;
+``addon_copies_by_sale`` is the compact form with one element per distinct
+add-on and a count.
 """
 
 from __future__ import annotations
@@ -20,20 +19,25 @@ from tallyspark import periods as P
 from tallyspark import schemas as S
 from tallyspark.functions.labels import status_badge
 from tallyspark.functions.numeric import unit_price
-from tallyspark.functions.text import search_filter
+from tallyspark.functions.text import php_empty, search_filter
 from tallyspark.operators.common import drop_partition_cols, period_predicate, range_predicate
 
+ROW_FIELDS = ("id", "addon_name", "price", "addon_id")
 ADDON_FIELDS = ("first_id", "addon_name", "price", "addon_id", "n")
 
 
 def addons_by_sale(sale_addons: DataFrame) -> DataFrame:
-    """``(sale_id, addons array<struct<first_id, addon_name, price,
-    addon_id, n>>)``.
+    """``(sale_id, addons array<struct<id, addon_name, price, addon_id>>)``:
+    every add-on row of a sale, by row id (insertion order), then by name,
+    price and add-on id. A list is as long as one sale's receipt."""
+    return sale_addons.groupBy("sale_id").agg(F.sort_array(F.collect_list(F.struct(*ROW_FIELDS))).alias("addons"))
 
-    Elements are in insertion order, as the source lists them: by the
-    smallest row id among an element's copies (``first_id``), then by name,
-    price and add-on id.
-    """
+
+def addon_copies_by_sale(sale_addons: DataFrame) -> DataFrame:
+    """``(sale_id, addons array<struct<first_id, addon_name, price, addon_id,
+    n>>)``: equal add-on rows of a sale as one element with their number, by
+    the smallest row id. Copies are counted before the shuffle, so this form
+    also fits sales with very many copies."""
     copies = (sale_addons.groupBy("sale_id", "addon_name", "price", "addon_id")
               .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
     return (copies.groupBy("sale_id")
@@ -41,11 +45,10 @@ def addons_by_sale(sale_addons: DataFrame) -> DataFrame:
 
 
 def addons_text(col: str | Column = "addons") -> Column:
-    """Render a nested add-on list as text: ``name +price xN; ...``."""
+    """Render a sale's add-on rows as text: ``name +price; ...``."""
     c = F.col(col) if isinstance(col, str) else col
     return F.array_join(F.transform(c, lambda a: F.concat(
-        F.coalesce(a["addon_name"], F.lit("")), F.lit(" +"),
-        F.coalesce(a["price"].cast("string"), F.lit("")), F.lit(" x"), a["n"].cast("string"))), "; ")
+        F.coalesce(a["addon_name"], F.lit("")), F.lit(" +"), F.coalesce(a["price"].cast("string"), F.lit("")))), "; ")
 
 
 def _date_filter(df: DataFrame, on_date) -> Column | None:
@@ -71,8 +74,9 @@ def sales_list(sales: DataFrame, products: DataFrame, sale_addons: DataFrame,
     """The sales page list, newest first.
 
     ``sales.*`` plus the live ``product_category``, the nested ``addons``
-    (empty when none), ``unit_price = total / max(quantity, 1)`` and the
-    status ``badge``. The search is not trimmed (the page does not trim it);
+    (empty when none), ``unit_price = total / max(quantity, 1)``, the status
+    ``badge``, whether the page shows an image (``has_image``) and whether it
+    offers to cancel the sale (``can_cancel``: the status is Completed). The search is not trimmed (the page does not trim it);
     NULL times sort last; ties by ``sales_id`` descending.
     """
     preds = [p for p in (search_filter("product_name", search, trim=False), _date_filter(sales, on_date))
@@ -87,17 +91,22 @@ def sales_list(sales: DataFrame, products: DataFrame, sale_addons: DataFrame,
         # nesting the whole add-on table.
         wanted = s.select(F.col("sales_id").alias("sale_id"))
         sale_addons = sale_addons.join(wanted, "sale_id", "left_semi")
-    cat = products.select("product_id", F.col("category").alias("product_category"))
+    cat = products.select(F.col("product_id").alias("_cat_id"), F.lit(0).cast("long").alias("_cat_part"),
+                          F.col("category").alias("product_category"))
     nested = addons_by_sale(sale_addons).withColumnRenamed("sale_id", "sales_id")
     empty = F.array().cast(nested.schema["addons"].dataType)
     # The sale-id join comes first: with both tables bucketed by the sale id
-    # it needs no shuffle; the catalogue join follows.
+    # it needs no shuffle; the catalogue join follows. Sales without a product
+    # match nothing: a second key spreads them over all tasks.
+    part = F.when(F.col("product_id").isNull(), F.col("sales_id")).otherwise(F.lit(0).cast("long"))
     out = (s.join(nested, "sales_id", "left")
-           .join(cat, "product_id", "left")
+           .join(cat, (F.col("product_id") == F.col("_cat_id")) & (part == F.col("_cat_part")), "left")
            .withColumn("addons", F.coalesce(F.col("addons"), empty))
            .withColumn("unit_price", unit_price("total", "quantity"))
-           .withColumn("badge", status_badge("status")))
-    cols = [f.name for f in S.SALES.fields] + ["product_category", "addons", "unit_price", "badge"]
+           .withColumn("badge", status_badge("status"))
+           .withColumn("has_image", ~php_empty("product_image"))
+           .withColumn("can_cancel", F.coalesce(F.col("status") == F.lit(S.STATUS_COMPLETED), F.lit(False))))
+    cols = [f.name for f in S.SALES.fields] + ["product_category", "addons", "unit_price", "badge", "has_image", "can_cancel"]
     return out.select(*cols).orderBy(F.col("created_at").desc_nulls_last(),
                                      F.col("sales_id").desc_nulls_last())
 

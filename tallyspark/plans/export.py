@@ -27,6 +27,13 @@ def period_label(filter_name: str | None) -> str:
     return name[:1].upper() + name[1:]
 
 
+def folder_label(filter_name: str | None) -> str:
+    """The label in the folder name: one of the known periods, or ``All`` (the
+    filter is user text and must not become a path)."""
+    label = period_label(filter_name)
+    return label if label in ("Daily", "Weekly", "Monthly") else "All"
+
+
 def export_frames(sales: DataFrame, as_of, filter_name: str | None = "daily") -> tuple[DataFrame, DataFrame]:
     """(summary, transactions) of the report period, ready to write."""
     label = period_label(filter_name)
@@ -46,7 +53,7 @@ def export_report(sales: DataFrame, as_of, filter_name: str | None, path: str,
     date); ``generated_at``, when given, is stamped into the summary as the
     page's "Generated" line.
     """
-    label = period_label(filter_name)
+    label = folder_label(filter_name)
     day = as_of if isinstance(as_of, str) else (as_of.date() if isinstance(as_of, dt.datetime) else as_of).isoformat()
     out = os.path.join(path, f"Report_{label}_{day}")
     summary, rows = export_frames(sales, as_of, filter_name)

@@ -1,235 +1,61 @@
-"""Batch change jobs that commit several outputs together.
-
-The source writes a sale and its add-on rows (or a void and its reason) with
-no transaction. Here each run writes all of its outputs under
-``<root>/batches/<batch>/<output>`` and only then writes a ``_COMMITTED``
-marker; readers see committed batches only, so a run that dies midway is
-never seen, and a retried run overwrites its own folder (idempotent).
-
-Nothing here rewrites the sales table:
-
-* new sales and add-on rows are appended as the batch's own files;
-* cancels and voids are stored as a *status delta* (only the sales whose
-  status changes), and ``current_sales`` merges the latest committed status
-  per sale on read (``max_by`` over batch order, then one join on the key);
-* the void log is appended.
-
-Catalogue tables (products, ingredients) are dimension-sized; their upserts
-and deletes commit a full new version of that table in the batch.
-
-Lineage is cut with a reliable ``checkpoint()`` (to the shared folder named
-by ``spark.checkpoint.dir``) where one computed result feeds several outputs,
-so a lost executor recomputes from the checkpoint, not from the inputs.
+"""Batch jobs: the change operators' outputs as plain Parquet tables.
+
+Every output is a folder ``<root>/<output>`` partitioned by ``batch``, written
+once per batch by Spark's own writer. A batch that runs again replaces its own
+partition only, when its new files are complete (dynamic partition overwrite),
+so a retry that fails leaves what was there. Applying the outputs to the base
+tables (append new sales, update statuses) is the caller's next job; the
+operators in ``operators.changes`` do it in one pass each.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import changes
-from tallyspark.session import ensure_checkpoint_dir
-from tallyspark.sources.tables import SALE_MONTH, ShopTables, conform, write_table
-
-MARKER = "_COMMITTED"
-BATCHES = "batches"
-
-
-def _batch_dir(root: str, batch: int) -> str:
-    return os.path.join(root, BATCHES, f"{batch:012d}")
-
-
-def committed_batches(spark: SparkSession, root: str) -> dict[int, list[str]]:
-    """Committed batches under ``root`` (batch number -> its outputs), read
-    from the commit markers with Spark itself; uncommitted folders have no
-    marker and are never listed."""
-    pattern = os.path.join(root, BATCHES, "*", MARKER)
-    try:
-        rows = spark.read.text(pattern).collect()  # one short line per batch
-    except AnalysisException:
-        return {}
-    out = {}
-    for r in rows:
-        meta = json.loads(r.value)
-        out[int(meta["batch"])] = list(meta["outputs"])
-    return dict(sorted(out.items()))
-
-
-def commit_batch(spark: SparkSession, root: str, batch: int, outputs: dict[str, DataFrame]) -> str:
-    """Write every output of one run, then the marker naming them."""
-    bdir = _batch_dir(root, batch)
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(os.path.join(bdir, name))
-    marker = json.dumps({"batch": batch, "outputs": sorted(outputs)})
-    spark.createDataFrame([(marker,)], "value string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(bdir, MARKER))
-    return bdir
-
-
-def read_committed(spark: SparkSession, root: str, output: str,
-                   after_batch: int | None = None) -> DataFrame | None:
-    """One output across all committed batches (one scan over their folders),
-    with the batch number as a column; None when no batch has it. Batches up
-    to ``after_batch`` (already folded into a compacted base) are skipped."""
-    paths = [os.path.join(_batch_dir(root, b), output)
-             for b, outs in committed_batches(spark, root).items()
-             if output in outs and (after_batch is None or b > after_batch)]
-    if not paths:
-        return None
-    df = spark.read.parquet(*paths)
-    batch_no = F.regexp_extract(F.col("_metadata.file_path"), r"/" + BATCHES + r"/(\d+)/", 1).cast("long")
-    return df.withColumn("_batch", batch_no)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def current_sales(spark: SparkSession, base_sales: DataFrame, root: str,
-                  after_batch: int | None = None) -> DataFrame:
-    """The sales table as of the last committed batch: base rows plus
-    appended sales, with the latest committed status of each changed sale and
-    the product id cleared where the product was deleted. ``after_batch``
-    names the last batch already folded into ``base_sales`` (see
-    ``compact_sales``)."""
-    cols = [c for c in base_sales.columns if c != SALE_MONTH]
-    sales = base_sales.select(*cols)
-    added = read_committed(spark, root, "new_sales", after_batch)
-    if added is not None:
-        sales = sales.unionByName(conform(added.drop("_batch"), "sales").select(*cols))
-    delta = read_committed(spark, root, "status_changes", after_batch)
-    if delta is not None:
-        latest = delta.groupBy("sales_id").agg(F.max_by("status", "_batch").alias("_new_status"))
-        sales = (sales.join(latest, "sales_id", "left")
-                 .withColumn("status", F.coalesce(F.col("_new_status"), F.col("status")))
-                 .select(*cols))
-    gone = read_committed(spark, root, "deleted_products", after_batch)
-    if gone is not None:
-        ids = gone.select("product_id").distinct().withColumn("_gone", F.lit(True))
-        sales = (sales.join(ids, "product_id", "left")
-                 .withColumn("product_id", F.when(F.col("_gone"), F.lit(None).cast("long"))
-                             .otherwise(F.col("product_id")))
-                 .select(*cols))
-    return sales
-
-
-def current_table(spark: SparkSession, base: DataFrame, root: str, name: str) -> DataFrame:
-    """Latest committed full version of a catalogue table, else ``base``."""
-    for b, outs in reversed(list(committed_batches(spark, root).items())):
-        if name in outs:
-            return conform(spark.read.parquet(os.path.join(_batch_dir(root, b), name)), name)
-    return base
-
-
-def current_log(spark: SparkSession, base_log: DataFrame, root: str, name: str) -> DataFrame:
-    """An append-only log (void log, add-on rows) with committed appends."""
-    added = read_committed(spark, root, name)
-    if added is None:
-        return base_log
-    return base_log.unionByName(conform(added.drop("_batch"), name))
-
-
-def run_sale_batch(spark: SparkSession, t: ShopTables, requests: DataFrame,
-                   root: str, batch: int, check_existing: bool = False) -> DataFrame:
-    """Price a batch of sale requests; commit the new sales, their add-on
-    rows and the rejects together. Returns the rejects.
-
-    Request ids become sale ids and must be new. With ``check_existing`` the
-    batch's ids are looked up in ``t.sales`` (one scan of its id column, the
-    batch ids on the build side) and requests whose id exists are rejected
-    as a duplicate key, as the database's primary key would; without it the
-    caller guarantees new ids (e.g. from an id generator).
-    """
-    taken = None
-    if check_existing:
-        ids = requests.select("request_id").distinct()
-        taken = cut_lineage(t.sales.select(F.col("sales_id").alias("request_id"))
-                            .join(ids, "request_id", "inner").distinct())
-        requests = requests.join(taken, "request_id", "left_anti")
-    # Each committed output is its own job; give them one small catalogue
-    # to read: the products this batch names, found with one scan of the
-    # catalogue and checkpointed (results are the same, only referenced
-    # products can match).
-    needed = t.products.join(requests.select("product_id").distinct(), "product_id", "left_semi")
-    priced = changes.price_sales(requests, cut_lineage(needed), t.addons)
-    addon_rows = priced.addon_rows.select(
-        F.xxhash64("sale_id", "addon_id").alias("id"), "sale_id", "addon_id", "addon_name", "price")
-    rejects = priced.rejects
-    if taken is not None:
-        rejects = taken.select("request_id", F.lit(changes.REJECT_DUPLICATE_KEY).alias("reason")) \
-            .unionByName(rejects)
-    commit_batch(spark, root, batch, {
-        "new_sales": priced.accepted,
-        "sale_addons": addon_rows,
-        "sale_rejects": rejects,
-    })
-    return spark.read.parquet(os.path.join(_batch_dir(root, batch), "sale_rejects"))
-
-
-def run_status_batch(spark: SparkSession, sales: DataFrame, sales_void: DataFrame,
-                     cancels: DataFrame | None, voids: DataFrame, root: str, batch: int) -> DataFrame:
-    """Apply cancels and voids to the current sales; commit only the sales
-    whose status changes, the appended void-log rows and the rejects.
-    Returns the rejects."""
-    # Only the sales a request names can change: take those first (a
-    # semi-join with the batch's ids), so the rest of the job never touches
-    # the whole table. Existence checks see every named id that exists.
-    ids = voids.select(F.col("sale_id").alias("sales_id"))
-    if cancels is not None:
-        ids = ids.unionByName(cancels.select(F.col("sale_id").alias("sales_id")))
-    touched = sales.join(ids.filter(F.col("sales_id").isNotNull()).distinct(), "sales_id", "left_semi")
-    # All three outputs below read these few rows; checkpoint them so the
-    # whole sales table is scanned once, not once per output.
-    touched = cut_lineage(touched)
-    res = changes.apply_voids(touched, sales_void.limit(0), voids)
-    new_sales = res.sales
-    if cancels is not None:
-        new_sales = changes.apply_cancellations(new_sales, cancels)
-    before = touched.select("sales_id", F.col("status").alias("_old"))
-    delta = (new_sales.select("sales_id", "status").join(before, "sales_id", "inner")
-             .filter(~F.col("status").eqNullSafe(F.col("_old"))).drop("_old"))
-    commit_batch(spark, root, batch, {
-        "status_changes": delta,
-        "sales_void": res.sales_void,
-        "void_rejects": res.rejects,
-    })
-    return spark.read.parquet(os.path.join(_batch_dir(root, batch), "void_rejects"))
-
-
-def run_catalog_batch(spark: SparkSession, products: DataFrame, product_changes: DataFrame | None,
-                      product_deletes: DataFrame | None, root: str, batch: int) -> DataFrame:
-    """Upsert then delete products; commit the new catalogue version and the
-    ids whose sales lose their product (read-side ``ON DELETE SET NULL``)."""
-    out = {}
-    table = products
-    if product_changes is not None:
-        up = changes.upsert_products(products, product_changes)
-        table = up.table
-        out["product_rejects"] = up.rejects
-    if product_deletes is not None:
-        ids = product_deletes.select("product_id").filter(F.col("product_id").isNotNull()).distinct()
-        table = table.join(ids, "product_id", "left_anti")
-        out["deleted_products"] = ids
-    out["products"] = cut_lineage(table)
-    commit_batch(spark, root, batch, out)
-    return current_table(spark, products, root, "products")
-
-
-def compact_sales(spark: SparkSession, base_sales: DataFrame, root: str, out_root: str,
-                  after_batch: int | None = None) -> int | None:
-    """Fold every committed batch into a new base sales table under
-    ``out_root`` (stored layout, one rewrite, run rarely). Returns the last
-    batch folded in; afterwards read ``current_sales(new_base, root,
-    after_batch=<that batch>)``."""
-    batches = [b for b in committed_batches(spark, root) if after_batch is None or b > after_batch]
-    if not batches:
-        return after_batch
-    merged = current_sales(spark, base_sales, root, after_batch)
-    write_table(merged, out_root, "sales")
-    return batches[-1]
+from tallyspark.operators import changes as CH
+from tallyspark.sources.tables import ShopTables
+
+BATCH = "batch"
+
+
+def write_batch(df: DataFrame, root: str, output: str, batch: int) -> str:
+    """Write one output of one batch; returns the output's folder."""
+    path = os.path.join(root, output)
+    (df.withColumn(BATCH, F.lit(int(batch)).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path))
+    return path
+
+
+def read_batches(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """All batches of an output, with their ``batch`` number."""
+    return spark.read.parquet(os.path.join(root, output))
+
+
+def run_sale_batch(tables: ShopTables, requests: DataFrame, root: str, batch: int, default_time=None) -> None:
+    """Price a batch of sale requests: ``new_sales``, ``new_sale_addons`` and
+    ``sale_rejects``. Sale ids are the request ids, so a request delivered
+    again in the same batch is one sale."""
+    priced = CH.price_sales(requests, tables.products, tables.addons, default_time)
+    write_batch(priced.accepted, root, "new_sales", batch)
+    write_batch(priced.addon_rows, root, "new_sale_addons", batch)
+    write_batch(priced.rejects, root, "sale_rejects", batch)
+
+
+def run_status_batch(tables: ShopTables, cancel_ids: DataFrame, voids: DataFrame, root: str, batch: int) -> None:
+    """Cancels and voids of a batch: ``status_flags`` (one row per named sale,
+    for one join with the sales), the new ``void_log`` rows, ``void_rejects``."""
+    applied, rejects = CH.split_voids(tables.sales, voids)
+    write_batch(CH.status_flags(cancel_ids, voids), root, "status_flags", batch)
+    write_batch(CH.void_log(applied), root, "void_log", batch)
+    write_batch(rejects, root, "void_rejects", batch)
+
+
+def run_catalog_batch(products: DataFrame, product_changes: DataFrame, root: str, batch: int) -> None:
+    """Product inserts and updates of a batch: the whole ``products`` table
+    after it, and ``product_rejects``."""
+    done = CH.upsert_products(products, product_changes)
+    write_batch(done.table, root, "products", batch)
+    write_batch(done.rejects, root, "product_rejects", batch)

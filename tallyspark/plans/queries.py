@@ -61,67 +61,67 @@ def register(name: str):
 @register("daily_total_any_status")
 def _q(spark, d):
     """O01 dashboard daily total, every status."""
-    return K.period_sales_total(D.sales_a(spark, d), AS_OF_A, P.DAILY)
+    return K.period_sales_total(D.sales_a(spark, d, names=False), AS_OF_A, P.DAILY)
 
 
 @register("trailing7_total_completed")
 def _q(spark, d):
     """O01 report trailing-7 total, Completed only."""
-    return K.period_sales_total(D.sales_a(spark, d), AS_OF_A, P.TRAILING7, "Completed")
+    return K.period_sales_total(D.sales_a(spark, d, names=False), AS_OF_A, P.TRAILING7, "Completed")
 
 
 @register("monthly_total_any_status")
 def _q(spark, d):
     """O01 dashboard month total, every status."""
-    return K.period_sales_total(D.sales_a(spark, d), AS_OF_A, P.MONTHLY)
+    return K.period_sales_total(D.sales_a(spark, d, names=False), AS_OF_A, P.MONTHLY)
 
 
 @register("daily_orders")
 def _q(spark, d):
     """O02 today's order count, every status."""
-    return K.period_order_count(D.sales_a(spark, d), AS_OF_A, P.DAILY)
+    return K.period_order_count(D.sales_a(spark, d, names=False), AS_OF_A, P.DAILY)
 
 
 @register("monthly_forecast")
 def _q(spark, d):
     """O03 month total x 1.1."""
-    return K.monthly_forecast(D.sales_a(spark, d), AS_OF_A)
+    return K.monthly_forecast(D.sales_a(spark, d, names=False), AS_OF_A)
 
 
 @register("dashboard_kpis")
 def _q(spark, d):
     """O04 the dashboard strip from one scan."""
-    return K.dashboard_kpis(D.sales_a(spark, d), AS_OF_A)
+    return K.dashboard_kpis(D.sales_a(spark, d, names=False), AS_OF_A)
 
 
 @register("report_summary_weekly")
 def _q(spark, d):
     """O05 report summary for filter=weekly (calendar week), Completed."""
-    return K.report_summary(D.sales_a(spark, d), AS_OF_A, "weekly")
+    return K.report_summary(D.sales_a(spark, d, names=False), AS_OF_A, "weekly")
 
 
 @register("report_summary_monthly")
 def _q(spark, d):
     """O05 report summary for filter=monthly, Completed."""
-    return K.report_summary(D.sales_a(spark, d), AS_OF_A, "monthly")
+    return K.report_summary(D.sales_a(spark, d, names=False), AS_OF_A, "monthly")
 
 
 @register("completed_totals")
 def _q(spark, d):
     """O06 all-time Completed total and count."""
-    return K.completed_totals(D.sales_a(spark, d))
+    return K.completed_totals(D.sales_a(spark, d, names=False))
 
 
 @register("report_kpis_daily")
 def _q(spark, d):
     """O07 the report strip for filter=daily from one scan."""
-    return K.report_kpis(D.sales_a(spark, d), AS_OF_A, "daily")
+    return K.report_kpis(D.sales_a(spark, d, names=False), AS_OF_A, "daily")
 
 
 @register("report_kpis_all")
 def _q(spark, d):
     """O07 the report strip for an unknown filter (all time)."""
-    return K.report_kpis(D.sales_a(spark, d), AS_OF_A, "everything")
+    return K.report_kpis(D.sales_a(spark, d, names=False), AS_OF_A, "everything")
 
 
 # --- Rankings ---------------------------------------------------------------
@@ -166,7 +166,7 @@ def _q(spark, d):
 @register("category_ranking")
 def _q(spark, d):
     """O10 all-time Completed revenue per live category, ranked."""
-    return R.category_ranking(D.sales_a(spark, d), D.products(spark, d))
+    return R.category_ranking(D.sales_a(spark, d, names=False), D.products(spark, d))
 
 
 # --- Sales listing (set B: event sales, report date 2024-01-17) ------------
@@ -177,12 +177,19 @@ def _q(spark, d):
     """O11 add-ons nested per sale (rendered as text for comparison)."""
     nested = V.addons_by_sale(D.sale_addons(spark, d))
     return nested.select("sale_id", V.addons_text("addons").alias("addons"),
-                         F.aggregate("addons", F.lit(0).cast("long"),
-                                     lambda acc, a: acc + a["n"]).alias("n_addons"))
+                         F.size("addons").cast("long").alias("n_addons"))
 
 
-def _sales_list(spark, d, search, on_date):
-    out = V.sales_list(D.sales_b(spark, d), D.products(spark, d), D.sale_addons(spark, d),
+@register("addon_copies_by_sale")
+def _q(spark, d):
+    """O11, compact: one element per distinct add-on of a sale, with its number."""
+    return V.addon_copies_by_sale(D.sale_addons(spark, d)).select(
+        "sale_id", F.explode("addons").alias("a")).select(
+        "sale_id", "a.first_id", "a.addon_name", "a.price", "a.addon_id", "a.n")
+
+
+def _sales_list(spark, d, search, on_date, sales=D.sales_b):
+    out = V.sales_list(sales(spark, d), D.products(spark, d), D.sale_addons(spark, d),
                        search=search, on_date=on_date)
     return out.withColumn("addons", V.addons_text("addons"))
 
@@ -220,7 +227,7 @@ def _q(spark, d):
 @register("sale_badges")
 def _q(spark, d):
     """O14 badge of every sale."""
-    return V.sale_badges(D.sales_b(spark, d))
+    return V.sale_badges(D.sales_b(spark, d, names=False))
 
 
 # --- Catalogue -------------------------------------------------------------
@@ -470,7 +477,7 @@ def _q(spark, d):
 @register("export_summary_monthly")
 def _q(spark, d):
     """O35 the export's summary table for filter=monthly."""
-    return EX.export_frames(D.sales_a(spark, d), AS_OF_A, "monthly")[0]
+    return EX.export_frames(D.sales_a(spark, d, names=False), AS_OF_A, "monthly")[0]
 
 
 @register("export_transactions_weekly")
@@ -486,7 +493,7 @@ def _q(spark, d):
 def _q(spark, d):
     """Day windows of the streaming KPI job (all statuses and Completed),
     evaluated over the whole event-sales table as a batch (day as ISO text)."""
-    out = KS.daily_windows(D.sales_b(spark, d))
+    out = KS.daily_windows(D.sales_b(spark, d, names=False))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -503,7 +510,7 @@ def _q(spark, d):
 @register("report_kpis_monthly")
 def _q(spark, d):
     """O07 the report strip for filter=monthly."""
-    return K.report_kpis(D.sales_a(spark, d), AS_OF_A, "monthly")
+    return K.report_kpis(D.sales_a(spark, d, names=False), AS_OF_A, "monthly")
 
 
 @register("report_transactions_daily")
@@ -528,7 +535,7 @@ def _q(spark, d):
 def _q(spark, d):
     """The dashboard strip served from the streaming day table (batch form)
     over the whole event-sales table, report date 2024-01-17."""
-    return KS.dashboard_from_days(KS.daily_windows(D.sales_b(spark, d)), AS_OF_B)
+    return KS.dashboard_from_days(KS.daily_windows(D.sales_b(spark, d, names=False)), AS_OF_B)
 
 
 @register("sales_list_day")
@@ -546,10 +553,100 @@ def _q(spark, d):
 @register("report_summary_empty_filter")
 def _q(spark, d):
     """O05 with filter='' (not missing): the page's else-branch, all time."""
-    return K.report_summary(D.sales_a(spark, d), AS_OF_A, "")
+    return K.report_summary(D.sales_a(spark, d, names=False), AS_OF_A, "")
 
 
 @register("report_summary_no_filter")
 def _q(spark, d):
     """O05 with no filter at all: the page's default, daily."""
-    return K.report_summary(D.sales_a(spark, d), AS_OF_A, None)
+    return K.report_summary(D.sales_a(spark, d, names=False), AS_OF_A, None)
+
+
+# --- Edge rows: escapes, repeats, mixed case, missing keys ---------------------
+
+
+@register("sales_list_backslash")
+def _q(spark, d):
+    """O12 a search with a backslash: the next character is literal."""
+    return _sales_list(spark, d, "b\\olt", None)
+
+
+@register("product_search_backslash")
+def _q(spark, d):
+    """O17 a search with a backslash before a letter."""
+    return C.product_search(D.products(spark, d), search="r\\ing")
+
+
+@register("sales_list_without_products")
+def _q(spark, d):
+    """O12 where many sales have lost their product id."""
+    return _sales_list(spark, d, None, None, D.sales_b_without_products)
+
+
+@register("stock_cards_edge")
+def _q(spark, d):
+    """O20 with images named '0' and thresholds near the 32-bit limit."""
+    return I.stock_cards(D.ingredients_edge(spark, d))
+
+
+@register("stock_status_edge")
+def _q(spark, d):
+    """O18 on the same rows."""
+    return I.stock_status(D.ingredients_edge(spark, d))
+
+
+@register("sellable_products_mixed_case")
+def _q(spark, d):
+    """O15 where statuses and names are in mixed case."""
+    return C.sellable_products(D.products_mixed_case(spark, d))
+
+
+@register("menu_pages_mixed_case")
+def _q(spark, d):
+    """O15 nested: name order is case-insensitive, also over page borders."""
+    pages = C.menu_pages(D.products_mixed_case(spark, d), page_size=7)
+    items = F.array_join(F.transform("items", lambda x: F.concat(
+        x["product_name"], F.lit("#"), x["product_id"].cast("string"))), "; ")
+    return pages.select("category", "page", items.alias("items"), F.size("items").alias("n_items"))
+
+
+def _priced_repeated(spark, d):
+    return CH.price_sales(D.sale_requests_repeated(spark, d), D.products(spark, d), D.addons(spark, d))
+
+
+@register("price_sales_repeated")
+def _q(spark, d):
+    """O25 of an at-least-once feed: equal copies are one sale."""
+    return _priced_repeated(spark, d).accepted
+
+
+@register("price_sales_repeated_rejects")
+def _q(spark, d):
+    """O25 rejects of that feed: ids whose copies differ, once each."""
+    return _priced_repeated(spark, d).rejects
+
+
+@register("upsert_products_repeated_seq")
+def _q(spark, d):
+    """O30 where change numbers repeat."""
+    return CH.upsert_products(D.products(spark, d), D.product_changes_repeated(spark, d)).table
+
+
+@register("upsert_products_repeated_rejects")
+def _q(spark, d):
+    """O30 rejects there: every clash is reported."""
+    return CH.upsert_products(D.products(spark, d), D.product_changes_repeated(spark, d)).rejects
+
+
+@register("append_audit_no_reset")
+def _q(spark, d):
+    """O33 the log after a batch without a reset: old rows stay."""
+    return AU.append_audit(D.audit_logs(spark, d), D.audit_entries_without_reset(spark, d))
+
+
+@register("daily_sales_windows_changed")
+def _q(spark, d):
+    """Day windows of sales and their later status changes and removals."""
+    effects = KS.sale_effects(D.sales_b(spark, d, names=False)).unionByName(
+        KS.change_effects(D.sale_status_changes(spark, d)))
+    return KS.daily_windows(effects).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

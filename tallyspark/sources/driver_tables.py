@@ -72,8 +72,9 @@ def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"))
 
 
-def sales_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales from line items; the sale-time product name comes from ``part``."""
+def sales_a(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
+    """Sales from line items; the sale-time product name comes from ``part``,
+    or is NULL without ``names`` (for queries that don't read it)."""
     li = _read(spark, sf_dir, "lineitem")
     rows = li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sales_id"),
@@ -86,7 +87,15 @@ def sales_a(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("l_returnflag") == "A", F.lit(S.STATUS_VOID))).alias("status"),
         _image_rule("l_partkey", "part_").alias("product_image"),
     )
-    return conform(rows.join(_part_names(spark, sf_dir), "product_id", "left"), "sales")
+    return _named(spark, sf_dir, rows, names)
+
+
+def _named(spark: SparkSession, sf_dir: str, rows: DataFrame, names: bool) -> DataFrame:
+    if names:
+        rows = rows.join(_part_names(spark, sf_dir), "product_id", "left")
+    else:
+        rows = rows.withColumn("product_name", F.lit(None).cast("string"))
+    return conform(rows, "sales")
 
 
 def _event_status() -> F.Column:
@@ -97,8 +106,9 @@ def _event_status() -> F.Column:
             .otherwise(F.lit("Pending")))
 
 
-def sales_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales from events: unique ids and microsecond timestamps."""
+def sales_b(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
+    """Sales from events: unique ids and microsecond timestamps (``names`` as
+    in ``sales_a``)."""
     ev = _read(spark, sf_dir, "events")
     rows = ev.select(
         F.col("event_id").alias("sales_id"),
@@ -109,7 +119,41 @@ def sales_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         _event_status().alias("status"),
     )
     rows = rows.withColumn("product_image", _image_rule("product_id", "part_"))
-    return conform(rows.join(_part_names(spark, sf_dir), "product_id", "left"), "sales")
+    return _named(spark, sf_dir, rows, names)
+
+
+def sales_b_without_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set B where every third sale has lost its product id."""
+    kept = F.when(F.col("sales_id") % 3 != 0, F.col("product_id"))
+    return conform(sales_b(spark, sf_dir).withColumn("product_id", kept), "sales")
+
+
+def sale_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set B's changes after entry: clicks go from Completed to Cancelled,
+    sign-ups (VOID) are removed."""
+    ev = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "signup"))
+    click = F.col("event_type") == "click"
+    return ev.select(F.col("ts").alias("created_at"), _money("value").alias("total"),
+                     F.when(click, F.lit(S.STATUS_COMPLETED)).otherwise(F.lit(S.STATUS_VOID)).alias("old_status"),
+                     F.when(click, F.lit(S.STATUS_CANCELLED)).alias("new_status"))
+
+
+def products_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as a case-insensitive database may hold it: every second
+    status in lower case, every third name in upper case."""
+    k = F.col("product_id")
+    p = products(spark, sf_dir)
+    return conform(p.withColumn("status", F.when(k % 2 == 0, F.lower("status")).otherwise(F.col("status")))
+                   .withColumn("product_name", F.when(k % 3 == 0, F.upper("product_name")).otherwise(F.col("product_name"))), "products")
+
+
+def ingredients_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingredients with images named ``0`` and with very large thresholds."""
+    k = F.col("ingredient_id")
+    i = ingredients(spark, sf_dir)
+    return conform(i.withColumn("image", F.when(k % 7 == 0, F.lit("0")).otherwise(F.col("image")))
+                   .withColumn("low_stock_threshold", F.when(k % 9 == 0, F.lit(2 ** 31 - 1)).otherwise(F.col("low_stock_threshold"))),
+                   "ingredients")
 
 
 def addons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +235,16 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sale_requests_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sale feed as delivered at least once: purchases come twice alike,
+    errors come twice with another quantity."""
+    ev = _read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "event_type")
+    r = sale_requests(spark, sf_dir)
+    again = r.join(ev.filter(F.col("event_type").isin("purchase", "error")), "request_id")
+    quantity = F.when(F.col("event_type") == "error", F.col("quantity") + 1).otherwise(F.col("quantity"))
+    return r.unionByName(again.withColumn("quantity", quantity).drop("event_type"))
+
+
 def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     return o.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("sale_id"))
@@ -228,6 +282,14 @@ def product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def product_changes_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product changes whose numbers repeat: half of the keys give both their
+    changes one number, and every fifth change is delivered twice."""
+    c = product_changes(spark, sf_dir)
+    paired = F.when(F.col("seq") % 4 < 2, F.floor(F.col("seq") / 2).cast("long")).otherwise(F.col("seq") + 10 ** 9)
+    return c.unionByName(c.filter(F.col("seq") % 5 == 0)).withColumn("seq", paired)
+
+
 def ingredient_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     return c.select(
@@ -267,6 +329,11 @@ def audit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit_entries_without_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New log entries of which none is a reset."""
+    return audit_entries(spark, sf_dir).filter(F.col("action") != S.RESET_LOGS_ACTION)
+
+
 TABLE_BUILDERS = {
     "sales": sales_a,
     "products": products,

@@ -14,6 +14,7 @@ example ``spark.read.jdbc`` on the live database) can be passed through
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -30,20 +31,31 @@ def canonical_status(col: str | Column = "status") -> Column:
     """Canonical spelling of a sale status.
 
     The source database compares text case-insensitively, so ``completed``
-    and ``Completed`` are the same status there. Statuses are canonicalised
-    once, when rows are written, so that every later filter is a plain
-    equality that pushes into Parquet.
+    and ``Completed`` are the same status there. ``conform`` makes statuses
+    canonical for every source; stored tables hold them so, and every later
+    filter on them is a plain equality that pushes into Parquet.
     """
+    return _canonical(col, (S.STATUS_COMPLETED, S.STATUS_CANCELLED, S.STATUS_VOID))
+
+
+def _canonical(col: str | Column, spellings) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    low = F.lower(c)
-    return (F.when(low == S.STATUS_COMPLETED.lower(), F.lit(S.STATUS_COMPLETED))
-            .when(low == S.STATUS_CANCELLED.lower(), F.lit(S.STATUS_CANCELLED))
-            .when(low == S.STATUS_VOID.lower(), F.lit(S.STATUS_VOID))
-            .otherwise(c))
+    out = F.when(F.lit(False), c)
+    for word in spellings:
+        out = out.when(F.lower(c) == word.lower(), F.lit(word))
+    return out.otherwise(c)
+
+
+STATUSES = {
+    "sales": (S.STATUS_COMPLETED, S.STATUS_CANCELLED, S.STATUS_VOID),
+    "products": (S.AVAILABLE, S.UNAVAILABLE),
+    "addons": (S.AVAILABLE, S.UNAVAILABLE),
+}
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the table's columns in schema order, casting where types differ.
+def conform(df: DataFrame, table: str, stored: bool = False) -> DataFrame:
+    """Select the table's columns in schema order, casting where types differ,
+    with statuses in their canonical spelling (``stored``: they are already).
 
     Timestamp columns keep their flavour (``timestamp_ntz`` from Parquet,
     ``timestamp`` from JDBC); operators build literals of the matching type.
@@ -53,7 +65,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     cols = []
     for fld in schema.fields:
         want = fld.dataType
-        if isinstance(want, T.TimestampNTZType) and have.get(fld.name) in ("timestamp", "timestamp_ntz"):
+        if fld.name == "status" and table in STATUSES and not stored:
+            cols.append(_canonical(F.col("status").cast(want), STATUSES[table]).alias("status"))
+        elif isinstance(want, T.TimestampNTZType) and have.get(fld.name) in ("timestamp", "timestamp_ntz"):
             cols.append(F.col(fld.name))
         elif have.get(fld.name) == want.simpleString():
             cols.append(F.col(fld.name))
@@ -70,7 +84,7 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Read one stored table (sales keep their ``sale_month`` partition column)."""
     path = os.path.join(root, table)
     df = spark.read.parquet(path)
-    return conform(df, table)
+    return conform(df, table, stored=True)
 
 
 @dataclass
@@ -135,7 +149,6 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite",
     path = os.path.join(root, table)
     out = conform(df, table)
     if table == "sales":
-        out = out.withColumn("status", canonical_status("status"))
         if SALE_MONTH not in out.columns:
             out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
     keys = CLUSTER_KEYS[table]
@@ -159,7 +172,6 @@ def save_bucketed(df: DataFrame, table: str, name: str, path: str, buckets: int,
     by month as well. Use one bucket count for every table joined together."""
     out = conform(df, table)
     if table == "sales":
-        out = out.withColumn("status", canonical_status("status"))
         if SALE_MONTH not in out.columns:
             out = out.withColumn(SALE_MONTH, F.trunc(F.to_date("created_at"), "month"))
     key = BUCKET_KEYS[table]
@@ -172,7 +184,7 @@ def save_bucketed(df: DataFrame, table: str, name: str, path: str, buckets: int,
 
 def read_bucketed(spark: SparkSession, name: str, table: str) -> DataFrame:
     """A bucketed table through the catalogue (which carries the bucketing)."""
-    return conform(spark.table(name), table)
+    return conform(spark.table(name), table, stored=True)
 
 
 def attach_bucketed(spark: SparkSession, name: str, path: str, table: str, buckets: int) -> DataFrame:
@@ -187,7 +199,15 @@ def attach_bucketed(spark: SparkSession, name: str, path: str, table: str, bucke
     if table == "sales":
         cols.append(f"`{SALE_MONTH}` date")
         part = f"PARTITIONED BY (`{SALE_MONTH}`) "
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", name):
+        raise ValueError(f"not a table name: {name!r}")
+    if "'" in path or "\\" in path:
+        raise ValueError(f"quotes and backslashes can't be in the path: {path!r}")
+    if spark.catalog.tableExists(name):
+        # Only the entry of an external table may go; its files stay.
+        if spark.catalog.getTable(name).tableType != "EXTERNAL":
+            raise ValueError(f"{name} is a managed table; its data would be deleted")
+        spark.sql(f"DROP TABLE {name}")
     spark.sql(f"CREATE TABLE {name} ({', '.join(cols)}) USING parquet {part}"
               f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS "
               f"LOCATION '{path}'")

@@ -1,10 +1,12 @@
-"""Day-level sales KPIs maintained from a stream of sales.
-
-One event-time window per calendar day on ``created_at``; a watermark bounds
-the state (days older than the watermark are final and dropped from state).
-Each micro-batch writes only the days it changed (update mode) as its own
-batch folder; ``read_daily_totals`` keeps the latest row per day. The
-figures are the dashboard's (all statuses) and the report's (Completed).
+"""Day-level sales KPIs maintained from a stream of sales and their changes.
+
+One event-time window per calendar day on ``created_at``. The state is one row
+per day, so it is kept: a late sale still reaches its day, however late. Status
+changes and removals enter as signed effects (``change_effects``), so the
+Completed figures follow cancels, voids and resets. Each micro-batch writes
+the days it changed (update mode) as its own batch folder; ``read_daily_totals``
+keeps the latest row per day. A ``watermark`` may be set to bound the state
+where sales older than that are known not to come; such sales are then lost.
 """
 
 from __future__ import annotations
@@ -28,28 +30,52 @@ def _wall_clock_as_utc(col: str) -> F.Column:
                             F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
 
 
-def daily_windows(sales: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Streaming (or batch) aggregate: one row per sale day.
+EFFECT = ["created_at", "total", "status", "sign"]
+
+
+def sale_effects(sales: DataFrame) -> DataFrame:
+    """New sales as effects: each counts once."""
+    return sales.select("created_at", "total", "status", F.lit(1).alias("sign"))
+
 
-    Watermarks need an instant (``timestamp``); the wall-clock sale time is
-    read as UTC for that, independent of the session zone, and the output
-    day is taken from the rows' own dates.
+def change_effects(changes: DataFrame) -> DataFrame:
+    """``changes(created_at, total, old_status, new_status)`` of known sales as
+    effects: the sale leaves its old status and enters the new one; without a
+    new status it is removed."""
+    pair = F.array(F.struct(F.col("old_status").alias("status"), F.lit(-1).alias("sign")),
+                   F.struct(F.col("new_status").alias("status"), F.lit(1).alias("sign")))
+    sides = F.filter(pair, lambda x: (x["sign"] < 0) | x["status"].isNotNull())
+    return changes.select("created_at", "total", F.explode(sides).alias("e")).select("created_at", "total", "e.status", "e.sign")
+
+
+def daily_windows(effects: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Streaming (or batch) aggregate: one row per sale day, from effects or
+    plain sales (each an effect of +1).
+
+    Windows need an instant (``timestamp``); the wall-clock sale time is read
+    as UTC for that, independent of the session zone, and the output day is
+    taken from the rows' own dates.
     """
+    if "sign" not in effects.columns:
+        effects = sale_effects(effects)
     done = F.col("status") == F.lit(S.STATUS_COMPLETED)
-    return (sales.filter(F.col("created_at").isNotNull())      # no time, no day
-            .withColumn("_event_time", _wall_clock_as_utc("created_at"))
-            .withWatermark("_event_time", watermark)
-            .groupBy(F.window("_event_time", "1 day").alias("w"))
+    amount = F.col("total") * F.col("sign").cast("decimal(3,0)")
+    zero = F.lit(0).cast(S.MONEY)
+    timed = (effects.filter(F.col("created_at").isNotNull())      # no time, no day
+             .withColumn("_event_time", _wall_clock_as_utc("created_at")))
+    if watermark is not None:
+        timed = timed.withWatermark("_event_time", watermark)
+    return (timed.groupBy(F.window("_event_time", "1 day").alias("w"))
             .agg(F.min(F.to_date("created_at")).alias("day"),
-                 F.coalesce(F.sum("total"), F.lit(0).cast(S.MONEY)).alias("total"),
-                 F.count(F.lit(1)).alias("orders"),
-                 F.coalesce(F.sum(F.when(done, F.col("total"))), F.lit(0).cast(S.MONEY)).alias("completed_total"),
-                 F.count(F.when(done, F.lit(1))).alias("completed_orders"))
+                 F.coalesce(F.sum(amount), zero).alias("total"),
+                 F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("orders"),
+                 F.coalesce(F.sum(F.when(done, amount)), zero).alias("completed_total"),
+                 F.coalesce(F.sum(F.when(done, F.col("sign"))), F.lit(0)).cast("long").alias("completed_orders"))
             .select("day", "total", "orders", "completed_total", "completed_orders"))
 
 
-def start_daily_totals(spark: SparkSession, sales_stream: DataFrame, out_dir: str,
-                       checkpoint: str | None = None, watermark: str = "2 days",
+def start_daily_totals(spark: SparkSession, effects_stream: DataFrame, out_dir: str,
+                       checkpoint: str | None = None, watermark: str | None = None,
                        available_now: bool = False):
     # Default: a hidden folder inside the output (Spark's readers skip names
     # starting with "_"), stable across restarts and unique per output.
@@ -59,7 +85,7 @@ def start_daily_totals(spark: SparkSession, sales_stream: DataFrame, out_dir: st
         (batch.withColumn("epoch", F.lit(epoch_id).cast("long"))
          .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id:012d}")))
 
-    w = (daily_windows(sales_stream, watermark).writeStream.outputMode("update")
+    w = (daily_windows(effects_stream, watermark).writeStream.outputMode("update")
          .foreachBatch(handle).option("checkpointLocation", checkpoint))
     if available_now:
         w = w.trigger(availableNow=True)

@@ -2,11 +2,11 @@
 
 The source prices and stores each sale when its form is posted. Here new
 request files are read as a stream; each micro-batch is priced by the same
-``price_sales`` operator and committed with its add-on rows and rejects as
-batch ``<epoch id>`` (``plans.jobs``). A replayed epoch after a failure
-rewrites the same folder and marker, so delivery is effectively once. The
-stream's own checkpoint goes next to the committed batches (a hidden
-``_stream_checkpoint`` folder) unless a location is given.
+``price_sales`` operator and written with its add-on rows and rejects as batch
+``<epoch id>`` (``plans.jobs``). An epoch that runs again after a failure
+replaces its own partition, so delivery is effectively once. The stream's own
+checkpoint goes next to the outputs (a hidden ``_stream_checkpoint`` folder)
+unless a location is given.
 """
 
 from __future__ import annotations
@@ -36,13 +36,7 @@ def start_sale_feed(spark: SparkSession, requests: DataFrame, tables: ShopTables
     checkpoint = checkpoint or os.path.join(root, "_stream_checkpoint")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        # The micro-batch feeds several committed outputs: keep it in memory
-        # for the epoch (a lost block is simply re-read from the source files).
-        batch.persist()
-        try:
-            jobs.run_sale_batch(batch.sparkSession, tables, batch, root, epoch_id)
-        finally:
-            batch.unpersist()
+        jobs.run_sale_batch(tables, batch, root, epoch_id)
 
     w = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if name:

@@ -1,11 +1,9 @@
 """Independent SQL oracle for every registered query (DuckDB dialect).
 
 Each statement restates the adapted tables as CTEs over the driver's views
-and then follows the application's own SQL shape (left join + group by five
-keys, ``month()``/``year()``/``yearweek()`` predicates, PHP-side loops
-re-expressed in SQL) rather than the Spark plan, so a rewrite in the Spark
-plan (ranges, aggregate-before-join, top-k before join) is checked against
-the original formulation. Money is summed as decimal and returned as double;
+and then says the rule in SQL's own way (``month()``/``year()``/``yearweek()``
+predicates, correlated lookups, windows over changes) rather than the Spark
+plan's, so that a mistake in the plan (ranges, folds, top-k before join) shows. Money is summed as decimal and returned as double;
 counts as bigint.
 """
 
@@ -201,27 +199,32 @@ SQL["report_kpis_all"] = _report_kpis("1=1")
 
 
 # --- Rankings ------------------------------------------------------------------
+def _sold(name: str, cond: str) -> str:
+    """Units and revenue per product and sale-time name, in a period."""
+    return f""",
+  sold AS (SELECT product_id, product_name, CAST(sum(quantity) AS BIGINT) AS {name}, sum(total) AS money
+           FROM sales WHERE {cond} GROUP BY ALL)
+"""
+
+
+def _best(name: str) -> str:
+    return f"ORDER BY {name} DESC, product_id NULLS FIRST, product_name NULLS FIRST LIMIT 10"
+
+
 def _top_with_image(cond: str) -> str:
-    return with_tables("sales products", f"""
-SELECT s.product_id, s.product_name, CAST(sum(s.quantity) AS BIGINT) AS qty,
-       {_money('sum(s.total)')} AS revenue, p.image, {_money('p.price')} AS price, p.category
-FROM sales s LEFT JOIN products p ON p.product_id = s.product_id
-WHERE {cond.replace('created_at', 's.created_at')}
-  AND (p.image IS NOT NULL AND p.image != '')
-GROUP BY s.product_id, s.product_name, p.image, p.price, p.category
-ORDER BY qty DESC, s.product_id ASC NULLS FIRST, s.product_name ASC NULLS FIRST
-LIMIT 10""")
+    return with_tables("sales products", _sold("qty", cond) + f"""
+SELECT product_id, product_name, qty, {_money('money')} AS revenue, image, {_money('price')} AS price, category
+FROM sold JOIN (SELECT product_id, image, price, category FROM products WHERE length(image) > 0) shown USING (product_id)
+{_best('qty')}""")
 
 
 def _top_completed(cond: str) -> str:
-    return with_tables("sales products", f"""
-SELECT s.product_id, s.product_name, CAST(sum(s.quantity) AS BIGINT) AS qty_sold,
-       {_money('sum(s.total)')} AS revenue, p.image, {_money('p.price')} AS price, p.category
-FROM sales s LEFT JOIN products p ON p.product_id = s.product_id
-WHERE s.status = 'Completed' AND {cond.replace('created_at', 's.created_at')}
-GROUP BY s.product_id, s.product_name, p.image, p.price, p.category
-ORDER BY qty_sold DESC, s.product_id ASC NULLS FIRST, s.product_name ASC NULLS FIRST
-LIMIT 10""")
+    return with_tables("sales products", _sold("qty_sold", f"status = 'Completed' AND {cond}") + f"""
+SELECT product_id, product_name, qty_sold, {_money('money')} AS revenue,
+       (SELECT any_value(image) FROM products p WHERE p.product_id = sold.product_id) AS image,
+       (SELECT {_money('any_value(price)')} FROM products p WHERE p.product_id = sold.product_id) AS price,
+       (SELECT any_value(category) FROM products p WHERE p.product_id = sold.product_id) AS category
+FROM sold {_best('qty_sold')}""")
 
 
 SQL["top_with_image_daily"] = _top_with_image(_DAY_A)
@@ -231,32 +234,32 @@ SQL["top_completed_daily"] = _top_completed(_DATE_EQ_A)
 SQL["top_completed_trailing7"] = _top_completed(_T7_A)
 SQL["top_completed_monthly"] = _top_completed(_MONTH_A)
 
-SQL["category_ranking"] = with_tables("sales products", f"""
-SELECT CAST(row_number() OVER (ORDER BY sum(s.total) DESC, p.category ASC NULLS FIRST) AS BIGINT) AS rank,
-       p.category, CAST(sum(s.quantity) AS BIGINT) AS total_quantity,
-       {_money('sum(s.total)')} AS total_sales
-FROM sales s JOIN products p ON s.product_id = p.product_id
-WHERE s.status = 'Completed'
-GROUP BY p.category""")
+SQL["category_ranking"] = with_tables("sales products", f""",
+  live AS (SELECT product_id, category FROM products),
+  sums AS (SELECT category, sum(quantity) AS q, sum(total) AS t FROM live
+           JOIN (FROM sales WHERE status = 'Completed') USING (product_id) GROUP BY category)
+SELECT 1 + (SELECT count(*) FROM sums o WHERE o.t > s.t OR (o.t = s.t AND (o.category < s.category
+            OR (o.category IS NULL AND s.category IS NOT NULL)))) AS rank,
+       category, CAST(q AS BIGINT) AS total_quantity, {_money('t')} AS total_sales FROM sums s""")
 
 
 # --- Sales listing -------------------------------------------------------------
 _ADDON_TEXT = """
-  c AS (SELECT sale_id, addon_name, price, addon_id, count(*) AS n, min(id) AS first_id
-        FROM sale_addons GROUP BY sale_id, addon_name, price, addon_id),
   nested AS (
     SELECT sale_id,
-           string_agg(coalesce(addon_name, '') || ' +' || coalesce(CAST(price AS VARCHAR), '')
-                      || ' x' || CAST(n AS VARCHAR), '; '
-                      ORDER BY first_id NULLS FIRST, addon_name NULLS FIRST, price NULLS FIRST,
-                               addon_id NULLS FIRST, n)
+           string_agg(coalesce(addon_name, '') || ' +' || coalesce(CAST(price AS VARCHAR), ''), '; '
+                      ORDER BY id NULLS FIRST, addon_name NULLS FIRST, price NULLS FIRST, addon_id NULLS FIRST)
              AS addons,
-           CAST(sum(n) AS BIGINT) AS n_addons
-    FROM c GROUP BY sale_id)"""
+           CAST(count(*) AS BIGINT) AS n_addons
+    FROM sale_addons GROUP BY sale_id)"""
 
 SQL["addons_by_sale"] = with_tables("sale_addons", "SELECT * FROM nested").replace(
     "\nSELECT * FROM nested", "," + _ADDON_TEXT + "\nSELECT sale_id, addons, n_addons FROM nested")
 
+SQL["addon_copies_by_sale"] = with_tables("sale_addons", f"""
+SELECT sale_id, min(id) AS first_id, addon_name, {_money('price')} AS price, addon_id, CAST(count(*) AS BIGINT) AS n
+FROM sale_addons GROUP BY sale_id, addon_name, price, addon_id""")
+
 
 def _half_up_div(num_cents: str, den: str) -> str:
     """round(num_cents / den) half away from zero, in exact integers."""
@@ -268,19 +271,22 @@ _BADGE = """CASE lower(coalesce(s.status, '')) WHEN 'completed' THEN 'completed'
       ELSE 'pending' END"""
 
 
-def _sales_list(where: str) -> str:
+def _sales_list(where: str, no_product: str = "false") -> str:
     cents = "CAST(coalesce(s.total, 0) * 100 AS BIGINT)"
     q = "greatest(coalesce(s.quantity, 0), 1)"
-    body = f""",{_ADDON_TEXT}
+    body = f""",{_ADDON_TEXT},
+  shown AS (SELECT * REPLACE (CASE WHEN {no_product} THEN NULL ELSE product_id END AS product_id)
+            FROM sales s WHERE {where}),
+  texts AS (SELECT sale_id, addons AS t FROM nested)
 SELECT s.sales_id, s.product_id, s.product_name, CAST(s.quantity AS BIGINT) AS quantity,
        {_money('s.total')} AS total, s.created_at, s.status, s.product_image,
-       p.category AS product_category, coalesce(a.addons, '') AS addons,
+       (SELECT any_value(category) FROM products p WHERE p.product_id = s.product_id) AS product_category,
+       coalesce(texts.t, '') AS addons,
        CAST({_half_up_div(cents, q)} AS DOUBLE) / 100 AS unit_price,
-       {_BADGE} AS badge
-FROM sales s LEFT JOIN products p ON p.product_id = s.product_id
-LEFT JOIN nested a ON a.sale_id = s.sales_id
-WHERE {where}
-ORDER BY s.created_at DESC"""
+       {_BADGE} AS badge,
+       coalesce(s.product_image, '') NOT IN ('', '0') AS has_image,
+       coalesce(s.status, '') = 'Completed' AS can_cancel
+FROM shown s LEFT JOIN texts ON texts.sale_id = s.sales_id"""
     return with_tables("sales products sale_addons", "", alias={"sales": "sales_b"}) + body.lstrip("\n")
 
 
@@ -337,11 +343,13 @@ _LABEL = f"""CASE WHEN stock IS NULL OR stock <= {_THR} THEN 'Low'
      WHEN stock <= {_THR} * 3 THEN 'Mid' ELSE 'Good' END"""
 _CLS = f"""CASE WHEN stock IS NULL OR stock <= {_THR} THEN 'badge-bad'
      WHEN stock <= {_THR} * 3 THEN 'badge-mid' ELSE 'badge-good' END"""
+_HAS_IMAGE = "coalesce(image, '') NOT IN ('', '0')"
 _UNIT_LABEL = "upper(substr(coalesce(unit, 'Other'), 1, 1)) || substr(coalesce(unit, 'Other'), 2) || '-based'"
 
 SQL["stock_status"] = with_tables("ingredients", f"""
 SELECT ingredient_id, ingredient_name, unit, CAST(stock AS BIGINT) AS stock,
-       CAST({_THR} AS BIGINT) AS threshold, {_LABEL} AS label
+       CAST({_THR} AS BIGINT) AS threshold, {_LABEL} AS label, image,
+       {_HAS_IMAGE} AS has_image
 FROM ingredients ORDER BY stock ASC NULLS FIRST""")
 
 SQL["ingredient_search"] = with_tables("ingredients", f"""
@@ -362,7 +370,7 @@ SELECT {_ING},
             WHEN stock <= low_stock_threshold THEN 'low'
             WHEN stock <= low_stock_threshold * 3 THEN 'mid' ELSE 'high' END AS level,
        CAST(least(100, {_half_up_div(_PCT_NUM, _PCT_DEN)}) AS BIGINT) AS fill_pct,
-       (image IS NOT NULL AND image != '') AS has_image
+       {_HAS_IMAGE} AS has_image
 FROM ingredients""")
 
 SQL["low_stock_alerts"] = with_tables("ingredients", """
@@ -381,7 +389,7 @@ FROM ingredients WHERE stock <= low_stock_threshold""")
 def _inventory_report(where: str) -> str:
     return with_tables("ingredients", f"""
 SELECT * FROM (
-  SELECT {_ING}, {_CLS} AS cls, {_UNIT_LABEL} AS unit_label, {_LABEL} AS label
+  SELECT {_ING}, {_CLS} AS cls, {_UNIT_LABEL} AS unit_label, CAST({_THR} AS BIGINT) AS threshold, {_LABEL} AS label
   FROM ingredients) t
 WHERE {where} ORDER BY stock ASC NULLS FIRST""")
 
@@ -398,8 +406,9 @@ _SALES_COLS = f"""s.sales_id, s.product_id, s.product_name, CAST(s.quantity AS B
        {_money('s.total')} AS total, s.created_at, {{status}} AS status, s.product_image"""
 
 _PRICING = """,
-  rep AS (SELECT request_id FROM sale_requests GROUP BY request_id HAVING count(*) > 1),
-  uniq AS (SELECT * FROM sale_requests WHERE request_id NOT IN (SELECT request_id FROM rep)),
+  once AS (SELECT DISTINCT * FROM sale_requests),
+  rep AS (SELECT request_id FROM once GROUP BY request_id HAVING count(*) > 1),
+  uniq AS (SELECT * FROM once WHERE request_id NOT IN (SELECT request_id FROM rep)),
   ok AS (SELECT * FROM uniq WHERE product_id > 0 AND quantity > 0),
   lk AS (SELECT ok.*, p.product_name AS pname, p.price AS pprice, p.image AS pimage
          FROM ok LEFT JOIN products p ON p.product_id = ok.product_id),
@@ -415,11 +424,14 @@ SELECT f.request_id AS sales_id, f.product_id, f.pname AS product_name,
        CAST(f.quantity AS BIGINT) AS quantity,
        {_money('f.quantity * coalesce(f.pprice, 0) + f.quantity * coalesce(t.addon_total, 0)')} AS total,
        f.created_at, 'Completed' AS status, f.pimage AS product_image
-FROM fnd f LEFT JOIN tot t ON t.request_id = f.request_id""")
+FROM fnd f LEFT JOIN tot t ON t.request_id = f.request_id
+WHERE abs(f.quantity * coalesce(f.pprice, 0) + f.quantity * coalesce(t.addon_total, 0)) < 10000000000""")
 
 SQL["price_sales_rejects"] = with_tables("products addons sale_requests", _PRICING + """
-SELECT request_id, 'Duplicate key.' AS reason FROM sale_requests
-WHERE request_id IN (SELECT request_id FROM rep)
+SELECT request_id, 'Duplicate key.' AS reason FROM rep
+UNION ALL
+SELECT f.request_id, 'Total out of range.' AS reason FROM fnd f LEFT JOIN tot t ON t.request_id = f.request_id
+WHERE abs(f.quantity * coalesce(f.pprice, 0) + f.quantity * coalesce(t.addon_total, 0)) >= 10000000000
 UNION ALL
 SELECT request_id, 'Invalid product or quantity.' AS reason FROM uniq
 WHERE NOT coalesce(product_id > 0 AND quantity > 0, false)
@@ -437,8 +449,9 @@ FROM sales s LEFT JOIN (SELECT DISTINCT sale_id FROM cancel_requests) c ON c.sal
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _VOIDS = """,
-  vrep AS (SELECT seq FROM void_requests GROUP BY seq HAVING count(*) > 1),
-  vok AS (SELECT * FROM void_requests WHERE sale_id > 0 AND sale_id IN (SELECT sales_id FROM sales)
+  von AS (SELECT DISTINCT * FROM void_requests),
+  vrep AS (SELECT seq FROM von GROUP BY seq HAVING count(*) > 1),
+  vok AS (SELECT * FROM von WHERE sale_id > 0 AND sale_id IN (SELECT sales_id FROM sales)
           AND seq NOT IN (SELECT seq FROM vrep))
 """
 
@@ -453,9 +466,10 @@ SELECT seq AS void_id, sale_id, trim(coalesce(reason, ''), {_TRIM}) AS reason, v
                                      alias={"sales": "sales_b"})
 
 SQL["apply_voids_rejects"] = with_tables("sales void_requests", """,
-  vrep AS (SELECT seq FROM void_requests GROUP BY seq HAVING count(*) > 1),
-  v AS (SELECT * FROM void_requests WHERE seq NOT IN (SELECT seq FROM vrep))
-SELECT seq, sale_id, 'Duplicate key.' AS reason FROM void_requests WHERE seq IN (SELECT seq FROM vrep)
+  von AS (SELECT DISTINCT * FROM void_requests),
+  vrep AS (SELECT seq FROM von GROUP BY seq HAVING count(*) > 1),
+  v AS (SELECT * FROM von WHERE seq NOT IN (SELECT seq FROM vrep))
+SELECT seq, CAST(NULL AS BIGINT) AS sale_id, 'Duplicate key.' AS reason FROM vrep
 UNION ALL
 SELECT seq, sale_id, 'Invalid sale.' AS reason FROM v WHERE NOT coalesce(sale_id > 0, false)
 UNION ALL
@@ -492,7 +506,9 @@ def _upsert_sql(base: str, changes: str, key: str, vals: list[str], cast_base: d
   cv AS (SELECT *, CASE WHEN {key} IS NULL THEN 'Missing key.'
                         WHEN op NOT IN ('insert', 'update') THEN 'Unknown operation.'
                         {bad_case} END AS bad FROM ch),
-  c AS (SELECT * FROM cv WHERE bad IS NULL),
+  cd AS (SELECT DISTINCT * FROM cv WHERE bad IS NULL),
+  clash AS (SELECT {key}, seq FROM cd GROUP BY {key}, seq HAVING count(*) > 1),
+  c AS (SELECT * FROM cd WHERE ({key}, seq) NOT IN (SELECT ({key}, seq) FROM clash)),
   fi AS (SELECT {key}, min(seq) AS first_insert FROM c WHERE op = 'insert' GROUP BY {key}),
   ck AS (SELECT c.*, fi.first_insert, b.{key} IS NOT NULL AS in_base
          FROM c LEFT JOIN fi USING ({key})
@@ -533,6 +549,8 @@ WHERE l.{key} IN (SELECT {key} FROM ins)"""
     rejects_sql = common + f"""
 SELECT seq, {key} AS key, bad AS reason FROM cv WHERE bad IS NOT NULL
 UNION ALL
+SELECT seq, {key} AS key, 'Repeated change number.' AS reason FROM clash
+UNION ALL
 SELECT seq, {key} AS key, CASE WHEN op = 'insert' THEN 'Duplicate key.'
                               ELSE 'No such row; nothing changed.' END AS reason
 FROM ck2 WHERE NOT applies"""
@@ -632,7 +650,7 @@ SELECT {_ING},
             WHEN stock <= low_stock_threshold THEN 'low'
             WHEN stock <= low_stock_threshold * 3 THEN 'mid' ELSE 'high' END AS level,
        CAST(least(100, {_half_up_div(_PCT_NUM, _PCT_DEN)}) AS BIGINT) AS fill_pct,
-       (image IS NOT NULL AND image != '') AS has_image
+       {_HAS_IMAGE} AS has_image
 FROM ingredients WHERE stock <= low_stock_threshold""")
 SQL["inventory_report_bad"] = _inventory_report("cls = 'badge-bad'")
 
@@ -657,3 +675,54 @@ SQL["report_summary_no_filter"] = with_tables("sales", f"""
 SELECT {_money('coalesce(sum(total), 0)')} AS total_sales,
        CAST(count(*) AS BIGINT) AS total_transactions
 FROM sales WHERE status = 'Completed' AND {_DATE_EQ_A}""")
+
+
+# --- Edge rows --------------------------------------------------------------------------
+CTES["products_mixed"] = f"""
+      SELECT product_id, CASE WHEN product_id % 3 = 0 THEN upper(product_name) ELSE product_name END AS product_name,
+             category, price, status, image FROM ({CTES['products']})"""
+CTES["ingredients_edge"] = f"""
+      SELECT * REPLACE (CASE WHEN ingredient_id % 7 = 0 THEN '0' ELSE image END AS image,
+                        CASE WHEN ingredient_id % 9 = 0 THEN 2147483647 ELSE low_stock_threshold END::BIGINT AS low_stock_threshold)
+      FROM ({CTES['ingredients']})"""
+CTES["sale_requests_repeated"] = f"""
+      SELECT * FROM ({CTES['sale_requests']})
+      UNION ALL
+      SELECT r.* REPLACE (CAST(CASE WHEN e.event_type = 'error' THEN r.quantity + 1 ELSE r.quantity END AS INTEGER) AS quantity)
+      FROM ({CTES['sale_requests']}) r JOIN events e ON e.event_id = r.request_id
+      WHERE e.event_type IN ('purchase', 'error')"""
+CTES["product_changes_repeated"] = f"""
+      SELECT * REPLACE (CASE WHEN seq % 4 < 2 THEN CAST(floor(seq / 2) AS BIGINT) ELSE seq + 1000000000 END AS seq)
+      FROM (SELECT * FROM ({CTES['product_changes']}) UNION ALL
+            SELECT * FROM ({CTES['product_changes']}) WHERE seq % 5 = 0)"""
+
+
+def _on(sql: str, name: str, other: str) -> str:
+    """``sql`` with the table ``name`` built as ``other``."""
+    return sql.replace(f"{name} AS ({CTES[name]})", f"{name} AS ({CTES[other]})")
+
+
+SQL["sales_list_backslash"] = _sales_list("strip_accents(lower(s.product_name)) LIKE '%bolt%'")
+SQL["product_search_backslash"] = with_tables("products", f"""
+SELECT {_PRODUCT_COLS} FROM products WHERE contains(strip_accents(lower(product_name)), 'ring')""")
+SQL["sales_list_without_products"] = _sales_list("1=1", "sales_id % 3 = 0")
+SQL["stock_cards_edge"] = _on(SQL["stock_cards"], "ingredients", "ingredients_edge")
+SQL["stock_status_edge"] = _on(SQL["stock_status"], "ingredients", "ingredients_edge")
+SQL["sellable_products_mixed_case"] = _on(SQL["sellable_products"], "products", "products_mixed")
+SQL["menu_pages_mixed_case"] = _on(SQL["menu_pages"], "products", "products_mixed").replace("rn / 25", "rn / 7").replace(
+    "ORDER BY product_name NULLS FIRST", "ORDER BY lower(strip_accents(product_name)) NULLS FIRST, product_name NULLS FIRST")
+SQL["price_sales_repeated"] = _on(SQL["price_sales_accepted"], "sale_requests", "sale_requests_repeated")
+SQL["price_sales_repeated_rejects"] = _on(SQL["price_sales_rejects"], "sale_requests", "sale_requests_repeated")
+SQL["upsert_products_repeated_seq"] = _on(SQL["upsert_products"], "product_changes", "product_changes_repeated")
+SQL["upsert_products_repeated_rejects"] = _on(SQL["upsert_products_rejects"], "product_changes", "product_changes_repeated")
+SQL["append_audit_no_reset"] = with_tables("audit_logs audit_entries", """
+SELECT * FROM audit_logs UNION ALL SELECT * FROM audit_entries WHERE action <> 'Reset Logs'""")
+SQL["daily_sales_windows_changed"] = with_tables("sales", f""",
+  now AS (SELECT s.created_at, s.total, CASE WHEN e.event_type = 'click' THEN 'Cancelled' ELSE s.status END AS status,
+                 e.event_type = 'signup' AS gone
+          FROM sales s JOIN events e ON e.event_id = s.sales_id)
+SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day,
+       {_money('coalesce(sum(total) FILTER (NOT gone), 0)')} AS total, CAST(count(*) FILTER (NOT gone) AS BIGINT) AS orders,
+       {_money("coalesce(sum(total) FILTER (NOT gone AND status = 'Completed'), 0)")} AS completed_total,
+       CAST(count(*) FILTER (NOT gone AND status = 'Completed') AS BIGINT) AS completed_orders
+FROM now WHERE created_at IS NOT NULL GROUP BY CAST(created_at AS DATE)""", alias={"sales": "sales_b"})

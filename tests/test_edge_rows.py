@@ -1,11 +1,14 @@
 """Operators on the invented edge rows of FIXTURES.md §2."""
+import datetime as dt
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import periods as P
+from tallyspark import schemas as S
 from tallyspark.operators import catalog, changes, inventory, kpis, rankings, sales_views
+from tallyspark.sources.tables import conform
 
 
 def one(df):
@@ -85,7 +88,8 @@ def test_sales_list_unit_price_and_badges(edge, spark):
     assert by_id[8].unit_price == Decimal("0.00") and by_id[8].badge == "pending"
     assert by_id[3].unit_price == Decimal("15.00")
     assert by_id[2].badge == "cancelled" and by_id[4].badge == "void"
-    assert by_id[1].addons[0].n == 2 and by_id[5].addons == []
+    assert len(by_id[1].addons) == 2 and by_id[5].addons == []
+    assert by_id[1].can_cancel and by_id[1].has_image and not by_id[2].can_cancel and not by_id[5].has_image
     assert rows[-1].sales_id == 9          # NULL time sorts last
     assert by_id[6].product_category is None
     with pytest.raises(ValueError):
@@ -224,15 +228,14 @@ def test_top_k_survives_callers_limit(spark):
 
 
 def test_price_sales_repeated_request_id(edge, spark):
-    from tallyspark import schemas as S
     req = spark.createDataFrame([
-        (1, 10, 2, [1], None), (1, 10, 2, [1], None),   # identical copies
+        (1, 10, 2, [1], None), (1, 10, 2, [], None),    # copies that differ
         (2, 11, 1, [], None),
     ], S.SALE_REQUESTS)
     res = changes.price_sales(req, edge["products"], edge["addons"])
     assert [r.sales_id for r in res.accepted.collect()] == [2]
     rej = sorted((r.request_id, r.reason) for r in res.rejects.collect())
-    assert rej == [(1, "Duplicate key."), (1, "Duplicate key.")]
+    assert rej == [(1, "Duplicate key.")]     # one row per id whose copies differ
     assert res.addon_rows.count() == 0
 
 
@@ -246,7 +249,7 @@ def test_void_repeated_seq_rejected(edge, spark):
     log = spark.createDataFrame([], S.SALES_VOID)
     res = changes.apply_voids(edge["sales"], log, voids)
     rej = sorted((r.seq, r.reason) for r in res.rejects.collect())
-    assert rej == [(1, "Duplicate key."), (1, "Duplicate key."), (3, "Invalid sale."), (4, "Unknown sale.")]
+    assert rej == [(1, "Duplicate key."), (3, "Invalid sale."), (4, "Unknown sale.")]
     assert [(r.void_id, r.sale_id, r.reason) for r in res.sales_void.collect()] == [(2, 3, "c")]
     status = {r.sales_id: r.status for r in res.sales.collect()}
     assert status[3] == "VOID" and status[1] == "Completed"
@@ -317,3 +320,80 @@ def test_append_audit_without_reset_keeps_old_log(spark):
     assert sorted(r.log_id for r in audit.append_audit(logs, reset).collect()) == [3, 4]
     top = audit.recent_audit_logs(audit.append_audit(logs, entries), n=1).collect()
     assert [r.log_id for r in top] == [2]
+
+
+@pytest.mark.parametrize("term,names", [
+    ("a\\b", ["xaby"]), ("\\%", ["5% up"]), ("5\\", []), ("\\\\", ["c\\d"]), ("a\\\\b", []), ("_p", ["5% up"]),
+    ("ech", ["Bánh ếch"]), ("e_h", ["Bánh ếch"]), ("ẾCH", ["Bánh ếch"]), ("e\u0301_h", ["Bánh ếch"]), ("%B%ec", ["Bánh ếch"])])
+def test_search_terms(spark, term, names):
+    """Escapes and accents, with and without wildcards."""
+    rows = [(i, n, None, None, "Available", None) for i, n in enumerate(["xaby", "5% up", "c\\d", "Bánh ếch"])]
+    found = catalog.product_search(spark.createDataFrame(rows, S.PRODUCTS), search=term).collect()
+    assert [r.product_name for r in found] == names
+
+
+def test_identical_repeats_count_once(spark, edge):
+    t = dt.datetime(2030, 5, 15)
+    req = spark.createDataFrame([(1, 10, 2, [1], t), (1, 10, 2, [1], t), (2, 10, 1, None, t), (2, 10, 3, None, t)], S.SALE_REQUESTS)
+    req = req.union(req.limit(1).select(F.lit(None).cast("long"), *req.columns[1:]))
+    res = changes.price_sales(req, edge["products"], edge["addons"])
+    assert [(r.sales_id, r.quantity) for r in res.accepted.collect()] == [(1, 2)]
+    assert sorted((r.request_id or 0, r.reason) for r in res.rejects.collect()) == [(0, "Missing key."), (2, "Duplicate key.")]
+
+
+def test_repeated_change_numbers_are_reported(spark, edge):
+    rows = [(5, "insert", 9, "A", Decimal("1.00"), "c", "Available", None), (5, "insert", 9, "B", Decimal("1.00"), "c", "Available", None),
+            (6, "insert", 8, "C", Decimal("2.00"), "c", "available", None), (6, "insert", 8, "C", Decimal("2.00"), "c", "available", None)]
+    out = changes.upsert_products(edge["products"], spark.createDataFrame(rows, S.PRODUCT_CHANGES))
+    new = [(r.product_id, r.product_name, r.status) for r in out.table.filter("product_id < 10").collect()]
+    assert new == [(8, "C", "Available")]
+    assert [(r.seq, r.key, r.reason) for r in out.rejects.collect()] == [(5, 9, "Repeated change number.")]
+
+
+def test_totals_beyond_the_column_are_rejected(spark, edge):
+    big = spark.createDataFrame([(1, "x", "c", Decimal("9999999999.00"), "Available", None)], S.PRODUCTS)
+    req = spark.createDataFrame([(1, 1, 2, None, dt.datetime(2030, 5, 15)), (2, 1, 1, None, dt.datetime(2030, 5, 15))], S.SALE_REQUESTS)
+    res = changes.price_sales(req, big, edge["addons"])
+    assert [r.sales_id for r in res.accepted.collect()] == [2]
+    assert [(r.request_id, r.reason) for r in res.rejects.collect()] == [(1, "Total out of range.")]
+
+
+def test_large_limits_and_image_zero(spark):
+    rows = [(1, "i", 5, 2 ** 31 - 1, "u", "0"), (2, "j", 2 ** 31 - 1, 2 ** 30, "u", "x.png")]
+    ing = spark.createDataFrame(rows, S.INGREDIENTS)
+    cards = {r.ingredient_id: r for r in inventory.stock_cards(ing).collect()}
+    assert not cards[1].has_image and cards[2].has_image and cards[1].level == "low" and cards[2].level == "mid"
+    assert inventory.stock_status(ing).count() == 2 and inventory.inventory_report(ing).count() == 2
+    assert [r.ingredient_id for r in inventory.ingredient_search(ing, stock_level="mid").collect()] == [2]
+
+
+def test_names_sort_without_case_and_accents(spark):
+    rows = [(i, n, "c", Decimal("1.00"), "available", None) for i, n in enumerate(["Banana", "apple", "Éclair", "date", "cherry"])]
+    p = conform(spark.createDataFrame(rows, S.PRODUCTS), "products")
+    want = ["apple", "Banana", "cherry", "date", "Éclair"]
+    assert [r.product_name for r in catalog.sellable_products(p).collect()] == want
+    pages = catalog.menu_pages(p, page_size=2).collect()
+    assert [x.product_name for r in pages for x in r.items] == want
+
+
+def test_filter_tags():
+    from tallyspark.functions.labels import filter_tag
+    assert [filter_tag(x) for x in ("badge-bad", "badge-mid", "badge-good", "odd")] == ["Low", "Medium", "Good", "odd"]
+
+
+def test_export_folder_stays_inside(edge, tmp_path):
+    from tallyspark.plans import export
+    out = export.export_report(edge["sales"], "2030-05-15", "/../../other", str(tmp_path))
+    assert out == str(tmp_path / "Report_All_2030-05-15")
+
+
+def test_attach_refuses_managed_tables_and_odd_names(spark):
+    from tallyspark.sources.tables import attach_bucketed
+    spark.range(1).write.mode("overwrite").saveAsTable("tally_managed")
+    try:
+        for name in ("tally_managed", "a; DROP TABLE x", "a b"):
+            with pytest.raises(ValueError):
+                attach_bucketed(spark, name, "/nowhere", "sales", 4)
+        assert spark.table("tally_managed").count() == 1
+    finally:
+        spark.sql("DROP TABLE tally_managed")

@@ -1,8 +1,5 @@
-"""Batch jobs: committed outputs merge on read to the operators' results."""
+"""Batch outputs are plain Parquet partitions, written once per batch."""
 import os
-import tempfile
-
-from pyspark.sql import functions as F
 
 from tallyspark.operators import changes
 from tallyspark.plans import jobs
@@ -16,79 +13,53 @@ def same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_status_batches_merge_on_read(spark):
-    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
-    sales, log = D.sales_b(spark, SF), D.sales_void(spark, SF)
+def shop(spark):
+    return ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
+
+
+def test_sale_batches(spark, tmp_path):
+    root, t, req = str(tmp_path), shop(spark), D.sale_requests(spark, SF)
+    first, second = req.filter("request_id % 2 = 0"), req.filter("request_id % 2 = 1")
+    jobs.run_sale_batch(t, first, root, 1)
+    jobs.run_sale_batch(t, second, root, 2)
+    want = changes.price_sales(req, t.products, t.addons)
+    got = {name: jobs.read_batches(spark, root, name).drop("batch") for name in ("new_sales", "new_sale_addons", "sale_rejects")}
+    assert same(got["new_sales"], want.accepted) and same(got["new_sale_addons"], want.addon_rows)
+    assert same(got["sale_rejects"], want.rejects)
+
+
+def test_a_batch_run_again_replaces_itself_only(spark, tmp_path):
+    root, t, req = str(tmp_path), shop(spark), D.sale_requests(spark, SF)
+    jobs.run_sale_batch(t, req.filter("request_id % 2 = 0"), root, 1)
+    jobs.run_sale_batch(t, req.filter("request_id % 2 = 1"), root, 2)
+    before = jobs.read_batches(spark, root, "new_sales").groupBy("batch").count().collect()
+    jobs.run_sale_batch(t, req.filter("request_id % 2 = 1"), root, 2)
+    assert sorted(jobs.read_batches(spark, root, "new_sales").groupBy("batch").count().collect()) == sorted(before)
+
+
+def test_a_failing_retry_leaves_the_batch(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+    root = str(tmp_path)
+    good = spark.range(5)
+    jobs.write_batch(good, root, "x", 1)
+    with pytest.raises(Exception):
+        jobs.write_batch(good.select(F.raise_error(F.lit("no")).cast("long").alias("id")), root, "x", 1)
+    assert jobs.read_batches(spark, root, "x").count() == 5 and os.listdir(os.path.join(root, "x"))
+
+
+def test_status_batch_flags_apply_in_one_join(spark, tmp_path):
+    root, t = str(tmp_path), shop(spark)
     cancels, voids = D.cancel_requests(spark, SF), D.void_requests(spark, SF)
-    # Two batches: cancels first, then voids.
-    jobs.run_status_batch(spark, sales, log, cancels, voids.limit(0), root, 1)
-    cur = jobs.current_sales(spark, sales, root)
-    jobs.run_status_batch(spark, cur, log, None, voids, root, 2)
-    merged = jobs.current_sales(spark, sales, root)
-    expected = changes.apply_status_changes(sales, cancels, voids)
-    assert same(merged, expected)
-    assert list(jobs.committed_batches(spark, root)) == [1, 2]
-    full_log = jobs.current_log(spark, log, root, "sales_void")
-    assert full_log.count() == changes.apply_voids(sales, log, voids).sales_void.count()
-
-
-def test_uncommitted_batch_is_invisible(spark):
-    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
-    sales = D.sales_b(spark, SF)
-    jobs.commit_batch(spark, root, 1, {"status_changes": sales.select("sales_id", F.lit("VOID").alias("status"))})
-    # A second run that died before its marker: folder exists, no marker.
-    sales.select("sales_id", F.lit("Cancelled").alias("status")).write.parquet(
-        os.path.join(root, "batches", f"{2:012d}", "status_changes"))
-    cur = jobs.current_sales(spark, sales, root)
-    assert cur.filter(F.col("status") != "VOID").count() == 0
-
-
-def test_sale_and_catalog_batches(spark):
-    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
-    t = ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
-    req = D.sale_requests(spark, SF)
-    rejects = jobs.run_sale_batch(spark, t, req, root, 1)
-    priced = changes.price_sales(req, t.products, t.addons)
-    cur = jobs.current_sales(spark, t.sales, root)
-    assert cur.count() == t.sales.count() + priced.accepted.count()
-    assert rejects.count() == priced.rejects.count()
-    new_products = jobs.run_catalog_batch(spark, t.products, D.product_changes(spark, SF),
-                                          D.product_deletes(spark, SF), root, 2)
-    up = changes.upsert_products(t.products, D.product_changes(spark, SF)).table
-    exp = changes.delete_products(up, t.sales, D.product_deletes(spark, SF)).products
-    assert same(new_products, exp)
-    cur = jobs.current_sales(spark, t.sales, root)
-    gone = [r.product_id for r in D.product_deletes(spark, SF).distinct().collect()]
-    assert cur.filter(F.col("product_id").isin(gone)).count() == 0
-
-
-def test_compaction_folds_batches(spark):
-    from tallyspark.sources.tables import read_table
-    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
-    t = ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
-    jobs.run_sale_batch(spark, t, D.sale_requests(spark, SF).filter("created_at < timestamp_ntz'2024-01-15 00:00:00'"), root, 1)
-    cur = jobs.current_sales(spark, t.sales, root)
-    jobs.run_status_batch(spark, cur, D.sales_void(spark, SF), D.cancel_requests(spark, SF),
-                          D.void_requests(spark, SF), root, 2)
-    view = jobs.current_sales(spark, t.sales, root)
-    out = tempfile.mkdtemp(prefix="tallyspark-compact-")
-    last = jobs.compact_sales(spark, t.sales, root, out)
-    assert last == 2
-    new_base = read_table(spark, out, "sales")
-    after = jobs.current_sales(spark, new_base, root, after_batch=last)
-    cols = view.columns
-    assert same(after.select(*cols), view)
-    # A later batch still applies on top of the compacted base.
-    jobs.run_status_batch(spark, after, D.sales_void(spark, SF), D.cancel_requests(spark, SF),
-                          D.void_requests(spark, SF), root, 3)
-    assert jobs.current_sales(spark, new_base, root, after_batch=last).count() == view.count()
-
-
-def test_sale_batch_rejects_existing_ids_when_asked(spark):
-    root = tempfile.mkdtemp(prefix="tallyspark-jobs-")
-    t = ShopTables(sales=D.sales_b(spark, SF), products=D.products(spark, SF), addons=D.addons(spark, SF))
-    req = D.sale_requests(spark, SF)       # its ids are the event ids, all taken
-    rejects = jobs.run_sale_batch(spark, t, req, root, 1, check_existing=True)
-    assert rejects.count() == req.count()
-    assert rejects.filter(F.col("reason") == "Duplicate key.").count() == req.count()
-    assert jobs.current_sales(spark, t.sales, root).count() == t.sales.count()
+    jobs.run_status_batch(t, cancels, voids, root, 7)
+    flags = jobs.read_batches(spark, root, "status_flags").drop("batch")
+    assert same(changes.with_status(t.sales, flags), changes.apply_status_changes(t.sales, cancels, voids))
+    log = D.sales_void(spark, SF)
+    assert log.count() + jobs.read_batches(spark, root, "void_log").count() == changes.apply_voids(t.sales, log, voids).sales_void.count()
+
+
+def test_catalog_batch(spark, tmp_path):
+    root = str(tmp_path)
+    jobs.run_catalog_batch(D.products(spark, SF), D.product_changes(spark, SF), root, 3)
+    want = changes.upsert_products(D.products(spark, SF), D.product_changes(spark, SF))
+    assert same(jobs.read_batches(spark, root, "products").drop("batch"), want.table)

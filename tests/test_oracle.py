@@ -8,10 +8,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from tallyspark.plans.queries import REGISTRY  # noqa: E402
 from compare_oracle import compare_rows, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(REGISTRY)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(REGISTRY) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -51,22 +51,52 @@ def test_image_ranking_is_inner_join_and_top_k(stored):
     assert "TakeOrderedAndProject" in text
 
 
-def test_completed_ranking_never_shuffles_the_catalogue(stored):
-    sales, products = stored
-    text = formatted(rankings.top_products_completed(sales, products, D.AS_OF_A, P.MONTHLY))
-    # Both uses of the top k read one checkpointed computation.
-    assert "LeftSemi" in text and text.count("Scan ExistingRDD") >= 2
-    # The only Parquet scan left in this plan is the catalogue's: the sales
-    # period is scanned once, inside the checkpointed top k.
+def scans(df, table):
+    text = formatted(df)
     import re
-    scans = re.findall(r"^\(\d+\) Scan parquet.*$\n.*\n.*\nLocation: .*$", text, flags=re.M)
-    assert len(scans) == 1 and "products" in scans[0]
-    agg = rankings._sales_by_product(sales, D.AS_OF_A, P.MONTHLY, "Completed", "qty_sold")
-    assert "TakeOrderedAndProject" in formatted(rankings._top(agg, "qty_sold", 10))
-    # The products scan is filtered by a broadcast semi-join with the top-k
-    # ids before anything else; the catalogue is never sort-merge joined.
-    assert "SortMergeJoin" not in text
-    assert "BroadcastHashJoin LeftSemi BuildRight" in text
+    return len([x for x in re.findall(r"^\(\d+\) Scan parquet.*$\n.*\n.*\nLocation: .*$", text, flags=re.M) if f"/{table}" in x])
+
+
+def test_completed_ranking_takes_the_top_before_the_join(stored):
+    sales, products = stored
+    df = rankings.top_products_completed(sales, products, D.AS_OF_A, P.MONTHLY)
+    text = formatted(df)
+    assert text.count("TakeOrderedAndProject") >= 2 and "LeftOuter" in text
+    assert scans(df, "sales") == 1 and scans(df, "products") == 1
+
+
+def test_building_pages_starts_no_job(spark, stored):
+    from tallyspark.operators import catalog
+    from tallyspark.plans import pages
+    from tallyspark.sources.tables import ShopTables
+    sales, products = stored
+    t = ShopTables(sales=sales, products=products, ingredients=D.ingredients(spark, SF), sale_addons=D.sale_addons(spark, SF))
+    sc = spark.sparkContext
+    sc.setJobGroup("build-only", "")
+    try:
+        pages.report(t, D.AS_OF_A, filter_name="monthly")
+        catalog.menu_pages(products)
+        assert list(sc.statusTracker().getJobIdsForGroup("build-only")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_status_jobs_read_and_join_sales_once(spark, stored):
+    sales, _ = stored
+    cancels, voids = D.cancel_requests(spark, SF), D.void_requests(spark, SF)
+    log = D.sales_void(spark, SF)
+    for df in (changes.apply_status_changes(sales, cancels, voids), changes.apply_voids(sales, log, voids).sales,
+               changes.apply_cancellations(sales, cancels)):
+        assert scans(df, "sales") == 1
+        assert formatted(df).count("Join type: LeftOuter") == 1
+
+
+def test_kpi_queries_read_one_table(spark):
+    from tallyspark.plans.queries import REGISTRY
+    for name in ("daily_total_any_status", "dashboard_kpis", "report_kpis_monthly", "report_summary_weekly", "completed_totals",
+                 "sale_badges", "daily_sales_windows", "export_summary_monthly"):
+        text = formatted(REGISTRY[name](spark, SF))
+        assert "Join" not in text, name
 
 
 def test_month_function_would_not_push(spark, stored):

@@ -90,7 +90,7 @@ def test_hot_category_menu_pages_are_bounded(spark):
     from tallyspark.operators import catalog
     products = D.products(spark, SF).withColumn(
         "category", F.when(F.col("product_id") % 10 < 8, F.lit("HOT")).otherwise(F.col("category")))
-    pages = catalog.menu_pages(products, page_size=40, partitions=16)
+    pages = catalog.menu_pages(products, page_size=40)
     sizes = pages.select("category", "page", F.size("items").alias("n")).collect()
     assert max(r.n for r in sizes) <= 40
     hot = sorted(r.page for r in sizes if r.category == "HOT")
@@ -106,9 +106,8 @@ def test_hot_category_menu_pages_are_bounded(spark):
     assert names == sorted(names)
 
 
-def test_menu_pages_exact_when_range_bounds_are_sampled(spark):
-    """At sf0.1 the range partitioner samples (data > sample size); counts
-    and numbering must still agree, so pages equal the SQL definition."""
+def test_menu_pages_exact_over_many_shelves(spark):
+    """At sf0.1 shelf sizes and numbering agree: pages equal the SQL definition."""
     import os
     import sys
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
