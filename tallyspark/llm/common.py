@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,20 @@ from tallyspark.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from its folder,
+    wherever the driver was started. A cluster ships the package as usual."""
+    environment = spark.sparkContext.environment
+    known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
