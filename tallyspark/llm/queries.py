@@ -20,12 +20,12 @@ def register(name, sql=None):
     return put
 
 
-@register("op1_repetition")
+@register("op1_repetition", repetition.SQL)
 def op1(spark, sf_dir):
     return repetition.repetition(read(spark, sf_dir, "documents"))
 
 
-@register("op2_suffix_dedup")
+@register("op2_suffix_dedup", suffix_dedup.SQL)
 def op2(spark, sf_dir):
     out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -187,3 +187,50 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = f"doc_id {chosen.schema[0].dataType.simpleString()}, " + ", ".join(
         f"{c} {k}" for c, k in zip(COLUMNS + SHARES, kinds))
     return chosen.mapInArrow(_run, schema)
+
+
+def _sql() -> str:
+    lead = lambda n: ", ".join(["w", *[f"lead(w, {j}) OVER d" for j in range(1, n)]])
+    lengths = (3, *NGRAM_LIMITS)
+    grams = ",\n  ".join(f"CASE WHEN i + {n - 1} <= nw THEN concat_ws(' ', {lead(n)}) END AS g{n}" for n in lengths)
+    seen = ",\n  ".join(
+        f"CASE WHEN g{n} IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, g{n}) END AS c{n}, "
+        f"CASE WHEN g{n} IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) END AS r{n}" for n in lengths)
+    inside = ",\n  ".join(
+        f"max(CASE WHEN {'c3' if n == 3 else f'r{n}'} > 1 THEN 1 ELSE 0 END) OVER "
+        f"(PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS x{n}" for n in lengths)
+    shares = ", ".join(f"sum(len(w) * x{n}) AS y{n}" for n in NGRAM_LIMITS)
+    out = ",\n  ".join(f"coalesce(y{n}, 0) / greatest(word_chars, 1) AS share_{n}" for n in NGRAM_LIMITS)
+    within = " AND ".join(f"share_{n} <= {m}" for n, m in NGRAM_LIMITS.items())
+    word, space = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS nw FROM d),
+g AS (SELECT doc_id, w, i,
+  {grams}
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *,
+  {seen} FROM g),
+x AS (SELECT doc_id, w,
+  {inside} FROM c),
+per AS (SELECT doc_id, CAST(sum(x3) AS BIGINT) AS n_repeat_words, {shares} FROM x GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l1 AS (SELECT doc_id, len(regexp_replace(line, '{space}', '', 'g')) AS chars,
+              row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
+       FROM l0 WHERE regexp_matches(line, '{word}')),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS dup, sum(chars) FILTER (again) AS dup_chars FROM l1 GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+m AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words,
+  {out},
+  coalesce(dup, 0) / greatest(coalesce(n_lines, 0), 1) AS share_lines,
+  coalesce(dup_chars, 0) / greatest(word_chars, 1) AS share_line_chars
+  FROM base LEFT JOIN per USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND share_lines <= {LINE_LIMIT} AND share_line_chars <= {LINE_CHARS_LIMIT} AND {within} AS kept FROM f
+"""
+
+
+# The same in SQL, for tables whose doc_id is unique.
+SQL = _sql()

@@ -344,3 +344,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.join(ranges, F.col("key") == F.col("k"), "left").select("rest", "text", "ranges")
     rest = joined.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(_removed, f"rest {rest}, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+# The same in SQL over hexadecimal text, for tables whose doc_id is unique.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+part AS (SELECT doc_id, n, k, substr(h, CAST(1024 * k + 1 AS BIGINT), {1024 + 2 * LENGTH - 2}) AS g
+         FROM (SELECT *, unnest(range(0, (n + 511) // 512)) AS k FROM d WHERE n >= {LENGTH})),
+p AS (SELECT doc_id, 512 * k + j AS i, md5(substr(g, CAST(2 * j + 1 AS BIGINT), {2 * LENGTH})) AS m
+      FROM part, range(0, 512) o(j) WHERE 512 * k + j + {LENGTH} <= n),
+s AS (SELECT doc_id, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
+t AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM s),
+u AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM t),
+r AS (SELECT doc_id, run, min(i) AS b, max(i) + {LENGTH} AS e FROM u GROUP BY doc_id, run),
+k AS (SELECT doc_id, run, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a FROM r),
+j AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY run) AS before,
+             max(e) AS e, sum(e - b) AS gone, count(*) AS runs FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(before, '') || substr(h, CAST(2 * coalesce(e, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""

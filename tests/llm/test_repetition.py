@@ -64,3 +64,7 @@ def test_repeats_survives_key_collisions():
 
 def test_empty_table(no_docs):
     assert R.repetition(no_docs).count() == 0
+
+
+def test_against_sql(sf_docs, oracle, same):
+    same(R.repetition(sf_docs), oracle(R.SQL, sf_docs.select("doc_id", "text")))

@@ -104,3 +104,8 @@ def test_other_columns_stay(edge_docs, no_docs):
     out = S.remove_repeats(edge_docs)
     assert out.select("rest.*").columns == [c for c in edge_docs.columns if c != "text"]
     assert S.remove_repeats(no_docs).count() == 0
+
+
+def test_against_sql(sf_docs, oracle, same):
+    got = S.remove_repeats(sf_docs).select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    same(got, oracle(S.SQL, sf_docs.select("doc_id", "text")))
