@@ -147,6 +147,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
         reach = np.sort([g.r + apart[i, r.cell] + r.d for r in near])
         # One more than k, as the query itself may be among them.
         bound[i] = (reach[k] if len(reach) > k else np.inf) + slack
+    # Small cells' queries are solved together: neighbouring cells share a group
+    # of up to query_block queries, so candidates travel to fewer groups.
+    members: list[list[int]] = []
+    for c in sorted(groups, key=lambda c: (apart[0, c], c)):
+        if members and sum(groups[i].n for i in members[-1]) + groups[c].n <= query_block:
+            members[-1].append(c)
+        else:
+            members.append([c])
+    group_of = {c: g for g, cells in enumerate(members) for c in cells}
+    pieces_of = [-(-sum(groups[c].n for c in cells) // query_block) for cells in members]
     n_data = x.count()
     blocks = max(1, -(-n_data // data_block))
 
@@ -154,20 +164,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
         for b in batches:
             cell, d = b["cell"].to_numpy(), b["d"].to_numpy()
             part = _dealt(b["id"].to_numpy(), blocks)
-            for i, g in groups.items():
-                # Triangle inequality over both pivots.
-                least = np.maximum(apart[i, cell] - d, d - apart[i, cell]) - g.r
-                need = np.flatnonzero(least <= bound[i])
-                for piece in range(-(-g.n // query_block)):
-                    yield pd.DataFrame({"task": f"{i}-{piece}-" + pd.Series(part[need].astype(str)), "id": b["id"].to_numpy()[need],
+            for g, cells in enumerate(members):
+                need = np.zeros(len(b), bool)
+                for i in cells:
+                    # Triangle inequality over both pivots.
+                    need |= np.maximum(apart[i, cell] - d, d - apart[i, cell]) - groups[i].r <= bound[i]
+                need = np.flatnonzero(need)
+                for piece in range(pieces_of[g]):
+                    yield pd.DataFrame({"task": f"{g}-{piece}-" + pd.Series(part[need].astype(str)), "id": b["id"].to_numpy()[need],
                                         "v": b["v"].to_numpy()[need], "asks": False})
 
     def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pieces = np.array([-(-groups[c].n // query_block) for c in b["cell"]], dtype=np.int64)
-            piece = _dealt(b["id"].to_numpy(), pieces)
+            group = np.array([group_of[c] for c in b["cell"]], dtype=np.int64)
+            piece = _dealt(b["id"].to_numpy(), np.array(pieces_of)[group])
             for part in range(blocks):
-                yield pd.DataFrame({"task": [f"{c}-{p}-{part}" for c, p in zip(b["cell"], piece)], "id": b["id"], "v": b["v"], "asks": True})
+                yield pd.DataFrame({"task": [f"{g}-{p}-{part}" for g, p in zip(group, piece)], "id": b["id"], "v": b["v"], "asks": True})
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy()
