@@ -119,7 +119,7 @@ def main() -> None:
     def run(df):
         df.write.format("noop").mode("overwrite").save()
 
-    timings = {}
+    timings, spread = {}, {}
     for name, build in plans.items():
         run(build())  # warm-up: file listing, code generation
         runs = []
@@ -128,6 +128,7 @@ def main() -> None:
             run(build())
             runs.append(time.perf_counter() - s)
         timings[name] = round(statistics.median(runs), 4)
+        spread[name] = [round(min(runs), 4), round(max(runs), 4)]
 
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
@@ -138,6 +139,8 @@ def main() -> None:
         "load_seconds": round(load_seconds, 3),
         "cpus": CPUS,
         "runs": RUNS,
+        "spread": spread,
+        "machine": {"cores": os.cpu_count(), "memory_gb": round(os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2 ** 30, 1)},
     }))
     spark.stop()
 
