@@ -24,19 +24,20 @@ from tallyspark.llm import tokens
 WINDOW = 2048
 END_ID = 1
 # Penalties in ids of padding: a cut after a sentence, and one inside.
-SENTENCE_CUT, HARD_CUT = 4, 64
-HARD_GAP = 256
-# Ids gathered before the cuts are worked out; the last windows stay open and
-# go on with what follows, so memory is bounded by this and one document.
+SENTENCE_CUT, HARD_CUT = 2, 12
+HARD_GAP = 32
+# Ids gathered before the cuts are worked out; what follows the last cut goes on
+# with the next ids, so memory is bounded by this and one document.
 BLOCK = 1 << 17
-OPEN_WINDOWS = 2
 # Windows of one task are numbered from its partition number times this.
 PER_TASK = 1 << 32
 
 
-def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
+def cuts(places: np.ndarray, penalties: np.ndarray, window: int, last: bool = True) -> list[int]:
     """Indices into ``places`` (ascending, first 0, gaps at most ``window``)
-    where windows end, the last included, of least padding plus penalties."""
+    where windows end, of least padding plus penalties. The last place ends a
+    window if ``last``; else the cheapest of the places less than a window
+    before it ends the last one, and the rest stays open."""
     place, fee = places.tolist(), penalties.tolist()
     cost, origin = [0] * len(place), [0] * len(place)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # cost + place, place, index: rising
@@ -52,6 +53,8 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
             queue.pop()
         queue.append((total, at, j))
     ends, j = [], len(place) - 1
+    if not last:
+        j = min((i for i in range(len(place)) if place[i] > place[-1] - window), key=lambda i: (cost[i], -i))
     while j:
         ends.append(j)
         j = origin[j]
@@ -108,8 +111,7 @@ class _Packer:
         if not self.docs:
             return
         places, fees = self._candidates()
-        ends = cuts(places, fees, self.window)
-        done = places[ends if last else ends[:-OPEN_WINDOWS]]
+        done = places[cuts(places, fees, self.window, last)]
         at, d, packed = 0, 0, 0
         for end in done.tolist():
             offset = 0

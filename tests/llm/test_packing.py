@@ -30,6 +30,17 @@ def test_cuts_against_brute_force():
         assert sum(window - s for s in sizes) + sum(fees[e] for e in ends) == brute_cost(places, fees, window)
 
 
+def test_open_end_is_the_cheapest():
+    rnd = random.Random(6)
+    for _ in range(100):
+        places = np.cumsum([0] + [rnd.randint(1, 20) for _ in range(40)])
+        fees = np.array([rnd.choice([0, 4]) for _ in places])
+        ends = P.cuts(places, fees, 30, last=False)
+        cost = brute_cost(places[:ends[-1] + 1], fees, 30)
+        near = [i for i in range(len(places)) if places[i] > places[-1] - 30]
+        assert ends[-1] in near and cost == min(brute_cost(places[:i + 1], fees, 30) for i in near)
+
+
 def check(df, window=2048):
     lib = Tokenizer.from_file(tokens.default_path())
     want = defaultdict(int)
