@@ -1,9 +1,9 @@
 """Session helpers.
 
 The library never creates folders on a machine-local disk when running on a
-cluster: lineage is cut with ``DataFrame.checkpoint()`` into the shared folder
-named by ``spark.checkpoint.dir``. Only tests and local runs (where that
-setting is unset) get a scratch folder of their own.
+cluster: lineage, where it is cut, is cut by files in the shared folder named
+by ``spark.checkpoint.dir``. Only tests and local runs (where that setting is
+unset) get a scratch folder of their own.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ CORE_CONF = {
     # broadcasting a side that only looks small on disk; AQE still broadcasts
     # it at run time when its measured size is under the threshold.
     "spark.sql.sources.fileCompressionFactor": "8",
-    # Small checkpoints (a report's top k, the menu's partitioned rows) are
-    # removed once their DataFrame is no longer referenced.
+    # Checkpoint files are removed once their DataFrame is no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
