@@ -25,7 +25,7 @@ LINE_LIMIT = 0.35
 LINE_CHARS_LIMIT = 0.30
 MIN_WORDS = 50
 # Documents are worked together in slices of about so many bytes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 SHARES = [f"share_{n}" for n in NGRAM_LIMITS] + ["share_lines", "share_line_chars"]

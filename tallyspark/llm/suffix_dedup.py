@@ -37,6 +37,8 @@ BLOCK = 8
 HOT_CONTEXTS = 20_000
 # Bytes of contexts whose suffix array is built together.
 ARRAY_BYTES = 1 << 20
+# Anchors of a task that are combined before they are shuffled.
+ROUND = 1 << 18
 # Places hashed at a time; they take the low 24 bits beside 40 bits of a hash.
 STRIDE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -104,45 +106,51 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(length: int):
     """(key, text) -> (route, context, key, place, first, span, n): contexts
-    that a batch holds more than once travel once, with their number; the
+    that a task meets more than once in a round travel once, with their number; the
     ranges of the other holders travel merged, with n = 0."""
     import xxhash
     names = ["route", "context", "key", "place", "first", "span", "n"]
 
+    def settle(parts: list[tuple]) -> pa.RecordBatch:
+        h, context, key, place, first, span = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((context, h))
+        h, context, key, place, first, span = (x[order] for x in (h, context, key, place, first, span))
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])))
+        heads = np.flatnonzero(new)
+        n = np.diff(np.append(heads, len(h)))
+        # The rest are known to be repeated: merged ranges per document.
+        rest = np.flatnonzero(~new)
+        rest = rest[np.lexsort((first[rest], key[rest]))]
+        k, b, e = key[rest], first[rest], first[rest] + span[rest]
+        if len(rest):
+            joined = (k[1:] == k[:-1]) & (b[1:] <= e[:-1] + 1)
+            lead = np.flatnonzero(np.concatenate(([True], ~joined)))
+            k, b, e = k[lead], b[lead], np.maximum.reduceat(e, lead)
+        route = _scramble(k.astype(np.int64).view(np.uint64) + b.astype(np.uint64))
+        zero = np.zeros(len(k), np.int64)
+        cols = [np.concatenate((h[heads], route)).view(np.int64), np.concatenate((context[heads], route)).view(np.int64),
+                np.concatenate((key[heads], k)), np.concatenate((place[heads], zero)).astype(np.int32),
+                np.concatenate((first[heads], b)), np.concatenate((span[heads], e - b)), np.concatenate((n, zero))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            keys, at, parts = batch.column(0).to_numpy(zero_copy_only=False), 0, []
+            keys, at = batch.column(0).to_numpy(zero_copy_only=False), 0
             for data, offsets in _slices(batch.column(1)):
                 h, place, first, last = anchors(data, offsets[1:], length)
-                owner = np.searchsorted(offsets[1:], first, side="right")
-                view = data.tobytes()
-                context = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
-                parts.append((h, context, keys[at + owner], place - first, first - offsets[owner], last - first))
+                if len(h):
+                    owner = np.searchsorted(offsets[1:], first, side="right")
+                    view = data.tobytes()
+                    context = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
+                    parts.append((h, context, keys[at + owner], place - first, first - offsets[owner], last - first))
+                    held += len(h)
                 at += len(offsets) - 1
-            if not parts:
-                continue
-            h, context, key, place, first, span = (np.concatenate(x) for x in zip(*parts))
-            if not len(h):
-                continue
-            order = np.lexsort((context, h))
-            h, context, key, place, first, span = (x[order] for x in (h, context, key, place, first, span))
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])))
-            heads = np.flatnonzero(new)
-            n = np.diff(np.append(heads, len(h)))
-            # The rest are known to be repeated: merged ranges per document.
-            rest = np.flatnonzero(~new)
-            rest = rest[np.lexsort((first[rest], key[rest]))]
-            k, b, e = key[rest], first[rest], first[rest] + span[rest]
-            if len(rest):
-                joined = (k[1:] == k[:-1]) & (b[1:] <= e[:-1] + 1)
-                lead = np.flatnonzero(np.concatenate(([True], ~joined)))
-                k, b, e = k[lead], b[lead], np.maximum.reduceat(e, lead)
-            route = _scramble(k.astype(np.int64).view(np.uint64) + b.astype(np.uint64))
-            zero = np.zeros(len(k), np.int64)
-            cols = [np.concatenate((h[heads], route)).view(np.int64), np.concatenate((context[heads], route)).view(np.int64),
-                    np.concatenate((key[heads], k)), np.concatenate((place[heads], zero)).astype(np.int32),
-                    np.concatenate((first[heads], b)), np.concatenate((span[heads], e - b)), np.concatenate((n, zero))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                if held >= ROUND:
+                    yield settle(parts)
+                    parts, held = [], 0
+        if parts:
+            yield settle(parts)
     return run
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -110,21 +111,21 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: dict[bytes, float])
     return out
 
 
-def _measured(df: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
-    """``features`` for the last column (a text), beside the others."""
-    kept, text = df.columns[:-1], df.columns[-1]
+def _measured(df: DataFrame, lexicon: dict[bytes, float], text_of) -> DataFrame:
+    """``features`` beside the columns of ``df``, for the text that ``text_of``
+    takes from a batch (so it travels once)."""
+    kept = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for data, offsets in _slices(batch.column(len(kept))):
+            for data, offsets in _slices(text_of(batch)):
                 rows = features(data, offsets, lexicon)
                 n = len(rows)
                 table = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(FEATURES)), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in range(len(kept))], table],
-                                                 [*kept, "features"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, n) for c in batch.columns], table], [*kept, "features"])
                 at += n
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{schema}, features array<double>")
 
 
@@ -174,20 +175,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                  .join(chosen, F.col("id") == F.col("labelled"))
                  .select("labelled", "toxic", (F.pmod(order, F.lit(3)) == 0).alias("calibrates"), "text"))
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    every = docs.select(doc, held_out(docs[id_col]).alias("held_out"), F.coalesce(docs[text_col], F.lit("")).alias("text_"))
+    every = docs.select(doc, held_out(docs[id_col]).alias("held_out"))
     if len(classes) < 2:
-        raw = every.drop("text_").withColumn("score", F.lit(1.0 if classes.get(1) else 0.0))
+        raw = every.withColumn("score", F.lit(1.0 if classes.get(1) else 0.0))
     else:
         lexicon = learn_lexicon(sample.select("toxic", "text"))
         vectors = lambda df: df.withColumn("features", array_to_vector("features"))
-        learned = cut(_measured(sample, lexicon).coalesce(4))
+        learned = cut(_measured(sample, lexicon, lambda batch: batch.column("text")).drop("text").coalesce(4))
         learned = vectors(learned)
         trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7,
                               cacheNodeIds=False).fit(learned.filter("not calibrates"))
         probability = vector_to_array("probability")[1].alias("p")
         curve = IsotonicRegression(labelCol="toxic", featuresCol="p", predictionCol="score").fit(
             trees.transform(learned.filter("calibrates")).select("toxic", probability))
-        seen = trees.transform(vectors(_measured(every, lexicon))).select("doc", "held_out", probability)
+        inner = docs.columns.index(text_col)
+        found = _measured(every, lexicon, lambda batch: pc.struct_field(batch.column("doc"), [inner]))
+        seen = trees.transform(vectors(found)).select("doc", "held_out", probability)
         raw = curve.transform(seen).drop("p")
     return raw.withColumn("score", F.least(F.greatest(F.col("score").cast("double"), F.lit(0.0)), F.lit(1.0))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
