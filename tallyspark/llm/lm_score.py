@@ -9,7 +9,7 @@ Words are hashed into ``BUCKETS`` and counted over all documents; the most
 frequent buckets get an id of their own, the rest share ``RARE`` ids. Training
 is data-parallel: in each round every partition trains a copy on its own
 documents of that round, and the copies' weighted mean is the next start; over
-all rounds each document is used once, at every ``STRIDE``-th word.
+all rounds every word of every document is a target once.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ BOUNDARY = IDS  # the place beyond either end of a text
 SIDE = 2  # words on each side
 WIDTH = 24
 ROUNDS = 2
-STRIDE = 16
 BATCH = 2048
 RATE = 0.1
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -120,22 +119,25 @@ def log_probs(p: dict, window: np.ndarray, target: np.ndarray) -> np.ndarray:
 def gradients(p: dict, window: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
     n = len(target)
-    h = _hidden(p, window)
+    order = np.argsort(target // CLASSES, kind="stable")  # a class's targets lie together
+    window, target = window[order], target[order]
     which, inner = np.divmod(target, CLASSES)
+    edge = np.searchsorted(which, np.arange(CLASSES + 1))
+    full = [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+    h = _hidden(p, window)
     err = np.exp(_log_softmax(h @ p["to_class"] + p["class_bias"]))
     err[np.arange(n), which] -= 1
     g = {"to_class": h.T @ err, "class_bias": err.sum(0), "to_word": np.zeros_like(p["to_word"]), "word_bias": np.zeros_like(p["word_bias"])}
     back = err @ p["to_class"].T
-    order = np.argsort(which, kind="stable")
-    edge = np.searchsorted(which[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        mine = order[edge[c]:edge[c + 1]]
-        if len(mine):
-            err = np.exp(_log_softmax(h[mine] @ p["to_word"][c] + p["word_bias"][c]))
-            err[np.arange(len(mine)), inner[mine]] -= 1
-            g["to_word"][c] = h[mine].T @ err
-            g["word_bias"][c] = err.sum(0)
-            back[mine] += err @ p["to_word"][c].T
+    err = p["word_bias"][which]
+    for c, mine in full:
+        err[mine] += h[mine] @ p["to_word"][c]
+    err = np.exp(_log_softmax(err))
+    err[np.arange(n), inner] -= 1
+    for c, mine in full:
+        g["to_word"][c] = h[mine].T @ err[mine]
+        back[mine] += err[mine] @ p["to_word"][c].T
+    g["word_bias"][[c for c, _ in full]] = np.add.reduceat(err, [mine.start for _, mine in full])
     back *= 1 - h * h
     g["bias"] = back.sum(0)
     g["place"] = np.stack([(p["embed"][window[:, k]] * back).sum(0) for k in range(len(OFFSETS))])
@@ -160,9 +162,8 @@ def _trained(start: dict, ids: np.ndarray):
             for data, offsets in _slices(batch.column(0)):
                 owner, bucket = word_buckets(data, offsets)
                 words = ids[bucket].astype(np.int64)
-                at = np.arange(seen % STRIDE, len(words), STRIDE)
-                held = [np.concatenate((held[0], _windows(owner, words, at))), np.concatenate((held[1], words[at]))]
-                seen += len(at)
+                held = [np.concatenate((held[0], _windows(owner, words, np.arange(len(words))))), np.concatenate((held[1], words))]
+                seen += len(words)
                 whole = len(held[1]) // BATCH * BATCH
                 for i in range(0, whole, BATCH):
                     step(held[0][i:i + BATCH], held[1][i:i + BATCH])

@@ -76,3 +76,11 @@ def test_score_against_single_words(spark, edge_docs, no_docs):
         assert (r.mean_log_prob is None) == (not words)
     assert L.score(edge_docs).count() == edge_docs.count()
     assert L.score(no_docs).count() == 0
+
+
+def test_every_word_is_a_target():
+    import pyarrow as pa
+    texts = ["one two three", "four", "", "five six seven eight nine ten " * 7, None, "eleven"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = list(L._trained(L.fresh(), np.zeros(L.BUCKETS, np.int16))(iter([batch])))
+    assert set(out[0]["weight"].to_pylist()) == {sum(len((t or "").split()) for t in texts)}
