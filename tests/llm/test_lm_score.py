@@ -84,3 +84,34 @@ def test_every_word_is_a_target():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
     out = list(L._trained(L.fresh(), np.zeros(L.BUCKETS, np.int16))(iter([batch])))
     assert set(out[0]["weight"].to_pylist()) == {sum(len((t or "").split()) for t in texts)}
+
+
+def test_words_have_their_share_of_an_id(spark, monkeypatch):
+    """Against exact counts: words that share an id differ by their counts."""
+    import math
+    from collections import Counter
+    rnd = random.Random(5)
+    words = [f"k{i}" for i in range(3000)]
+    docs = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(3000)], k=400))) for i in range(60)]
+    docs += [(100, None), (None, "k1 k2999 once"), (None, "k1 k2999 twice twice"), (103, " ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(L, "NAMED", 50)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 20000)
+    monkeypatch.setattr(L, "train", lambda *_: L.fresh())
+    ids = L.vocabulary(df)
+    n = Counter(w for _, t in docs for w in (t or "").split())
+    id_of = {w: int(ids[L.word_buckets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0]]) for w in n}
+    total = Counter()
+    for w in n:
+        total[id_of[w]] += n[w]
+    assert len(total) < len(n)
+    base = {(r.doc_id, r.n_words): r.log_likelihood for r in df.mapInArrow(
+        L._scored(L.fresh(), ids), "doc_id long, n_words long, log_likelihood double, mean_log_prob double").collect()}
+    got = L.score(df).collect()
+    assert len(got) == len(docs)
+    text = {(i, len((t or "").split())): t for i, t in docs}
+    for r in got:
+        own = (text[r.doc_id, r.n_words] or "").split()
+        want = base[r.doc_id, r.n_words] + sum(math.log(n[w] / total[id_of[w]]) for w in own)
+        assert abs(r.log_likelihood - want) < 1e-6 * max(1, abs(want))
+        assert (r.mean_log_prob is None) == (not own)
