@@ -3,13 +3,14 @@
 Text comparison in the source database is case- and accent-insensitive, and
 user input to ``LIKE`` is not escaped, so ``%``, ``_`` and ``\\`` typed by a
 user keep their ``LIKE`` meaning. ``search_filter`` folds both sides the same
-way whatever the term holds: lower case, Latin letters without diacritics (a
-table built by rule from Unicode decompositions), combining marks removed.
+way whatever the term holds: lower case, letters without diacritics (a table
+built by rule from Unicode decompositions), combining marks removed.
 Names are sorted by the same fold, ties by the text as stored.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -50,25 +51,27 @@ def php_empty(col: str | Column) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Latin letters with diacritics -> their ASCII base letter, built by rule
-    from Unicode canonical decomposition; combining marks have no counterpart
-    (``translate`` drops them)."""
-    src, dst = [], []
-    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isascii() and base.isalpha():
+    """Letters of any script with diacritics -> their base letter, built by rule
+    from Unicode canonical decomposition, and one form of sigma; combining marks
+    have no counterpart (``translate`` drops them). Hangul syllables, made of
+    several letters, stay."""
+    src, dst = ["Σ", "ς"], ["σ", "σ"]
+    marks = set(map(chr, range(0x300, 0x370)))
+    for ch in map(chr, range(0xC0, sys.maxunicode + 1)):
+        base, *rest = unicodedata.normalize("NFD", ch)
+        kinds = {unicodedata.category(c) for c in rest}
+        if base != ch and unicodedata.category(ch)[0] == unicodedata.category(base)[0] == "L" and kinds <= {"Mn"}:
             src.append(ch)
             dst.append(base)
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    return "".join(src) + marks, "".join(dst)
+            marks.update(rest)
+    return "".join(src) + "".join(sorted(marks)), "".join(dst)
 
 
 _ACCENTED, _PLAIN = _accent_table()
 
 
 def fold_accents(col: str | Column) -> Column:
-    """Lower-case and strip Latin diacritics (é -> e), with built-in functions."""
+    """Lower-case and strip diacritics (é -> e), with built-in functions."""
     return F.lower(F.translate(_c(col), _ACCENTED, _PLAIN))
 
 

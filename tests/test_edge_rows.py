@@ -397,3 +397,17 @@ def test_attach_refuses_managed_tables_and_odd_names(spark):
         assert spark.table("tally_managed").count() == 1
     finally:
         spark.sql("DROP TABLE tally_managed")
+
+
+def test_search_folds_letters_of_any_script(spark):
+    from tallyspark.functions.text import _fold_text, fold_accents, search_filter
+    names = ["Καφές", "ΚΑΦΕΣ", "καφες φίλτρου", "Чёрный чай", "ガム", "ガム", "Crème", "한과", "하과"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    found = lambda term: {r.name for r in df.filter(search_filter("name", term)).collect()}
+    assert found("καφες") == found("ΚΑΦΈΣ") == {"Καφές", "ΚΑΦΕΣ", "καφες φίλτρου"}
+    assert found("κ_φες φιλ%") == {"καφες φίλτρου"}
+    assert found("черныи") == found("ЧЁРНЫЙ") == {"Чёрный чай"}
+    assert found("カム") == {"ガム", "ガム"}
+    assert found("creme") == {"Crème"}
+    assert found("하") == {"하과"}
+    assert all(r[0] == _fold_text(r[1]) for r in df.select(fold_accents("name"), "name").collect())
