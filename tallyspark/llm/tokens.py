@@ -38,14 +38,15 @@ def default_path() -> str:
 
 
 def balanced(items: Iterable[str], limit: int = BATCH_BYTES) -> Iterable[list[str]]:
-    """Consecutive batches of about ``limit`` characters; longer items stand alone."""
+    """Consecutive batches of about ``limit`` bytes of UTF-8; longer items stand alone."""
     batch, n = [], 0
     for x in items:
-        if batch and n + len(x) > limit:
+        size = len(x.encode())
+        if batch and n + size > limit:
             yield batch
             batch, n = [], 0
         batch.append(x)
-        n += len(x)
+        n += size
     if batch:
         yield batch
 
@@ -99,8 +100,11 @@ class Encoder:
     def __init__(self, path: str):
         self.library, self.fast, self.plain, self.specials = _engines(path)
 
+    def _is_plain(self, text: str) -> bool:
+        return bool(self.fast and self.plain.fullmatch(text)) and not any(s in text for s in self.specials)
+
     def _part(self, text: str) -> np.ndarray:
-        if self.fast and self.plain.fullmatch(text) and not any(s in text for s in self.specials):
+        if self._is_plain(text):
             return self.fast.encode_to_numpy(text)
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -109,7 +113,7 @@ class Encoder:
         return (found[0] if len(found) == 1 else np.concatenate(found)).astype("<u4", copy=False)
 
     def lengths(self, texts: list[str]) -> list[int]:
-        """Token counts only; parts go to the library in batches of about ``BATCH_BYTES``."""
+        """Token counts only; parts go to the libraries in batches of about ``BATCH_BYTES``."""
         owner, pieces = [], []
         for i, text in enumerate(texts):
             for x in parts(text):
@@ -117,6 +121,13 @@ class Encoder:
                 pieces.append(x)
         counts, at = np.zeros(len(texts), np.int64), 0
         for batch in balanced(pieces):
-            np.add.at(counts, owner[at:at + len(batch)], [len(self._part(x)) for x in batch])
+            plain = np.array([self._is_plain(x) for x in batch], bool)
+            found = np.zeros(len(batch), np.int64)
+            if plain.any():
+                found[plain] = [len(x) for x in self.fast.encode_ordinary_batch([x for x, p in zip(batch, plain) if p], num_threads=1)]
+            if not plain.all():
+                rest = [x for x, p in zip(batch, plain) if not p]
+                found[~plain] = [len(x.ids) for x in self.library.encode_batch(rest, add_special_tokens=False)]
+            np.add.at(counts, owner[at:at + len(batch)], found)
             at += len(batch)
         return counts.tolist()

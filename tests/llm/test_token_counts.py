@@ -30,3 +30,27 @@ def test_cuts_are_safe():
 
 def test_empty_table(no_docs):
     assert C.token_counts(no_docs).count() == 0
+
+
+def test_batches_are_balanced_by_bytes():
+    assert [len(b) for b in tokens.balanced(["漢" * 100, "a" * 100, "b" * 200, "漢" * 200], 300)] == [1, 2, 1]
+
+
+def test_batches_go_to_the_libraries_whole():
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, []
+
+        def encode_batch(self, texts, **kw):
+            self.calls.append(len(texts))
+            return self.inner.encode_batch(texts, **kw)
+
+        def encode_ordinary_batch(self, texts, **kw):
+            self.calls.append(len(texts))
+            return self.inner.encode_ordinary_batch(texts, **kw)
+    enc = tokens.Encoder(tokens.default_path())
+    texts = ["plain words", "漢字 かな", "", "more words " * 50, "a <|endoftext|>"]
+    want = [len(enc.ids(x)) for x in texts]
+    enc.library, enc.fast = Seen(enc.library), Seen(enc.fast)
+    assert enc.lengths(texts) == want
+    assert enc.library.calls == [2] and enc.fast.calls == [3]
