@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lm_score, mixing, packing, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
+from tallyspark.llm import lm_score, mixing, packing, prefix_trie, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -74,3 +74,8 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select(
         "doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op13_prefix_trie", prefix_trie.SQL)
+def op13(spark, sf_dir):
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
