@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.llm import cross_polytope, lm_score, mixing, packing, prefix_trie, repetition, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
+from tallyspark.llm import cross_polytope, lm_score, mixing, packing, prefix_trie, repetition, sharding, simhash, spelling, suffix_dedup, token_counts, topk, toxicity
 from tallyspark.llm.common import read
 
 REGISTRY = {}
@@ -76,6 +76,11 @@ def op10(spark, sf_dir):
         "doc.doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op11_spelling_variants", spelling.SQL)
+def op11(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 @register("op12_cross_polytope", cross_polytope.SQL)
 def op12(spark, sf_dir):
     return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
