@@ -9,6 +9,11 @@ from tallyspark import schemas as S
 from tallyspark.sources.tables import conform
 
 
+def resets(entries: DataFrame) -> DataFrame:
+    """The entries that empty the log."""
+    return entries.filter(F.col("action") == F.lit(S.RESET_LOGS_ACTION))
+
+
 def append_audit(logs: DataFrame, entries: DataFrame) -> DataFrame:
     """The log after appending ``entries`` in ``log_id`` order.
 
@@ -18,8 +23,7 @@ def append_audit(logs: DataFrame, entries: DataFrame) -> DataFrame:
     last reset is one scalar (a scalar subquery), not a join.
     """
     entries = conform(entries, "audit_logs")
-    last_reset = (entries.filter(F.col("action") == F.lit(S.RESET_LOGS_ACTION))
-                  .select(F.max("log_id")).scalar())
+    last_reset = resets(entries).select(F.max("log_id")).scalar()
     kept_old = conform(logs, "audit_logs").filter(last_reset.isNull())
     kept_new = entries.filter(last_reset.isNull() | (F.col("log_id") >= last_reset))
     return kept_old.unionByName(kept_new)

@@ -171,12 +171,16 @@ def status_flags(cancel_ids: DataFrame | None, voids: DataFrame | None) -> DataF
             .agg(F.max("_void").alias("_void"), F.max("_cancel").alias("_cancel")))
 
 
+def new_status() -> Column:
+    """The status of a sale that is joined with its flags."""
+    return (F.when(F.col("_void"), F.lit(S.STATUS_VOID))
+            .when(F.col("_cancel") & (F.col("status") == F.lit(S.STATUS_COMPLETED)), F.lit(S.STATUS_CANCELLED))
+            .otherwise(F.col("status")))
+
+
 def with_status(sales: DataFrame, flags: DataFrame) -> DataFrame:
     """Sales after the flagged voids and cancels: one join on the sale id."""
-    status = (F.when(F.col("_void"), F.lit(S.STATUS_VOID))
-              .when(F.col("_cancel") & (F.col("status") == F.lit(S.STATUS_COMPLETED)), F.lit(S.STATUS_CANCELLED))
-              .otherwise(F.col("status")))
-    return sales.join(flags, "sales_id", "left").withColumn("status", status).select(*sales.columns)
+    return sales.join(flags, "sales_id", "left").withColumn("status", new_status()).select(*sales.columns)
 
 
 def apply_cancellations(sales: DataFrame, cancel_ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ names match the SQL oracle. Money leaves as ``double`` and counts as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,11 @@ from tallyspark.operators import inventory as I
 from tallyspark.operators import changes as CH
 from tallyspark.operators import audit as AU
 from tallyspark.plans import export as EX
+from tallyspark.plans import stored as ST
 from tallyspark.streaming import kpi_stream as KS
+from tallyspark.session import ensure_checkpoint_dir
 from tallyspark.sources import driver_tables as D
+from tallyspark.sources.tables import SALE_MONTH, read_table, write_table
 
 AS_OF_A = D.AS_OF_A
 AS_OF_B = D.AS_OF_B
@@ -650,3 +654,95 @@ def _q(spark, d):
     effects = KS.sale_effects(D.sales_b(spark, d, names=False)).unionByName(
         KS.change_effects(D.sale_status_changes(spark, d)))
     return KS.daily_windows(effects).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# --- The same changes on stored tables --------------------------------------------
+def _stored(spark, tables: dict[str, DataFrame]) -> str:
+    """The tables in their stored layout, in a folder of their own."""
+    root = f"{ensure_checkpoint_dir(spark)}/shop-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        write_table(df, root, name)
+    return root
+
+
+def _status_shop(spark, d):
+    root = _stored(spark, {"sales": D.sales_b(spark, d), "sales_void": D.sales_void(spark, d)})
+    ST.apply_statuses(spark, root, 1, D.cancel_requests(spark, d), D.void_requests(spark, d))
+    return root
+
+
+@register("stored_status_sales")
+def _q(spark, d):
+    """O27+O28 on storage: the sales after cancels and voids, month by month."""
+    return read_table(spark, _status_shop(spark, d), "sales").drop(SALE_MONTH)
+
+
+@register("stored_status_log")
+def _q(spark, d):
+    """O28 on storage: the void log after it."""
+    return read_table(spark, _status_shop(spark, d), "sales_void")
+
+
+@register("stored_status_rejects")
+def _q(spark, d):
+    """O28 on storage: void requests that were rejected."""
+    return ST.output(spark, _status_shop(spark, d), 1, "void_rejects")
+
+
+def _reset_shop(spark, d, at):
+    root = _stored(spark, {"sales": D.sales_b(spark, d), "sale_addons": D.sale_addons(spark, d), "sales_void": D.sales_void(spark, d)})
+    ST.reset_sales(spark, root, 1, at)
+    return root
+
+
+@register("stored_reset_sales")
+def _q(spark, d):
+    """O29 on storage: months dropped as folders, one rewritten."""
+    return read_table(spark, _reset_shop(spark, d, "2024-01-15 12:00:00"), "sales").drop(SALE_MONTH)
+
+
+@register("stored_reset_addons")
+def _q(spark, d):
+    """O29 on storage: the add-on rows that are left."""
+    return read_table(spark, _reset_shop(spark, d, "2024-01-15 12:00:00"), "sale_addons")
+
+
+@register("stored_reset_voids")
+def _q(spark, d):
+    """O29 on storage: the void log that is left."""
+    return read_table(spark, _reset_shop(spark, d, "1996-01-01 00:00:00"), "sales_void")
+
+
+@register("stored_delete_products_sales")
+def _q(spark, d):
+    """O31 on storage: the sales after deletions."""
+    root = _stored(spark, {"sales": D.sales_b(spark, d), "products": D.products(spark, d)})
+    ST.delete_products(spark, root, 1, D.product_deletes(spark, d))
+    return read_table(spark, root, "sales").drop(SALE_MONTH)
+
+
+def _catalog_shop(spark, d):
+    root = _stored(spark, {"products": D.products(spark, d), "ingredients": D.ingredients(spark, d)})
+    ST.change_catalog(spark, root, 1, D.product_changes(spark, d))
+    ST.change_catalog(spark, root, 2, ingredient_deletes=D.ingredient_deletes(spark, d))
+    return root
+
+
+@register("stored_upsert_products")
+def _q(spark, d):
+    """O30 on storage: the catalogue after a batch."""
+    return read_table(spark, _catalog_shop(spark, d), "products")
+
+
+@register("stored_delete_ingredients")
+def _q(spark, d):
+    """O32 on storage: ingredients after deletions."""
+    return read_table(spark, _catalog_shop(spark, d), "ingredients")
+
+
+@register("stored_append_audit")
+def _q(spark, d):
+    """O33 on storage: the log after a batch with a reset."""
+    root = _stored(spark, {"audit_logs": D.audit_logs(spark, d)})
+    ST.log_audit(spark, root, 1, D.audit_entries(spark, d))
+    return read_table(spark, root, "audit_logs")

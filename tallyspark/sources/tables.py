@@ -75,15 +75,23 @@ def conform(df: DataFrame, table: str, stored: bool = False) -> DataFrame:
             cols.append(F.col(fld.name).cast(want).alias(fld.name))
     if table == "sales" and SALE_MONTH in have:
         # Keep the partition column: period filters add a predicate on it so
-        # that whole date folders are pruned.
-        cols.append(F.col(SALE_MONTH))
+        # that whole date folders are pruned. (Where no sale has a time, the
+        # folders alone don't tell its type.)
+        cols.append(F.col(SALE_MONTH) if have[SALE_MONTH] == "date" else F.col(SALE_MONTH).cast("date").alias(SALE_MONTH))
     return df.select(*cols)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Read one stored table (sales keep their ``sale_month`` partition column)."""
     path = os.path.join(root, table)
-    df = spark.read.parquet(path)
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        # The folder is there and holds no file: all months were dropped.
+        month = [T.StructField(SALE_MONTH, T.DateType())] if table == "sales" else []
+        df = spark.read.schema(T.StructType([*S.TABLES[table].fields, *month])).parquet(path)
     return conform(df, table, stored=True)
 
 

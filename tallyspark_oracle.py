@@ -726,3 +726,10 @@ SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day,
        {_money("coalesce(sum(total) FILTER (NOT gone AND status = 'Completed'), 0)")} AS completed_total,
        CAST(count(*) FILTER (NOT gone AND status = 'Completed') AS BIGINT) AS completed_orders
 FROM now WHERE created_at IS NOT NULL GROUP BY CAST(created_at AS DATE)""", alias={"sales": "sales_b"})
+# The same changes, made on stored tables.
+for _stored, _same in {
+        "stored_status_sales": "apply_status_changes", "stored_status_log": "apply_voids_log", "stored_status_rejects": "apply_voids_rejects",
+        "stored_reset_sales": "reset_history_sales", "stored_reset_addons": "reset_history_addons", "stored_reset_voids": "reset_history_voids",
+        "stored_delete_products_sales": "delete_products_sales", "stored_upsert_products": "upsert_products",
+        "stored_delete_ingredients": "delete_ingredients", "stored_append_audit": "append_audit"}.items():
+    SQL[_stored] = SQL[_same]
