@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark import schemas as S
 from tallyspark.functions.text import php_empty, php_trim
@@ -76,6 +77,95 @@ class PricedSales:
     accepted: DataFrame      # new sales rows (sales schema)
     rejects: DataFrame       # (request_id, reason)
     addon_rows: DataFrame    # (sale_id, addon_id, addon_name, price)
+    outcomes: DataFrame      # all three in one frame, told apart by ``output``
+
+
+# Outputs of a sale batch and their columns in the common frame.
+SALE_OUTPUTS = {
+    "new_sales": [f.name for f in S.SALES.fields],
+    "new_sale_addons": ["sale_id", "addon_id", "addon_name", "price"],
+    "sale_rejects": ["request_id", "reason"],
+}
+
+
+def sale_schema() -> T.StructType:
+    """The columns of all outputs of a sale batch."""
+    kinds = {f.name: f.dataType for schema in (S.SALE_ADDONS, S.SALES) for f in schema.fields}
+    kinds |= {"request_id": T.LongType(), "reason": T.StringType()}
+    return T.StructType([T.StructField(c, kinds[c]) for cs in SALE_OUTPUTS.values() for c in cs])
+
+
+def sale_outcomes(requests: DataFrame, products: DataFrame, addons: DataFrame, default_time=None) -> DataFrame:
+    """The rules of ``price_sales`` in one pass: a row per new sale, add-on
+    row and reject, with ``output`` and the columns of all three (null where
+    an output has none).
+
+    Every request goes through as one row that carries its reject reason, if
+    any, and meets the catalogue and the add-ons once; so the feed is read,
+    grouped and joined once whatever outputs are wanted.
+    """
+    r = requests.select("request_id", "product_id", "quantity", "addon_ids", "created_at")
+    if default_time is not None:
+        r = r.withColumn("created_at", F.coalesce(F.col("created_at"), ts_literal(default_time)))
+    # Equal copies of a request are one; a request without an id is a reject of
+    # its own, so these are grouped by nothing in common.
+    rest = F.struct("product_id", "quantity", "addon_ids", "created_at")
+    alone = F.when(F.col("request_id").isNull(), F.monotonically_increasing_id())
+    one = (r.withColumn("_alone", alone).groupBy("request_id", "_alone")
+           .agg(F.min(rest).alias("_lo"), F.max(rest).alias("_hi")))
+    valid = F.coalesce((F.col("_lo.product_id") > 0) & (F.col("_lo.quantity") > 0), F.lit(False))
+    reason = (F.when(F.col("request_id").isNull(), F.lit(REJECT_MISSING_KEY))
+              .when(~F.col("_lo").eqNullSafe(F.col("_hi")), F.lit(REJECT_DUPLICATE_KEY))
+              .when(~valid, F.lit(S.REJECT_INVALID)))
+    one = one.select("request_id", "_alone", "_lo.*", reason.alias("_reason"))
+
+    # Rejects meet no product and no add-on: a second key spreads them.
+    spread = F.xxhash64("request_id", "_alone")
+    here = F.lit(0).cast("long")
+    cat = products.select(F.col("product_id").alias("_pid"), here.alias("_ppart"), F.col("product_name").alias("_pname"),
+                          F.col("price").alias("_price"), F.col("image").alias("_image"))
+    part = F.when(F.col("_reason").isNull(), here).otherwise(spread)
+    looked = one.join(cat, (F.col("product_id") == F.col("_pid")) & (part == F.col("_ppart")), "left").drop("_pid", "_ppart")
+    looked = looked.withColumn("_reason", F.coalesce("_reason", F.when(php_empty(F.col("_pname")), F.lit(S.REJECT_NOT_FOUND))))
+
+    avail = (addons.filter(F.col("status") == F.lit(S.AVAILABLE))
+             .select(F.col("addon_id").alias("_avail_id"), here.alias("_apart"), F.col("addon_name").alias("_aname"),
+                     F.col("price").alias("_aprice")))
+    wanted = F.when(F.col("_reason").isNull(), F.array_distinct("addon_ids"))
+    exploded = looked.withColumn("_aid", F.explode_outer(wanted)).drop("addon_ids")
+    part = F.when(F.col("_aid").isNull(), spread).otherwise(here)
+    with_addons = exploded.join(avail, (F.col("_aid") == F.col("_avail_id")) & (part == F.col("_apart")), "left")
+    # A request's own add-ons are gathered: as many as its list names.
+    keys = ["request_id", "_alone", "product_id", "quantity", "created_at", "_reason", "_pname", "_price", "_image"]
+    addon = F.struct(F.col("_aid").alias("addon_id"), F.col("_aname").alias("addon_name"), F.col("_aprice").alias("price"))
+    per_request = with_addons.groupBy(*keys).agg(
+        F.coalesce(F.sum("_aprice"), F.lit(0).cast(S.MONEY)).alias("_addon_total"),
+        F.collect_list(F.when(F.col("_aname").isNotNull(), addon)).alias("_addons"))
+    qty = F.col("quantity").cast("decimal(10,0)")
+    total = qty * F.coalesce(F.col("_price"), F.lit(0).cast(S.MONEY)) + qty * F.col("_addon_total")
+    priced = per_request.withColumn("_total", total)
+    too_big = F.when(F.abs(F.col("_total")) >= F.lit(MONEY_LIMIT), F.lit(REJECT_TOTAL_RANGE))
+    priced = priced.withColumn("_reason", F.coalesce("_reason", too_big))
+
+    schema = sale_schema()
+    schema["created_at"].dataType = requests.schema["created_at"].dataType
+
+    def row(output: str, **values) -> Column:
+        return F.struct(F.lit(output).alias("output"), *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    col = F.col
+    sale = row("new_sales", sales_id=col("request_id"), product_id=col("product_id"), product_name=col("_pname"), quantity=col("quantity"),
+               total=F.when(col("_reason").isNull(), col("_total")), created_at=col("created_at"), status=F.lit(S.STATUS_COMPLETED),
+               product_image=col("_image"))
+    extras = F.transform("_addons", lambda a: row("new_sale_addons", sale_id=col("request_id"), **{c: a[c] for c in SALE_OUTPUTS["new_sale_addons"][1:]}))
+    reject = row("sale_rejects", request_id=col("request_id"), reason=col("_reason"))
+    rows = F.when(col("_reason").isNull(), F.concat(F.array(sale), extras)).otherwise(F.array(reject))
+    return priced.select(F.explode(rows).alias("_row")).select("_row.*")
+
+
+def sale_output(outcomes: DataFrame, output: str) -> DataFrame:
+    """One output of ``sale_outcomes``, with its own columns."""
+    out = outcomes.filter(F.col("output") == F.lit(output)).select(*SALE_OUTPUTS[output])
+    return conform(out, "sales") if output == "new_sales" else out
 
 
 def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
@@ -95,62 +185,13 @@ def price_sales(requests: DataFrame, products: DataFrame, addons: DataFrame,
     product name and image; one add-on row is produced per accepted sale and
     distinct available add-on. A request without a time gets
     ``default_time`` when given (the database stamps the insert time).
-    """
-    r = requests.select("request_id", "product_id", "quantity", "addon_ids", "created_at")
-    if default_time is not None:
-        r = r.withColumn("created_at", F.coalesce(F.col("created_at"), ts_literal(default_time)))
-    # Request ids become sales ids (a primary key).
-    missing = r.filter(F.col("request_id").isNull()).select(
-        "request_id", F.lit(REJECT_MISSING_KEY).alias("reason"))
-    r, repeated = _agreeing(r.filter(F.col("request_id").isNotNull()), "request_id")
-    dup = repeated.select("request_id", F.lit(REJECT_DUPLICATE_KEY).alias("reason"))
-    valid = (F.col("product_id") > 0) & (F.col("quantity") > 0)
-    invalid = r.filter(~F.coalesce(valid, F.lit(False))).select(
-        "request_id", F.lit(S.REJECT_INVALID).alias("reason"))
-    ok = r.filter(valid)
-
-    cat = products.select("product_id", F.col("product_name").alias("_pname"),
-                          F.col("price").alias("_price"), F.col("image").alias("_image"))
-    looked = ok.join(cat, "product_id", "left")
-    found = ~php_empty(F.col("_pname"))
-    not_found = looked.filter(~found).select("request_id", F.lit(S.REJECT_NOT_FOUND).alias("reason"))
 
-    avail = (addons.filter(F.col("status") == F.lit(S.AVAILABLE))
-             .select(F.col("addon_id").alias("_aid"), F.col("addon_name").alias("_aname"),
-                     F.col("price").alias("_aprice")))
-    # One row per request and distinct requested add-on id (or one row with
-    # a NULL id when the list is empty or missing).
-    exploded = (looked.filter(found)
-                .withColumn("_aid", F.explode_outer(F.array_distinct("addon_ids")))
-                .drop("addon_ids"))
-    # Requests without add-ons match nothing: a second key spreads them.
-    part = F.when(F.col("_aid").isNull(), F.col("request_id")).otherwise(F.lit(0).cast("long"))
-    avail = avail.withColumnRenamed("_aid", "_avail_id").withColumn("_avail_part", F.lit(0).cast("long"))
-    with_addons = exploded.join(avail, (F.col("_aid") == F.col("_avail_id")) & (part == F.col("_avail_part")), "left")
-    # Every request column is fixed by ``request_id``, so grouping by all of
-    # them equals grouping by the id; as keys (not ``any_value`` buffers)
-    # they keep the aggregation hash-based with a map-side partial sum.
-    keys = ["request_id", "product_id", "quantity", "created_at", "_pname", "_price", "_image"]
-    per_request = (with_addons.groupBy(*keys)
-                   .agg(F.coalesce(F.sum("_aprice"), F.lit(0).cast(S.MONEY)).alias("_addon_total")))
-    qty = F.col("quantity").cast("decimal(10,0)")
-    total = qty * F.coalesce(F.col("_price"), F.lit(0).cast(S.MONEY)) + qty * F.col("_addon_total")
-    priced = per_request.withColumn("_total", total)
-    in_range = F.abs(F.col("_total")) < F.lit(MONEY_LIMIT)
-    too_big = priced.filter(~in_range).select("request_id", F.lit(REJECT_TOTAL_RANGE).alias("reason"))
-    good = priced.filter(in_range)
-
-    accepted = conform(good.select(
-        F.col("request_id").alias("sales_id"), "product_id", F.col("_pname").alias("product_name"),
-        "quantity", F.col("_total").cast(S.MONEY).alias("total"), "created_at",
-        F.lit(S.STATUS_COMPLETED).alias("status"), F.col("_image").alias("product_image")), "sales")
-    # One row per accepted request and matched (available, distinct) add-on.
-    matched = with_addons.filter(F.col("_aname").isNotNull()).select(
-        F.col("request_id").alias("sale_id"), F.col("_aid").alias("addon_id"),
-        F.col("_aname").alias("addon_name"), F.col("_aprice").alias("price"))
-    addon_rows = matched.join(good.select(F.col("request_id").alias("sale_id")), "sale_id", "left_semi")
-    rejects = missing.unionByName(dup).unionByName(invalid).unionByName(not_found).unionByName(too_big)
-    return PricedSales(accepted, rejects, addon_rows)
+    The three outputs are parts of one frame (``outcomes``): a job that wants
+    all of them writes that frame once.
+    """
+    outcomes = sale_outcomes(requests, products, addons, default_time)
+    return PricedSales(sale_output(outcomes, "new_sales"), sale_output(outcomes, "sale_rejects"),
+                       sale_output(outcomes, "new_sale_addons"), outcomes)
 
 
 # ---------------------------------------------------------------------------

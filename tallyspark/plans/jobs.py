@@ -1,11 +1,11 @@
 """Batch jobs: the change operators' outputs as plain Parquet tables.
 
-Every output is a folder ``<root>/<output>`` partitioned by ``batch``, written
-once per batch by Spark's own writer. A batch that runs again replaces its own
-partition only, when its new files are complete (dynamic partition overwrite),
-so a retry that fails leaves what was there. Applying the outputs to the base
-tables (append new sales, update statuses) is the caller's next job; the
-operators in ``operators.changes`` do it in one pass each.
+A batch of an output is a folder ``<root>/<output>/batch=<n>``. It is written
+aside by Spark's own writer and put in its place when it is complete, so a
+batch that runs again replaces what it wrote before, rows that are gone
+included, and a retry that fails leaves what was there. Sales, their add-on
+rows and the rejects of a sale batch are one frame, written in one pass and
+put in place together. ``plans.stored`` applies changes to the stored tables.
 """
 
 from __future__ import annotations
@@ -16,32 +16,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import changes as CH
+from tallyspark.sources import files
 from tallyspark.sources.tables import ShopTables
 
 BATCH = "batch"
-
-
-def write_batch(df: DataFrame, root: str, output: str, batch: int) -> str:
-    """Write one output of one batch; returns the output's folder."""
-    path = os.path.join(root, output)
-    (df.withColumn(BATCH, F.lit(int(batch)).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path))
+# The folder of the frame that holds all outputs of a sale batch.
+SALE_BATCHES = "sale_batches"
+
+
+def write_batch(df: DataFrame, root: str, output: str, batch: int, by: str | None = None) -> str:
+    """Write one output of one batch, in folders by the column ``by`` if one is
+    given; returns the output's folder. Without rows the batch is empty."""
+    spark, path = df.sparkSession, os.path.join(root, output)
+    aside = os.path.join(path, f"_writing-{int(batch)}")
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(aside)
+    files.replace(spark, aside, os.path.join(path, f"{BATCH}={int(batch)}"))
     return path
 
 
 def read_batches(spark: SparkSession, root: str, output: str) -> DataFrame:
     """All batches of an output, with their ``batch`` number."""
+    if output in CH.SALE_OUTPUTS:
+        # Outputs without a row have no folder: the schema is given.
+        kinds = CH.sale_schema().add("output", "string").add(BATCH, "long")
+        found = spark.read.schema(kinds).parquet(os.path.join(root, SALE_BATCHES))
+        return found.filter(F.col("output") == F.lit(output)).select(*CH.SALE_OUTPUTS[output], BATCH)
     return spark.read.parquet(os.path.join(root, output))
 
 
 def run_sale_batch(tables: ShopTables, requests: DataFrame, root: str, batch: int, default_time=None) -> None:
     """Price a batch of sale requests: ``new_sales``, ``new_sale_addons`` and
-    ``sale_rejects``. Sale ids are the request ids, so a request delivered
-    again in the same batch is one sale."""
-    priced = CH.price_sales(requests, tables.products, tables.addons, default_time)
-    write_batch(priced.accepted, root, "new_sales", batch)
-    write_batch(priced.addon_rows, root, "new_sale_addons", batch)
-    write_batch(priced.rejects, root, "sale_rejects", batch)
+    ``sale_rejects``, from one pass over the requests. Sale ids are the request
+    ids, so a request delivered again in the same batch is one sale; a sale
+    and its add-on rows can be read from the same moment on."""
+    outcomes = CH.sale_outcomes(requests, tables.products, tables.addons, default_time)
+    write_batch(outcomes, root, SALE_BATCHES, batch, by="output")
 
 
 def run_status_batch(tables: ShopTables, cancel_ids: DataFrame, voids: DataFrame, root: str, batch: int) -> None:
