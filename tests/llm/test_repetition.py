@@ -31,11 +31,12 @@ def brute(text):
     out = {"n_words": len(words), "word_chars": chars(raw), "n_symbols": len(re.findall(rb"[#*$%&|<>]", raw)),
            "n_dup_lines": dup_lines, "n_repeat_words": len(covered(3, True)),
            "share_lines": dup_lines / max(lines, 1), "share_line_chars": dup_chars / total}
-    for n in R.NGRAM_LIMITS:
+    limits = {5: 0.15, 7: 0.13, 10: 0.10}
+    for n in limits:
         out[f"share_{n}"] = sum(len(words[i].decode()) for i in covered(n, False)) / total
     out["base_failed"] = len(words) < 50 or 100 * out["n_repeat_words"] > 50 * len(words)
-    out["kept"] = not out["base_failed"] and out["share_lines"] <= .35 and out["share_line_chars"] <= .3 and all(
-        out[f"share_{n}"] <= m for n, m in R.NGRAM_LIMITS.items())
+    out["kept"] = not out["base_failed"] and out["share_lines"] <= .3 and out["share_line_chars"] <= .2 and all(
+        out[f"share_{n}"] <= m for n, m in limits.items())
     return out
 
 
@@ -68,3 +69,12 @@ def test_empty_table(no_docs):
 
 def test_against_sql(sf_docs, oracle, same):
     same(R.repetition(sf_docs), oracle(R.SQL, sf_docs.select("doc_id", "text")))
+
+
+def test_the_rules_reject_beyond_the_base_rule(spark):
+    """A passage of a quarter of the words said twice passes the base rule."""
+    unique = [f"word{i}" for i in range(400)]
+    text = " ".join(unique[:100] + unique[100:180] + unique[180:300] + unique[100:180])
+    df = spark.createDataFrame([(1, text), (2, " ".join(unique))], "doc_id long, text string")
+    got = {r.doc_id: r for r in R.repetition(df).collect()}
+    assert not got[1].base_failed and not got[1].kept and got[2].kept
