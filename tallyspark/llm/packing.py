@@ -2,10 +2,12 @@
 
 Every task tokenises the documents of its partition in order and cuts the
 stream of ids into windows of at most ``window`` ids by dynamic programming:
-cuts fall at document or sentence ends (and, inside very long sentences, every
-``HARD_GAP`` ids), and the sum of padding and cut penalties is least. The best
-earlier cut of each place is the minimum of a sliding window, kept by a
-monotone queue. No text is shuffled.
+cuts fall at document or sentence ends (and, inside a sentence longer than a
+window, every ``HARD_GAP`` ids), and the sum of padding and cut penalties is
+least. The best earlier cut of each place is the minimum of a sliding window,
+kept by a monotone queue; a window whose length is a power of two needs no
+padding, so the few places that far back are looked at too. No text is
+shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from tallyspark.llm import tokens
 
 WINDOW = 2048
 END_ID = 1
-# Penalties in ids of padding: a cut after a sentence, and one inside.
-SENTENCE_CUT, HARD_CUT = 2, 12
+# Penalties in ids of padding: a cut after a sentence, one inside a sentence
+# that no window holds, and a window that is short but a power of two.
+SENTENCE_CUT, HARD_CUT, SHORT = 2, 12, 600
 HARD_GAP = 32
 # Ids gathered before the cuts are worked out; what follows the last cut goes on
 # with the next ids, so memory is bounded by this and one document.
@@ -35,10 +38,16 @@ PER_TASK = 1 << 32
 
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int, last: bool = True) -> list[int]:
     """Indices into ``places`` (ascending, first 0, gaps at most ``window``)
-    where windows end, of least padding plus penalties. The last place ends a
+    where windows end, of least padding plus penalties (``SHORT`` in the place of
+    padding for a power of two). The last place ends a
     window if ``last``; else the cheapest of the places less than a window
     before it ends the last one, and the rest stays open."""
     place, fee = places.tolist(), penalties.tolist()
+    exact: dict[int, list[int]] = {}
+    for size in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        i = np.searchsorted(places, places - size)
+        for j in np.flatnonzero(places[i] == places - size).tolist():
+            exact.setdefault(j, []).append(int(i[j]))
     cost, origin = [0] * len(place), [0] * len(place)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # cost + place, place, index: rising
     for j in range(1, len(place)):
@@ -48,6 +57,9 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int, last: bool = Tr
         best = queue[0]
         cost[j] = best[0] + window - at + fee[j]
         origin[j] = best[2]
+        for i in exact.get(j, ()):
+            if cost[i] + SHORT + fee[j] < cost[j]:
+                cost[j], origin[j] = cost[i] + SHORT + fee[j], i
         total = cost[j] + at
         while queue and queue[-1][0] >= total:
             queue.pop()
@@ -93,7 +105,7 @@ class _Packer:
             known = np.concatenate(([0], inner, [len(rest)]))
             fee = np.concatenate(([0], np.full(len(inner), SENTENCE_CUT), [0]))
             gap = np.diff(known)
-            wide = np.flatnonzero(gap > min(HARD_GAP, self.window))
+            wide = np.flatnonzero(gap > self.window)
             if len(wide):
                 step = min(HARD_GAP, self.window)
                 hard = np.concatenate([np.arange(known[i] + step, known[i + 1], step) for i in wide])

@@ -8,15 +8,20 @@ from tallyspark.llm import tokens
 from tokenizers import Tokenizer
 
 
+def padding(size, window):
+    return 3 if size < window and size.bit_count() == 1 else window - size
+
+
 def brute_cost(places, fees, window):
     best = [0] + [None] * (len(places) - 1)
     for j in range(1, len(places)):
-        best[j] = min(best[i] + window - (places[j] - places[i]) + fees[j]
+        best[j] = min(best[i] + min(padding(int(places[j] - places[i]), window), window - int(places[j] - places[i])) + fees[j]
                       for i in range(j) if places[j] - places[i] <= window)
     return best[-1]
 
 
-def test_cuts_against_brute_force():
+def test_cuts_against_brute_force(monkeypatch):
+    monkeypatch.setattr(P, "SHORT", 3)
     rnd = random.Random(4)
     for _ in range(200):
         window = rnd.randint(5, 40)
@@ -27,10 +32,11 @@ def test_cuts_against_brute_force():
         assert ends[-1] == len(places) - 1
         sizes = [places[b] - places[a] for a, b in zip(at, ends)]
         assert max(sizes) <= window
-        assert sum(window - s for s in sizes) + sum(fees[e] for e in ends) == brute_cost(places, fees, window)
+        assert sum(min(padding(int(s), window), window - int(s)) for s in sizes) + sum(fees[e] for e in ends) == brute_cost(places, fees, window)
 
 
-def test_open_end_is_the_cheapest():
+def test_open_end_is_the_cheapest(monkeypatch):
+    monkeypatch.setattr(P, "SHORT", 3)
     rnd = random.Random(6)
     for _ in range(100):
         places = np.cumsum([0] + [rnd.randint(1, 20) for _ in range(40)])
@@ -100,3 +106,19 @@ def test_blocks_go_on(sf_docs, monkeypatch):
 
 def test_empty_table(no_docs):
     assert P.pack(no_docs).count() == 0
+
+
+def test_no_window_ends_inside_a_sentence_that_a_window_holds(sf_docs):
+    ends = P.sentence_ends(tokens.default_path())
+    cut_inside = 0
+    for r in P.pack(sf_docs, window=256).collect():
+        stop = r.start + r.length
+        if stop < r.doc_tokens and not ends[r.ids[-1]]:
+            cut_inside += 1
+            # Such a cut lies in a sentence of over a window of ids.
+            doc = sf_docs.filter(f"doc_id = {r.doc_id}").first()
+            ids = np.array(tokens.Encoder(tokens.default_path()).ids(doc.text))
+            marks = np.concatenate(([0], np.flatnonzero(ends[ids]) + 1, [len(ids) + 1]))
+            k = np.searchsorted(marks, stop, side="right")
+            assert marks[k] - marks[k - 1] > 256
+    assert cut_inside < 40
