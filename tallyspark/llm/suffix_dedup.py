@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.common import cut
 from tallyspark.llm.repetition import _scramble, _slices
@@ -350,8 +351,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sure = rows.filter("sure").select("key", F.col("first").alias("begin"), (F.col("first") + F.col("span") + length).alias("end"))
     ranges = sure.union(found).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     joined = keyed.join(ranges, F.col("key") == F.col("k"), "left").select("rest", "text", "ranges")
-    rest = joined.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(_removed, f"rest {rest}, kept binary, n_bytes long, n_removed long, n_spans long")
+    kinds = (("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()))
+    return joined.mapInArrow(_removed, T.StructType([joined.schema["rest"], *[T.StructField(*k) for k in kinds]]))
 
 
 # The same in SQL over hexadecimal text, for tables whose doc_id is unique.

@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.common import cut
 from tallyspark.llm.repetition import _slices
@@ -125,8 +126,7 @@ def _measured(df: DataFrame, lexicon: dict[bytes, float], text_of) -> DataFrame:
                 table = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(FEATURES)), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, n) for c in batch.columns], table], [*kept, "features"])
                 at += n
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, features array<double>")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 def learn_lexicon(sample: DataFrame, limit: int = LEXICON_WORDS) -> dict[bytes, float]:
@@ -159,8 +159,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
     ``labels`` has (doc_id, toxic); null or other labels are left aside, of
-    several labels for an id the largest holds. Only labelled rows that aren't
-    held out are learned from. Null and empty texts are scored like any other.
+    several labels for an id the largest holds, of several texts the smallest.
+    Only labelled rows that aren't held out are learned from. A third of them
+    calibrates; where this or the rest would lack a class, all rows do both. Null and empty texts are scored like any other.
     Without both classes among those rows, every score is the share of toxic
     ones (0 without any). Equal texts get equal scores.
     """
@@ -173,8 +174,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = cut(known.orderBy(order, "labelled").limit(train_rows))
     sample = cut(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
                  .join(chosen, F.col("id") == F.col("labelled"))
+                 .groupBy("labelled").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
                  .select("labelled", "toxic", (F.pmod(order, F.lit(3)) == 0).alias("calibrates"), "text"))
-    classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    parts = sample.groupBy("toxic", "calibrates").count().collect()
+    classes = {t: sum(r["count"] for r in parts if r["toxic"] == t) for t in {r["toxic"] for r in parts}}
     every = docs.select(doc, held_out(docs[id_col]).alias("held_out"))
     if len(classes) < 2:
         raw = every.withColumn("score", F.lit(1.0 if classes.get(1) else 0.0))
@@ -183,11 +186,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         vectors = lambda df: df.withColumn("features", array_to_vector("features"))
         learned = cut(_measured(sample, lexicon, lambda batch: batch.column("text")).drop("text").coalesce(4))
         learned = vectors(learned)
+        learns, calibrates = learned.filter("not calibrates"), learned.filter("calibrates")
+        if len(parts) < 4:  # too few labels to keep some aside
+            learns = calibrates = learned
         trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7,
-                              cacheNodeIds=False).fit(learned.filter("not calibrates"))
+                              cacheNodeIds=False).fit(learns)
         probability = vector_to_array("probability")[1].alias("p")
         curve = IsotonicRegression(labelCol="toxic", featuresCol="p", predictionCol="score").fit(
-            trees.transform(learned.filter("calibrates")).select("toxic", probability))
+            trees.transform(calibrates).select("toxic", probability))
         inner = docs.columns.index(text_col)
         found = _measured(every, lexicon, lambda batch: pc.struct_field(batch.column("doc"), [inner]))
         seen = trees.transform(vectors(found)).select("doc", "held_out", probability)

@@ -48,3 +48,18 @@ def test_edge_rows_and_missing_classes(spark, edge_docs, no_docs):
     for some, value in ((labels.limit(0), 0.0), (labels.filter("toxic = 0"), 0.0), (labels.filter("toxic = 1"), 1.0)):
         assert {r.score for r in X.score(edge_docs, some).collect()} == {value}
     assert X.score(no_docs, labels).count() == 0
+
+
+def test_few_labels_and_odd_columns(spark, sf_docs):
+    """From 2 to 20 labels, whichever of them are kept aside."""
+    docs = sf_docs.limit(60).withColumnRenamed("lang", "a b-c:d")
+    ids = sorted(r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    for some in ([(ids[0], 1), (ids[1], 0)], [(ids[2], 1), (ids[3], 0), (ids[4], 0)], [(d, int(i % 6 == 0)) for i, d in enumerate(ids[:20])]):
+        rows = X.score(docs, spark.createDataFrame(some, "doc_id long, toxic int")).select("doc.*", "score").collect()
+        assert len(rows) == 60 and all(0 <= r.score <= 1 for r in rows) and "a b-c:d" in rows[0].asDict()
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, sf_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    take = lambda df: dict(map(tuple, X.score(df, labels).select("doc.doc_id", "score").collect()))
+    assert take(sf_docs.unionByName(sf_docs)) == take(sf_docs)
