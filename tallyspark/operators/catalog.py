@@ -9,13 +9,13 @@ of one array per category built in a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
 from tallyspark.functions.labels import availability_label
 from tallyspark.functions.text import by_name, fold_accents, is_blank_php, php_trim_text, search_filter
-from tallyspark.operators.common import filter_all
+from tallyspark.operators.common import filter_all, with_positions
 
 
 def sellable_products(products: DataFrame) -> DataFrame:
@@ -35,36 +35,23 @@ def menu_sections(products: DataFrame) -> DataFrame:
             .orderBy(*by_name("category")))
 
 
-def menu_pages(products: DataFrame, page_size: int = 50, shelf_chars: int = 3) -> DataFrame:
+def menu_pages(products: DataFrame, page_size: int = 50) -> DataFrame:
     """O15 (nested): the sale form's grouped menu as ``(category, page,
     items array<struct<product_name, product_id, price>>)``, each page holding
     at most ``page_size`` products of one category in name order.
 
-    A product's position in its category is its place on its shelf (the
-    products whose folded names begin with the same ``shelf_chars``
-    characters) after all products of the category's earlier shelves. Shelves
-    are ranked in tasks of their own and only their sizes (shelves x
-    categories) are summed per category; nothing runs before an action.
+    A product's place in its category is found over ranges of its name order,
+    cut where the category's own names lie, so neither a category nor a
+    beginning that most names share is ranked in one task; nothing runs before
+    an action.
     """
     if page_size < 1:
         raise ValueError("page_size must be at least 1")
-    name = fold_accents("product_name")
     avail = (products.filter(F.col("status") == F.lit(S.AVAILABLE))
-             .select("category", "product_name", "product_id", "price", name.alias("_key"),
-                     F.substring(name, 1, shelf_chars).alias("_shelf")))
-    sizes = avail.groupBy("category", "_shelf").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("category").orderBy(F.col("_shelf").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("category").alias("_oc"), F.col("_shelf").alias("_os"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    shelf = Window.partitionBy("category", "_shelf").orderBy(
-        F.col("_key").asc_nulls_first(), F.col("product_name").asc_nulls_first(), F.col("product_id"))
-    ranked = avail.withColumn("_r", F.row_number().over(shelf) - 1)
-    placed = ranked.join(offsets, F.col("category").eqNullSafe(F.col("_oc"))
-                         & F.col("_shelf").eqNullSafe(F.col("_os")), "inner")
-    page = F.floor((F.col("_off") + F.col("_r")) / page_size).cast("long")
-    items = F.sort_array(F.collect_list(F.struct("_key", "product_name", "product_id", "price")))
-    return (placed.groupBy("category", page.alias("page")).agg(items.alias("items"))
+             .select("category", "product_name", "product_id", "price", fold_accents("product_name").alias("_key")))
+    placed = with_positions(avail, ["category"], ["_key", "product_name", "product_id"], "_nth")
+    items = F.sort_array(F.collect_list(F.struct("_nth", "product_name", "product_id", "price")))
+    return (placed.groupBy("category", F.floor(F.col("_nth") / page_size).cast("long").alias("page")).agg(items.alias("items"))
             .withColumn("items", F.transform("items", lambda x: F.struct(
                 x["product_name"].alias("product_name"), x["product_id"].alias("product_id"), x["price"].alias("price"))))
             .orderBy(*by_name("category"), "page"))

@@ -336,9 +336,9 @@ def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str]
     comes after ``f``, else the insert's, and likewise for the image. All of
     that is a handful of conditional ``min``/``max``/``min_by``/``max_by``
     aggregates per key (map-side partial, so a hot key is reduced in each
-    task), then one join with the table.
+    task), then one full outer join with the table, which is read once; the
+    rejects take from the same join whether their key is in the table.
     """
-    base_cols = base.columns
     reasons = F.when(F.col(key).isNull(), F.lit(REJECT_MISSING_KEY)) \
                .when(~F.col("op").isin("insert", "update"), F.lit(REJECT_UNKNOWN_OP))
     if extra_rejects is not None:
@@ -365,44 +365,31 @@ def _upsert(base: DataFrame, changes: DataFrame, key: str, value_cols: list[str]
         F.max(F.when(is_upd & has_image, F.col("seq"))).alias("_ui"),
         F.max_by(F.col("image"), F.when(is_upd & has_image, order)).alias("_upd_img"),
     )
-    base_keys = base.select(key).withColumn("_in_base", F.lit(True))
-
-    # Keys already in the table: updates only.
-    upd = folded.filter(F.col("_u").isNotNull())
-    merged = base.join(upd, key, "left")
+    # The table and the folded changes meet once; a row of the result is a key
+    # of the table, of the batch, or of both.
+    met = base.withColumn("_in_base", F.lit(True)).join(folded, key, "full_outer").withColumn(
+        "_in_base", F.coalesce("_in_base", F.lit(False)))
+    # A key that is there takes its updates; a new one begins with its first
+    # insert and takes the updates after it.
+    begins = ~F.col("_in_base") & F.col("_f").isNotNull()
+    updated = F.col("_u").isNotNull() & (F.col("_in_base") | (F.col("_u") > F.col("_f")))
+    pictured = F.col("_ui").isNotNull() & (F.col("_in_base") | (F.col("_ui") > F.col("_f")))
     out_cols = []
-    for col in base_cols:
+    for col in base.columns:
         if col == key:
-            out_cols.append(F.col(key))
+            value = F.col(key)
         elif col == "image":
-            out_cols.append(F.when(F.col("_ui").isNotNull(), F.col("_upd_img"))
-                            .otherwise(F.col("image")).alias("image"))
+            value = F.when(pictured, F.col("_upd_img")).when(begins, F.col("_ins_img")).otherwise(F.col("image"))
         elif col in value_cols:
-            out_cols.append(F.when(F.col("_u").isNotNull(), F.col("_upd_v")[col])
-                            .otherwise(F.col(col)).alias(col))
-        else:
-            out_cols.append(F.col(col))
-    updated = merged.select(*out_cols)
-
-    # New keys: created by their first insert, then changed by later updates.
-    new = folded.filter(F.col("_f").isNotNull()).join(base_keys, key, "left_anti")
-    later = F.col("_u").isNotNull() & (F.col("_u") > F.col("_f"))
-    later_img = F.col("_ui").isNotNull() & (F.col("_ui") > F.col("_f"))
-    ins_cols = []
-    for col in base_cols:
-        if col == key:
-            ins_cols.append(F.col(key))
-        elif col == "image":
-            ins_cols.append(F.when(later_img, F.col("_upd_img")).otherwise(F.col("_ins_img")).alias("image"))
+            value = F.when(updated, F.col("_upd_v")[col]).when(begins, F.col("_ins_v")[col]).otherwise(F.col(col))
         else:
-            ins_cols.append(F.when(later, F.col("_upd_v")[col]).otherwise(F.col("_ins_v")[col]).alias(col))
-    inserted = new.select(*ins_cols)
-    table_out = conform(updated.unionByName(inserted), table)
+            value = F.col(col)
+        out_cols.append(value.alias(col))
+    table_out = conform(met.filter(F.col("_in_base") | begins).select(*out_cols), table)
 
     # Changes that did not apply (reported, not applied).
-    ck = (c.join(folded.select(key, "_f"), key, "left")
-          .join(base_keys, key, "left")
-          .withColumn("_in_base", F.coalesce(F.col("_in_base"), F.lit(False))))
+    fate = met.filter(F.col("_f").isNotNull() | F.col("_u").isNotNull()).select(key, "_f", "_in_base")
+    ck = c.join(fate, key, "left")
     after_insert = F.col("_f").isNotNull() & (F.col("seq") > F.col("_f"))
     applies = ((is_upd & (F.col("_in_base") | after_insert))
                | (is_ins & ~F.col("_in_base") & (F.col("seq") == F.col("_f"))))

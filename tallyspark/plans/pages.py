@@ -20,6 +20,8 @@ def dashboard(t: ShopTables, as_of) -> dict[str, DataFrame]:
     return {
         "kpis": kpis.dashboard_kpis(t.sales, as_of),
         "stock_status": inventory.stock_status(t.ingredients),
+        # The three lists from one scan; each alone follows.
+        "top": rankings.top_with_image_strip(t.sales, t.products, as_of),
         "top_daily": rankings.top_products_with_image(t.sales, t.products, as_of, P.DAILY),
         "top_weekly": rankings.top_products_with_image(t.sales, t.products, as_of, P.TRAILING7),
         "top_monthly": rankings.top_products_with_image(t.sales, t.products, as_of, P.MONTHLY),
@@ -33,6 +35,7 @@ def report(t: ShopTables, as_of, filter_name: str | None = "daily",
     return {
         "kpis": kpis.report_kpis(t.sales, as_of, filter_name),
         "transactions": sales_views.report_transactions(t.sales, as_of, filter_name),
+        "top": rankings.top_completed_strip(t.sales, t.products, as_of),
         "top_daily": rankings.top_products_completed(t.sales, t.products, as_of, P.DAILY),
         "top_weekly": rankings.top_products_completed(t.sales, t.products, as_of, P.TRAILING7),
         "top_monthly": rankings.top_products_completed(t.sales, t.products, as_of, P.MONTHLY),

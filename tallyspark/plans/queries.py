@@ -746,3 +746,34 @@ def _q(spark, d):
     root = _stored(spark, {"audit_logs": D.audit_logs(spark, d)})
     ST.log_audit(spark, root, 1, D.audit_entries(spark, d))
     return read_table(spark, root, "audit_logs")
+
+
+# --- Lists of several periods, and names as the database compares them ------------
+@register("top_with_image_strip")
+def _q(spark, d):
+    """O08 the dashboard's three lists from one scan."""
+    return R.top_with_image_strip(D.sales_a(spark, d), D.products(spark, d), AS_OF_A)
+
+
+@register("top_completed_strip")
+def _q(spark, d):
+    """O09 the report's three lists from one scan."""
+    return R.top_completed_strip(D.sales_a(spark, d), D.products(spark, d), AS_OF_A)
+
+
+@register("top_with_image_mixed_case")
+def _q(spark, d):
+    """O08 where sale-time names differ by case and accents."""
+    return R.top_products_with_image(D.sales_a_mixed_case(spark, d), D.products(spark, d), AS_OF_A, P.MONTHLY, collation="UNICODE_CI_AI")
+
+
+@register("top_completed_mixed_case")
+def _q(spark, d):
+    """O09 where sale-time names differ by case and accents."""
+    return R.top_products_completed(D.sales_a_mixed_case(spark, d), D.products(spark, d), AS_OF_A, P.MONTHLY, collation="UNICODE_CI_AI")
+
+
+@register("category_ranking_mixed_case")
+def _q(spark, d):
+    """O10 where categories differ by case."""
+    return R.category_ranking(D.sales_a(spark, d), D.products_mixed_category(spark, d), collation="UNICODE_CI_AI")

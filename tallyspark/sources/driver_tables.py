@@ -147,6 +147,21 @@ def products_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .withColumn("product_name", F.when(k % 3 == 0, F.upper("product_name")).otherwise(F.col("product_name"))), "products")
 
 
+def sales_a_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set A where every third sale was entered in upper case and every fifth
+    with an accent."""
+    k, name = F.col("sales_id"), F.col("product_name")
+    spelt = F.when(k % 3 == 0, F.upper(name)).when(k % 5 == 0, F.regexp_replace(name, "e", "é")).otherwise(name)
+    return conform(sales_a(spark, sf_dir).withColumn("product_name", spelt), "sales")
+
+
+def products_mixed_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with every second category in lower case."""
+    k = F.col("product_id")
+    return conform(products(spark, sf_dir).withColumn(
+        "category", F.when(k % 2 == 0, F.lower("category")).otherwise(F.col("category"))), "products")
+
+
 def ingredients_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingredients with images named ``0`` and with very large thresholds."""
     k = F.col("ingredient_id")

@@ -733,3 +733,29 @@ for _stored, _same in {
         "stored_delete_products_sales": "delete_products_sales", "stored_upsert_products": "upsert_products",
         "stored_delete_ingredients": "delete_ingredients", "stored_append_audit": "append_audit"}.items():
     SQL[_stored] = SQL[_same]
+
+# Lists of several periods in one result, ranked by counting what comes before.
+def _strip(table: str, qty: str, periods: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{p}' AS period, * FROM ({q})" for p, q in periods.items())
+    return f"""SELECT *, row_number() OVER (PARTITION BY period ORDER BY {qty} DESC, product_id NULLS FIRST, product_name NULLS FIRST)
+AS rank FROM ({rows}) {table}"""
+
+
+_PERIODS = {"daily": "daily", "trailing7": "trailing7", "monthly": "monthly"}
+SQL["top_with_image_strip"] = _strip("lists", "qty", {p: SQL[f"top_with_image_{p}"] for p in _PERIODS})
+SQL["top_completed_strip"] = _strip("lists", "qty_sold", {p: SQL[f"top_completed_{p}"] for p in _PERIODS})
+
+# Names and categories that differ by case and accents count as one, under the
+# smallest spelling.
+_SPELT = """SELECT * REPLACE (CASE WHEN sales_id % 3 = 0 THEN upper(product_name) WHEN sales_id % 5 = 0
+  THEN replace(product_name, 'e', 'é') ELSE product_name END AS product_name) FROM ("""
+for _name in ("top_with_image", "top_completed"):
+    SQL[f"{_name}_mixed_case"] = SQL[f"{_name}_monthly"].replace(
+        f"sales AS ({CTES['sales']})", f"sales AS ({_SPELT}{CTES['sales']}))").replace(
+        "SELECT product_id, product_name, CAST(sum(quantity)", "SELECT product_id, min(product_name) AS product_name, CAST(sum(quantity)").replace(
+        "GROUP BY ALL", "GROUP BY product_id, strip_accents(lower(product_name))")
+SQL["category_ranking_mixed_case"] = SQL["category_ranking"].replace(
+    "live AS (SELECT product_id, category FROM products)",
+    "live AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN lower(category) ELSE category END AS category FROM products)").replace(
+    "sums AS (SELECT category,", "sums AS (SELECT min(category) AS category,").replace(
+    "USING (product_id) GROUP BY category)", "USING (product_id) GROUP BY lower(category))")

@@ -112,3 +112,29 @@ def test_aggregate_before_join_has_partial_aggregate(stored):
     sales, products = stored
     text = formatted(rankings.category_ranking(sales, products))
     assert "partial_sum" in text
+
+
+def test_lists_of_three_periods_are_one_scan(spark, stored):
+    sales, products = stored
+    for df in (rankings.top_with_image_strip(sales, products, D.AS_OF_A), rankings.top_completed_strip(sales, products, D.AS_OF_A)):
+        text = formatted(df)
+        assert scans(df, "sales") == 1 and scans(df, "products") == 1
+        assert "GreaterThanOrEqual(created_at,1998-06-01T00:00)" in text and "WindowGroupLimit" in text
+    alone = {p: rankings.top_products_completed(sales, products, D.AS_OF_A, p).collect() for p in rankings.STRIP}
+    strip = rankings.top_completed_strip(sales, products, D.AS_OF_A).orderBy("rank").collect()
+    for p, rows in alone.items():
+        assert [tuple(r) for r in rows] == [tuple(r)[2:] for r in strip if r.period == p]
+
+
+def test_an_upsert_reads_its_table_once(spark, stored):
+    _, products = stored
+    done = changes.upsert_products(products, D.product_changes(spark, SF))
+    assert scans(done.table, "products") == 1 and formatted(done.table).count("Join type: FullOuter") == 1
+    assert scans(done.rejects, "products") == 1
+
+
+def test_grouping_by_folded_names_hashes_the_sales(stored):
+    sales, products = stored
+    text = formatted(rankings.top_products_completed(sales, products, D.AS_OF_A, P.MONTHLY, collation="UNICODE_CI_AI"))
+    tree = [line.strip(" +-:*(0123456789)") for line in text.split("\n\n")[0].splitlines() if "Aggregate" in line]
+    assert tree[-2:] == ["HashAggregate", "HashAggregate"]  # next to the scan, before and after the exchange

@@ -121,3 +121,24 @@ def test_menu_pages_exact_over_many_shelves(spark):
     ocols = [d[0] for d in rel.description]
     orows = [tuple(r[ocols.index(c)] for c in cols) for r in rel.fetchall()]
     assert len(rows) == len(orows) and compare_rows(rows, orows)
+
+
+def test_most_names_with_one_beginning_are_ranked_in_many_tasks(spark):
+    """Nine of ten names begin alike and many are equal: ranges are of like
+    size, and pages are as the definition says."""
+    from pyspark.sql import functions as F
+    from tallyspark.operators.common import with_positions, with_ranges
+    n = 20_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 20 == 0, F.lit(None)).otherwise(F.lit("c")).alias("category"), F.col("id").alias("product_id"),
+        F.when(F.col("id") % 10 < 9, F.concat(F.lit("The house blend "), (F.xxhash64("id") % 50).cast("string"))).otherwise(
+            F.concat(F.lit("x"), F.col("id").cast("string"))).alias("name"))
+    sizes = [r["count"] for r in with_ranges(rows, ["category"], ["name", "product_id"]).groupBy("category", "_range").count().collect()]
+    assert len(sizes) > 300 and max(sizes) < n * 0.05
+    tasks = with_ranges(rows, ["category"], ["name", "product_id"]).repartition(8, "category", "_range")
+    per_task = sorted(r["count"] for r in tasks.groupBy(F.spark_partition_id()).count().collect())
+    assert per_task[-1] < 2 * per_task[len(per_task) // 2]
+    got = with_positions(rows, ["category"], ["name", "product_id"], "place").collect()
+    for category in (None, "c"):
+        mine = sorted((r for r in got if r.category == category), key=lambda r: (r.name, r.product_id))
+        assert [r.place for r in mine] == list(range(len(mine)))
