@@ -1,6 +1,8 @@
 """Page compositions run end to end; the export writes both tables."""
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyspark.plans import export, pages
@@ -67,3 +69,16 @@ def test_append_priced_sales_to_stored_table(spark, tmp_path):
     stored = read_table(spark, root, "sales")
     assert stored.count() == base.count() + accepted.count()
     assert stored.select("sale_month").distinct().count() == 1      # January 2024
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_the_summary_is_observed_while_the_rows_are_written(spark, tmp_path, fmt):
+    """The figures equal those of a scan of their own, over many part files."""
+    sales = D.sales_a(spark, SF).repartition(7)
+    want = export.export_frames(sales, D.AS_OF_A, "monthly")[0].collect()
+    out = export.export_report(sales, D.AS_OF_A, "monthly", str(tmp_path), fmt=fmt)
+    read = spark.read.option("header", True)
+    got = (read.csv if fmt == "csv" else read.parquet)(os.path.join(out, "summary")).collect()
+    assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+    rows = (read.csv if fmt == "csv" else read.parquet)(os.path.join(out, "transactions"))
+    assert rows.count() == want[0].total_transactions
