@@ -176,14 +176,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     sequence_id, offset, and the piece's ``ids`` if ``keep_ids``.
 
     A document is its token ids and ``end_id``; a null or empty text is
-    ``end_id`` alone. Pieces of a document lie in order, in one or several
+    ``end_id`` alone; bytes that are no valid UTF-8 are encoded as U+FFFD. Pieces of a document lie in order, in one or several
     consecutive windows of its task; only the last window of a task may be
     filled little. Every row is a document, repeated rows too. An empty table
     gives no rows; other columns are ignored. ``docs`` should be read from
     files: a task that runs again then packs the same rows again.
     """
     path = tokenizer or tokens.default_path()
-    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
+    chosen = docs.select(docs[id_col].alias("doc_id"), F.make_valid_utf8(docs[text_col]).alias("text"),
                          F.spark_partition_id().cast("long").alias("part"))
     from pyspark.sql.pandas.types import to_arrow_type
     kind = chosen.schema[0].dataType

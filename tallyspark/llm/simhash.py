@@ -49,11 +49,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                  keep: list[str] = ()) -> DataFrame:
-    """(doc_id, fp) and the columns ``keep``: the fingerprint as a signed long."""
+    """(doc_id, fp) and the columns ``keep``: the fingerprint as a signed long.
+    Bytes that are no valid UTF-8 count as U+FFFD."""
     @F.pandas_udf("long")
     def of(texts):
         return texts.map(lambda t: fingerprint(t, shingle)).astype("uint64").astype("int64")
-    return docs.select(docs[id_col].alias("doc_id"), *keep, of(F.coalesce(docs[text_col], F.lit(""))).alias("fp"))
+    return docs.select(docs[id_col].alias("doc_id"), *keep, of(F.coalesce(F.make_valid_utf8(docs[text_col]), F.lit(""))).alias("fp"))
 
 
 def blocks(distance: int) -> list[tuple[int, int]]:
@@ -169,7 +170,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id stays (null ids last; of rows with one id, the one with
     the smallest hash; of rows equal in every column, one)."""
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    row, k1, k2 = F.struct(*columns), F.xxhash64(*columns), F.hash(*columns)
+    # Maps have no hash of their own; their text has one.
+    plain = [F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(columns, docs.dtypes)]
+    row, k1, k2 = F.struct(*columns), F.xxhash64(*plain), F.hash(*plain)
     prints = fingerprints(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
                                       F.struct(k1.alias("k1"), k2.alias("k2")).alias("key")), shingle=shingle, keep=["key"])
     own = cut(prints)

@@ -160,7 +160,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     for batch in batches:
         out = []
         for key, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            raw = (text.as_py() or "").encode()
+            raw = text.as_py() or b""
             for w in wants.as_py():
                 out.append((w["route"], w["hot"], key, w["place"], w["first"], raw[w["first"]:w["first"] + w["span"] + length], w["needed"]))
         if out:
@@ -289,7 +289,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, counts = [], []
         for text, ranges in zip(batch.column(1), batch.column(2)):
-            raw = (text.as_py() or "").encode()
+            raw = text.as_py() or b""
             begin = end = np.empty(0, np.int64)
             if ranges.is_valid:
                 flat = ranges.values.flatten()
@@ -313,13 +313,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte of a string of ``length`` bytes that starts anywhere else too,
     in the same text or another, is removed; strings are judged on the input.
+    Texts are bytes, whether valid UTF-8 or not.
     Null and empty texts stay empty; of repeated rows each one is a document,
     so all their long texts go. An empty table gives no rows.
     """
     if length % BLOCK or length < GRAM + BLOCK:
         raise ValueError(f"length must be a multiple of {BLOCK}, above {GRAM}")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(docs[text_col], F.lit(""))
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
     keyed = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"),
                         F.struct(*others).alias("rest"), text.alias("text"))

@@ -29,11 +29,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row.
 
-    A null text counts as empty (0 bytes, 0 tokens). Special strings inside a
+    A null text counts as empty (0 bytes, 0 tokens); bytes that are no valid
+    UTF-8 are counted as they are and encoded as U+FFFD. Special strings inside a
     text become one token, the library's default. Repeated rows are counted
     each; other columns are ignored.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     counted = docs.select(docs[id_col].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
-                          _lengths(tokenizer or tokens.default_path())(text).alias("n_tokens"))
+                          _lengths(tokenizer or tokens.default_path())(F.make_valid_utf8(text)).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

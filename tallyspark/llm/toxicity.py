@@ -138,12 +138,12 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON_WORDS) -> dict[bytes,
         for batch in batches:
             found = (Counter(), Counter())
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[toxic].update(set((text or "").encode().translate(_PLAIN).split()))
+                found[toxic].update(set((text or b"").translate(_PLAIN).split()))
             words = sorted(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([found[0][w] for w in words], pa.int64()),
                                               pa.array([found[1][w] for w in words], pa.int64())], ["word", "clean", "toxic"])
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    counts = (sample.select("toxic", "text").mapInArrow(count, "word binary, clean long, toxic long")
+    counts = (sample.select("toxic", F.col("text").cast("binary")).mapInArrow(count, "word binary, clean long, toxic long")
               .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
               .filter(F.col("toxic") >= max(3, math.ceil(0.004 * total[1]))))
     clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
