@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import periods as P
+from tallyspark.functions.text import search_filter
 from tallyspark.operators import kpis as K
 from tallyspark.operators import rankings as R
 from tallyspark.operators import sales_views as V
@@ -28,6 +29,7 @@ from tallyspark.plans import stored as ST
 from tallyspark.streaming import kpi_stream as KS
 from tallyspark.session import ensure_checkpoint_dir
 from tallyspark.sources import driver_tables as D
+from tallyspark.sources import search_index as SI
 from tallyspark.sources.tables import SALE_MONTH, read_table, write_table
 
 AS_OF_A = D.AS_OF_A
@@ -777,3 +779,25 @@ def _q(spark, d):
 def _q(spark, d):
     """O10 where categories differ by case."""
     return R.category_ranking(D.sales_a(spark, d), D.products_mixed_category(spark, d), collation="UNICODE_CI_AI")
+
+
+# --- Searches through an index of stored names -------------------------------------
+def _searched(spark, d, term):
+    root = _stored(spark, {"products": D.products(spark, d)})
+    SI.build_search_index(spark, root, "products", "product_name")
+    return C.product_search(SI.read_candidates(spark, root, "products", "product_name", term), term)
+
+
+@register("product_search_indexed")
+def _q(spark, d):
+    """O17 over the files that may hold the term."""
+    return _searched(spark, d, "r%d w").drop("is_available", "availability")
+
+
+@register("sales_search_indexed")
+def _q(spark, d):
+    """O12's search over the files that may hold the term (ids and names)."""
+    root = _stored(spark, {"sales": D.sales_b(spark, d)})
+    SI.build_search_index(spark, root, "sales", "product_name")
+    found = SI.read_candidates(spark, root, "sales", "product_name", "r_d w", trim=False)
+    return found.filter(search_filter("product_name", "r_d w", trim=False)).select("sales_id", "product_name")

@@ -759,3 +759,10 @@ SQL["category_ranking_mixed_case"] = SQL["category_ranking"].replace(
     "live AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN lower(category) ELSE category END AS category FROM products)").replace(
     "sums AS (SELECT category,", "sums AS (SELECT min(category) AS category,").replace(
     "USING (product_id) GROUP BY category)", "USING (product_id) GROUP BY lower(category))")
+
+# Searches through an index find what a scan finds.
+SQL["product_search_indexed"] = with_tables("products", f"""
+SELECT product_id, product_name, category, {_money('price')} AS price, status, image FROM products
+WHERE strip_accents(lower(product_name)) LIKE '%r%d w%'""")
+SQL["sales_search_indexed"] = with_tables("sales", """
+SELECT sales_id, product_name FROM sales WHERE strip_accents(lower(product_name)) LIKE '%r_d w%'""", {"sales": "sales_b"})
