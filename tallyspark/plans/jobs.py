@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import changes as CH
 from tallyspark.sources import files
-from tallyspark.sources.tables import ShopTables
+from tallyspark.sources.tables import ShopTables, rows_named
 
 BATCH = "batch"
 # The folder of the frame that holds all outputs of a sale batch.
@@ -56,8 +56,10 @@ def run_sale_batch(tables: ShopTables, requests: DataFrame, root: str, batch: in
 
 def run_status_batch(tables: ShopTables, cancel_ids: DataFrame, voids: DataFrame, root: str, batch: int) -> None:
     """Cancels and voids of a batch: ``status_flags`` (one row per named sale,
-    for one join with the sales), the new ``void_log`` rows, ``void_rejects``."""
-    applied, rejects = CH.split_voids(tables.sales, voids)
+    for one join with the sales), the new ``void_log`` rows, ``void_rejects``.
+    Whether a voided sale exists is asked of the buckets and row groups that can
+    hold its id."""
+    applied, rejects = CH.split_voids(rows_named(tables.sales, "sales_id", voids.select("sale_id")), voids)
     write_batch(CH.status_flags(cancel_ids, voids), root, "status_flags", batch)
     write_batch(CH.void_log(applied), root, "void_log", batch)
     write_batch(rejects, root, "void_rejects", batch)

@@ -8,9 +8,9 @@ one that fails while it replaces goes on from the stage when it is run again.
 A batch that was applied is not applied twice, whatever it is given.
 
 Sales are partitioned by month. Months that hold no changed sale keep their
-files: they are found by a scan of the ids alone, narrowed by the batch's
-smallest and largest id (row groups outside are skipped), and only the months
-found are read whole and written, by Spark's dynamic partition overwrite. A
+files: they are found by a scan of the ids alone, narrowed by the batch's ids
+(row groups without them are skipped), and only the months found are read whole
+and written, by Spark's dynamic partition overwrite. A
 reset drops whole months as folders and rewrites the one it cuts through.
 
 Batches of one root are applied one after another, by one caller at a time.
@@ -31,7 +31,7 @@ from tallyspark import schemas as S
 from tallyspark.operators import audit as AU
 from tallyspark.operators import changes as CH
 from tallyspark.sources import files
-from tallyspark.sources.tables import CLUSTER_KEYS, SALE_MONTH, ShopTables, conform, read_table, read_tables, write_table
+from tallyspark.sources.tables import CLUSTER_KEYS, SALE_MONTH, ShopTables, conform, read_table, read_tables, rows_named, write_table
 
 # Spark's folder for rows without a partition value (a sale without a time).
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
@@ -76,13 +76,10 @@ def touched_months(sales: DataFrame, named: DataFrame, key: str, changes: Column
     """The months of stored ``sales`` that hold a row whose ``key`` is among
     those of ``named`` (and for which ``changes`` holds).
 
-    Reads the key, the month and what ``changes`` needs, and of these only row
-    groups that may hold a key between the smallest and largest named. At most
-    one row per month reaches the driver."""
-    ends = named.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if ends.lo is None:
-        return []
-    hit = sales.filter(F.col(key).between(F.lit(ends.lo), F.lit(ends.hi))).join(named, key)
+    Reads the key, the month and what ``changes`` needs, and of these only what
+    may hold a named key (``rows_named``). At most one row per month reaches
+    the driver."""
+    hit = rows_named(sales, key, named.select(key)).join(named, key)
     if changes is not None:
         hit = hit.filter(changes)
     months = hit.select(SALE_MONTH).distinct().collect()
@@ -172,8 +169,7 @@ def apply_statuses(spark: SparkSession, root: str, batch: int, cancel_ids: DataF
         out.months = touched_months(t.sales, flags, "sales_id", ~CH.new_status().eqNullSafe(F.col("status")))
         out.sales = CH.with_status(t.sales.filter(in_months(out.months)), flags)
         if voids is not None:
-            ends = voids.filter("sale_id > 0").agg(F.min("sale_id").alias("lo"), F.max("sale_id").alias("hi")).first()
-            near = t.sales.filter(F.col("sales_id").between(F.lit(ends.lo).cast("long"), F.lit(ends.hi).cast("long")))
+            near = rows_named(t.sales, "sales_id", voids.select("sale_id"))
             applied, out.outputs["void_rejects"] = CH.split_voids(near, voids)
             out.added["sales_void"] = CH.void_log(applied)
         return out

@@ -168,6 +168,25 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite",
     return path
 
 
+# Ids that are looked up as literals; more are looked up by their range.
+NAMED_IDS = 1000
+
+
+def rows_named(df: DataFrame, key: str, ids: DataFrame, most: int = NAMED_IDS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` can be among the first column of
+    ``ids``: a superset, to be joined, read without most of the table.
+
+    Up to ``most`` ids become literals: a bucketed table is read in their
+    buckets only, and Parquet skips row groups without them. More are narrowed
+    to the range from the smallest to the largest."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("id")).filter(F.col("id").isNotNull())
+    few = [r.id for r in wanted.distinct().limit(most + 1).collect()]
+    if len(few) <= most:
+        return df.filter(F.col(key).isin(sorted(few)) if few else F.lit(False))
+    ends = wanted.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    return df.filter(F.col(key).between(F.lit(ends.lo), F.lit(ends.hi)))
+
+
 # Bucketed layout: tables joined on the sale id, bucketed by it with the same
 # bucket count, join and aggregate by that id without any shuffle.
 BUCKET_KEYS = {"sales": "sales_id", "sale_addons": "sale_id", "sales_void": "sale_id"}

@@ -55,3 +55,25 @@ def test_attach_bucketed_files_in_a_fresh_catalogue_entry(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+
+
+def test_voided_ids_are_looked_up_in_their_buckets(spark, tmp_path):
+    """Existence of a few ids reads the buckets that can hold them, and the
+    rejects are those of a scan."""
+    from tallyspark.operators import changes
+    from tallyspark.plans import jobs
+    from tallyspark.sources.tables import ShopTables, rows_named
+    save_bucketed(D.sales_b(spark, SF), "sales", "bk3_sales", str(tmp_path / "s"), 8)
+    sales = read_bucketed(spark, "bk3_sales", "sales")
+    ids = spark.createDataFrame([(1, 3, "r", None), (2, 10 ** 9, "none", None), (3, 4, "r", None)], "seq long, sale_id long, reason string, voided_at timestamp_ntz")
+    applied, rejects = changes.split_voids(rows_named(sales, "sales_id", ids.select("sale_id")), ids)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        rejects.explain("formatted")
+    pruned = [int(line.split("SelectedBucketsCount: ")[1].split(" ")[0]) for line in buf.getvalue().splitlines() if "SelectedBucketsCount" in line]
+    assert pruned and max(pruned) <= 3
+    whole_applied, whole_rejects = changes.split_voids(sales, ids)
+    assert sorted(applied.collect()) == sorted(whole_applied.collect()) and rejects.collect() == whole_rejects.collect() != []
+    jobs.run_status_batch(ShopTables(sales=sales), spark.createDataFrame([], "sale_id long"), ids, str(tmp_path / "out"), 1)
+    assert jobs.read_batches(spark, str(tmp_path / "out"), "void_rejects").count() == 1
+    assert jobs.read_batches(spark, str(tmp_path / "out"), "void_log").count() == 2

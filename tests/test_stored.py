@@ -9,7 +9,7 @@ from tallyspark.operators import changes as CH
 from tallyspark.plans import stored as ST
 from tallyspark.sources import driver_tables as D
 from tallyspark.sources import files
-from tallyspark.sources.tables import SALE_MONTH, read_table, write_table
+from tallyspark.sources.tables import SALE_MONTH, read_table, rows_named, write_table
 from tests.conftest import money, ts
 
 SF = "/root/testdata/sf0.001"
@@ -137,9 +137,12 @@ def test_a_job_that_fails_while_it_computes_leaves_the_tables(spark, shop):
 def test_the_lookup_reads_ids_only_and_skips_row_groups(spark, shop):
     sales = read_table(spark, shop, "sales")
     named = spark.createDataFrame([(7,)], "sales_id long")
-    hit = sales.filter(F.col("sales_id").between(F.lit(7), F.lit(7))).join(named, "sales_id").select(SALE_MONTH).distinct()
+    hit = rows_named(sales, "sales_id", named).join(named, "sales_id").select(SALE_MONTH).distinct()
     plan = hit._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(sales_id,7)" in plan and "ReadSchema: struct<sales_id:bigint>" in plan
+    assert "EqualTo(sales_id,7)" in plan and "ReadSchema: struct<sales_id:bigint>" in plan
+    wide = rows_named(sales, "sales_id", spark.createDataFrame([(7,), (9,)], "sales_id long"), most=1)
+    assert "GreaterThanOrEqual(sales_id,7)" in wide._jdf.queryExecution().executedPlan().toString()
+    assert rows_named(sales, "sales_id", named.filter("false")).count() == 0
     assert ST.touched_months(sales, named, "sales_id") == ["2024-02-01"]
     pruned = sales.filter(ST.in_months(["2024-02-01", ST.NO_MONTH]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in pruned and "Filter" not in pruned.split("FileScan")[0]
