@@ -8,7 +8,7 @@ Two public libraries give the same ids for one vocabulary. ``tiktoken`` is
 about three times as fast, so it encodes plain text; whatever holds
 a character outside ``PLAIN`` (where the two libraries' Unicode tables could
 differ) or the special string goes to ``tokenizers``, the defining library.
-``tests/llm/test_tokens.py`` compares the two.
+``tests/llm/test_token_counts.py`` compares the two.
 """
 
 from __future__ import annotations
