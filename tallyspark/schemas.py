@@ -20,7 +20,6 @@ STATUS_VOID = "VOID"
 # Product and add-on availability values.
 AVAILABLE = "Available"
 UNAVAILABLE = "Unavailable"
-# Default unit of a new ingredient.
 # Threshold assumed when an ingredient has none (dashboard and report views).
 DEFAULT_LOW_STOCK_THRESHOLD = 5
 # Monthly forecast factor and ranking / log list lengths.

@@ -734,16 +734,15 @@ for _stored, _same in {
         "stored_delete_ingredients": "delete_ingredients", "stored_append_audit": "append_audit"}.items():
     SQL[_stored] = SQL[_same]
 
-# Lists of several periods in one result, ranked by counting what comes before.
-def _strip(table: str, qty: str, periods: dict[str, str]) -> str:
-    rows = " UNION ALL ".join(f"SELECT '{p}' AS period, * FROM ({q})" for p, q in periods.items())
+# Lists of several periods in one result.
+def _strip(name: str, qty: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{p}' AS period, * FROM ({SQL[f'{name}_{p}']})" for p in ("daily", "trailing7", "monthly"))
     return f"""SELECT *, row_number() OVER (PARTITION BY period ORDER BY {qty} DESC, product_id NULLS FIRST, product_name NULLS FIRST)
-AS rank FROM ({rows}) {table}"""
+AS rank FROM ({rows}) lists"""
 
 
-_PERIODS = {"daily": "daily", "trailing7": "trailing7", "monthly": "monthly"}
-SQL["top_with_image_strip"] = _strip("lists", "qty", {p: SQL[f"top_with_image_{p}"] for p in _PERIODS})
-SQL["top_completed_strip"] = _strip("lists", "qty_sold", {p: SQL[f"top_completed_{p}"] for p in _PERIODS})
+SQL["top_with_image_strip"] = _strip("top_with_image", "qty")
+SQL["top_completed_strip"] = _strip("top_completed", "qty_sold")
 
 # Names and categories that differ by case and accents count as one, under the
 # smallest spelling.
