@@ -12,8 +12,14 @@
    are compared as one number, they show exactly which strings repeat.
 3. The repeated strings' bytes are removed from each document.
 
-Anchors with more than ``HOT_CONTEXTS`` distinct contexts aren't gathered in
-one task: each string that they own is counted by a 128-bit hash instead.
+Copies and contexts are counted by aggregates that combine in each task, and
+anchors that hold a large share of all rows learn their counts by broadcast, so
+no anchor is gathered before its size is known. The contexts of one with more
+than ``HOT_CONTEXTS`` of them are split by what their strings must share:
+strings at neighbouring places around the anchor all cover the bytes between,
+so a few places at a time, contexts that agree on those bytes are an anchor of
+their own. Each goes through step 2 again, until it is small enough for a
+suffix array or a single place is left, where all its strings are one.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +41,13 @@ from tallyspark.llm.suffix_array import suffix_array
 LENGTH = 200
 GRAM = 64
 BLOCK = 8
-HOT_CONTEXTS = 20_000
+# Distinct contexts of an anchor that are gathered in one task.
+HOT_CONTEXTS = 1024
+# Ranges of places that a hot anchor is split into.
+FAN = 6
+# An anchor with a larger share of the rows than 1/SHARE meets its count by
+# broadcast: fewer than SHARE such anchors can exist.
+SHARE = 4096
 # Bytes of contexts whose suffix array is built together.
 ARRAY_BYTES = 1 << 20
 # Anchors of a task that are combined before they are shuffled.
@@ -166,7 +178,68 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         if out:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             ["route", "hot", "key", "place", "first", "context", "needed"])
+                                             ["route", "hot", "key", "place", "first", "raw", "needed"])
+
+
+def _by_route(rows: DataFrame, stats: DataFrame, count: str) -> DataFrame:
+    """``rows`` with the columns of ``stats``, which has a row per route and is
+    read from files; routes without one go. A route with a large share of the
+    rows meets its row by broadcast and isn't shuffled into one task."""
+    total = stats.agg(F.sum(count)).first()[0] or 0
+    heavy = F.broadcast(stats.filter(F.col(count) * SHARE > total))
+    others = rows.join(heavy.select("route"), "route", "left_anti").join(stats, "route")
+    return rows.join(heavy, "route").unionByName(others)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows (route, context, key, first, n, ...) with ``same``, the number of
+    times that their context occurs, ``variants``, their route's number of
+    contexts, and ``holder``, true for one row of each context."""
+    mark = F.xxhash64("key", "first")
+    kinds = cut(rows.groupBy("route", "context").agg(F.sum("n").alias("same"), F.min(mark).alias("least")))
+    kinds = _by_route(kinds, cut(kinds.groupBy("route").agg(F.count(F.lit(1)).alias("variants"))), "variants")
+    return cut(rows.join(kinds, ["route", "context"]).withColumn("holder", mark == F.col("least")).drop("least"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts whose anchor lies ``lo`` to ``hi`` bytes into their strings ->
+    up to ``FAN`` narrower ones, routed by the bytes that all strings of the
+    narrower range cover."""
+    import xxhash
+    names = ["route", "lo", "hi", "key", "place", "first", "raw", "needed"]
+    kinds = [pa.uint64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.uint64(), pa.int64()]
+    for batch in batches:
+        out = []
+        for route, lo, hi, key, place, first, raw, needed in zip(*(batch.column(c).to_pylist() for c in names)):
+            step = -(-(hi - lo + 1) // FAN)
+            for a in range(lo, hi + 1, step):
+                b = min(a + step - 1, hi)
+                begin, last = max(place - b, 0), min(place - a, len(raw) - length)
+                if begin > last:
+                    continue
+                piece = raw[begin:last + length]
+                shared = xxhash.xxh3_64_intdigest(raw[place - a:place + length - b], (route + a) % 2 ** 64)
+                out.append((shared, a, b, key, place - begin, first + begin, piece, needed, xxhash.xxh3_64_intdigest(piece), 1))
+        if out:
+            cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if c.type == pa.uint64() else c for c in cols], [*names, "context", "n"])
+
+
+def _cooled(hot: DataFrame, length: int, hot_contexts: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of hot anchors, split until none is hot: (ranges of strings
+    known to be repeated, contexts for a suffix array)."""
+    sure, cold = [], []
+    hot = hot.select("*", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+    columns = ["route", "key", "place", "first", "raw", "needed"]
+    while not hot.isEmpty():
+        pieces = cut(hot.mapInArrow(functools.partial(_parts, length=length), "route long, lo int, hi int, key long, place int, first long, "
+                                    "raw binary, needed boolean, context long, n long"))
+        marked = _marked(pieces)
+        sure.append(marked.filter("needed AND same > 1").select("key", F.col("first").alias("begin"), (F.col("first") + F.length("raw")).alias("end")))
+        wanted = marked.filter("holder AND variants > 1").withColumn("needed", F.expr("needed AND same = 1"))
+        cold.append(wanted.filter(F.col("variants") <= hot_contexts).select(columns))
+        hot = wanted.filter(F.col("variants") > hot_contexts).select(*columns, "lo", "hi")
+    return sure, cold
 
 
 def repeated_starts(contexts: list[bytes], places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +308,7 @@ def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not len(table):
             return
-        contexts = table.column("context").to_pylist()
+        contexts = table.column("raw").to_pylist()
         who, starts = repeated_starts(contexts, table.column("place").to_numpy().astype(np.int64), length)
         needed = table.column("needed").to_numpy()[who]
         yield _ranges(table.column("key").to_numpy(), table.column("first").to_numpy(), who[needed], starts[needed], length)
@@ -252,7 +325,7 @@ def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         route = table.column("route").to_numpy()
         # Whole routes only; the last one may go on.
         whole = len(table) if batch is None else int(np.flatnonzero(route != route[-1])[-1] + 1) if (route != route[-1]).any() else 0
-        sizes = np.cumsum(np.fromiter((len(c) for c in table.column("context").to_pylist()), np.int64, len(table)))
+        sizes = np.cumsum(np.fromiter((len(c) for c in table.column("raw").to_pylist()), np.int64, len(table)))
         at = 0
         while at < whole:
             to = min(whole, max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ARRAY_BYTES))))
@@ -264,26 +337,6 @@ def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         size = 0 if whole else -size  # a route beyond the size: gather on, twice as much
 
 
-def _each_string(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The strings of hot anchors: (h1, h2, key, begin)."""
-    import xxhash
-    for batch in batches:
-        for route, key, first, context in zip(*(batch.column(c).to_pylist() for c in ("route", "key", "first", "context"))):
-            n = len(context) - length + 1
-            hashes = [xxhash.xxh3_128_intdigest(context[i:i + length], route % 2 ** 64) for i in range(n)]
-            two = np.array([(x >> 64, x & (2 ** 64 - 1)) for x in hashes], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([key] * n, pa.int64()),
-                                              pa.array(np.arange(first, first + n))], ["h1", "h2", "key", "begin"])
-
-
-def _hot_ranges(strings: DataFrame, length: int) -> DataFrame:
-    """Ranges of the strings that occur more than once, by their hashes."""
-    strings = cut(strings)
-    twice = cut(strings.groupBy("h1", "h2").count().filter("count > 1").select(F.col("h1").alias("x1"), F.col("h2").alias("x2")))
-    return strings.join(twice, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select(
-        "key", "begin", (F.col("begin") + length).alias("end"))
-
-
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rest, text, ranges) -> (rest, kept, n_bytes, n_removed, n_spans)."""
     for batch in batches:
@@ -324,32 +377,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
     keyed = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"),
                         F.struct(*others).alias("rest"), text.alias("text"))
-    rows = keyed.select("key", "text").mapInArrow(
-        _anchor_rows(length), "route long, context long, key long, place int, first long, span long, n long").repartition(parts, "route")
-    one, ctx = Window.partitionBy("route"), Window.partitionBy("route", "context")
-    rows = (rows.withColumn("all", F.sum("n").over(one)).withColumn("same", F.sum("n").over(ctx))
-            .withColumn("nth", F.row_number().over(ctx.orderBy(F.desc("n"), "key", "first")))
-            .filter("n = 0 OR all > 1"))
-    rows = cut(rows.withColumn("variants", F.count(F.when((F.col("nth") == 1) & (F.col("n") > 0), 1)).over(one))
-               .select("route", "key", "place", "first", "span", "n",
-                       (F.expr("n = 0 OR same > 1")).alias("sure"), ((F.col("nth") == 1) & (F.col("variants") > 1)).alias("wanted"),
-                       (F.col("variants") > hot_contexts).alias("hot")))
-    # A hot anchor's contexts are all wanted once: each counts its strings once.
-    wanted = rows.filter("wanted AND n > 0").select("key", F.struct(
-        "route", "hot", "place", "first", "span", (~F.col("sure")).alias("needed")).alias("want"))
+    rows = cut(keyed.select("key", "text").mapInArrow(
+        _anchor_rows(length), "route long, context long, key long, place int, first long, span long, n long"))
+    as_range = ["key", F.col("first").alias("begin"), (F.col("first") + F.col("span") + length).alias("end")]
+    single = rows.filter("n > 0")
+    totals = cut(single.groupBy("route").agg(F.sum("n").alias("total")).filter("total > 1"))
+    marked = _marked(cut(_by_route(single, totals, "total").drop("total")))
+    wanted = marked.filter("holder AND variants > 1").select("key", F.struct(
+        "route", (F.col("variants") > hot_contexts).alias("hot"), "place", "first", "span", (F.col("same") == 1).alias("needed")).alias("want"))
     lists = wanted.groupBy("key").agg(F.collect_list("want").alias("wants"))  # by document: bounded by its length
-    contexts = keyed.join(lists.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "wants").mapInArrow(
+    contexts = cut(keyed.join(lists.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "wants").mapInArrow(
         functools.partial(_fetch, length=length),
-        "route long, hot boolean, key long, place int, first long, context binary, needed boolean")
-    any_hot = not rows.filter("hot").isEmpty()
-    if any_hot:
-        contexts = cut(contexts)
-    found = (contexts.filter("NOT hot") if any_hot else contexts).repartition(parts, "route").sortWithinPartitions("route").mapInArrow(
+        "route long, hot boolean, key long, place int, first long, raw binary, needed boolean"))
+    known, cold = _cooled(contexts.filter("hot").drop("hot"), length, hot_contexts)
+    gathered = functools.reduce(DataFrame.unionByName, cold, contexts.filter("NOT hot").drop("hot"))
+    found = gathered.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(
         functools.partial(_solve, length=length), "key long, begin long, end long")
-    if any_hot:
-        strings = contexts.filter("hot").mapInArrow(functools.partial(_each_string, length=length), "h1 long, h2 long, key long, begin long")
-        found = found.union(_hot_ranges(strings, length))
-    sure = rows.filter("sure").select("key", F.col("first").alias("begin"), (F.col("first") + F.col("span") + length).alias("end"))
+    sure = functools.reduce(DataFrame.union, known, rows.filter("n = 0").select(as_range).union(marked.filter("same > 1").select(as_range)))
     ranges = sure.union(found).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     joined = keyed.join(ranges, F.col("key") == F.col("k"), "left").select("rest", "text", "ranges")
     kinds = (("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyspark.llm import suffix_dedup as S
@@ -57,10 +58,43 @@ def test_against_brute_force_on_edited_copies(spark, seed):
     assert check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) > 10
 
 
-def test_hot_anchors_are_counted_string_by_string(spark):
+@pytest.mark.parametrize("limit", [1, 3])
+def test_hot_anchors_are_split(spark, limit):
     df = spark.createDataFrame(list(enumerate(near_copies(3))), "doc_id long, text string")
-    assert check(df, hot_contexts=1) > 10
-    assert check(df, hot_contexts=3) > 10
+    assert check(df, hot_contexts=limit) > 10
+
+
+def test_parts_cover_every_string_once_and_keep_equal_ones_together():
+    rnd = random.Random(4)
+    core = bytes(rnd.choice(b"abcd") for _ in range(150))
+    raws = [bytes(rnd.choice(b"xy") for _ in range(rnd.randint(93, 136))) + core + bytes(rnd.choice(b"xy") for _ in range(rnd.randint(0, 50)))
+            for _ in range(60)]
+    raws = [r for r in raws if len(r) >= 200]
+    level = [(1, 0, 136, i, r.index(core), 0, r, True) for i, r in enumerate(raws)]
+    want = sorted((i, s) for i, r in enumerate(raws) for s in range(len(r) - 199) if 0 <= r.index(core) - s <= 136)
+    for _ in range(3):
+        names = ["route", "lo", "hi", "key", "place", "first", "raw", "needed"]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*level)], names)
+        (out,) = S._parts([batch], 200)
+        level = list(zip(*(out.column(c).to_pylist() for c in names)))
+        got, home = [], {}
+        for route, _, _, key, _, first, raw, _ in level:
+            for s in range(len(raw) - 199):
+                got.append((key, first + s))
+                assert home.setdefault(raw[s:s + 200], route) == route
+        assert sorted(got) == want
+    assert all(len(raw) == 200 for *_, raw, _ in level)
+
+
+def test_fifty_thousand_contexts_of_one_anchor(spark):
+    """One passage amid ever other surroundings, no context twice;
+    a string repeats where two documents share both sides' nearer bytes."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage, left, right = text(150), [text(30) for _ in range(300)], [text(20) for _ in range(300)]
+    texts = [rnd.choice(left) + passage + rnd.choice(right) + text(13) for _ in range(50_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 10_000 < check(df) < 40_000
 
 
 def test_edges_and_driver_rows(edge_docs, sf_docs):
